@@ -7,6 +7,8 @@ import importlib
 #: Query, module, SQL constant or None.
 ENTRIES = (
     ("op2_gif", "gif", None),
+    ("op4_mix", "mixing", None),
+    ("op8_imi", "imi", None),
     ("op9_sentencepiece", "pieces", None),
     ("op10_warc", "warc", "OP10_SQL"),
 )
