@@ -8,6 +8,7 @@ import importlib
 ENTRIES = (
     ("op2_gif", "gif", None),
     ("op4_mix", "mixing", None),
+    ("op7_licenses", "licenses", None),
     ("op8_imi", "imi", None),
     ("op9_sentencepiece", "pieces", None),
     ("op10_warc", "warc", "OP10_SQL"),
