@@ -6,6 +6,7 @@ import importlib
 
 #: Query, module, SQL constant or None.
 ENTRIES = (
+    ("op1_substring_dedup", "substrings", "OP1_SQL"),
     ("op2_gif", "gif", None),
     ("op4_mix", "mixing", None),
     ("op7_licenses", "licenses", None),
