@@ -9,6 +9,7 @@ ENTRIES = (
     ("op1_substring_dedup", "substrings", "OP1_SQL"),
     ("op2_gif", "gif", None),
     ("op4_mix", "mixing", None),
+    ("op6_quality", "quality", None),
     ("op7_licenses", "licenses", None),
     ("op8_imi", "imi", None),
     ("op9_sentencepiece", "pieces", None),
