@@ -25,7 +25,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import parts, shared_dir, table
 
 MEMBER, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Payloads shorter than this are always whole responses.
@@ -298,7 +298,8 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_DEDUP_BYTES
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/wacz-{uuid.uuid4().hex}"
-    archives = write_archives(table(spark, sf_dir, "pages"), folder)
+    # The names are dealt anew, so that a task has one Python worker, to write or to read, and reading is even.
+    archives = write_archives(table(spark, sf_dir, "pages"), folder).repartition(parts(spark))
     return read_archives(archives, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
