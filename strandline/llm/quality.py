@@ -5,7 +5,7 @@ thresholds b_1 < ... < b_(G-1), P(grade >= j) = sigmoid(w . x - b_j). The expect
 tail probabilities; documents are selected by one of them.
 
 Features of a text, hashed into a fixed number of slots: presence of each lower-cased word without its
-punctuation, its shape (classes of characters, runs made one) by its share of the words, and the share of words
+punctuation and of its beginnings, its shape (classes of characters, runs made one) by its share of the words, and the share of words
 that repeat the word before. The model is fitted by full-batch accelerated gradient steps on a bounded sample of
 rated documents (those of smallest hashed id, `sample` at most, a documented parameter), collected as
 hashed slots. Its weights are of fixed size and broadcast.
@@ -29,11 +29,15 @@ from pyspark.sql import types as T
 
 from .common import SPACE, chunks, hash_spans, lower_ascii, mix, spans, table
 
-SLOTS = 1 << 17
+SLOTS = 1 << 20
 #: Rated documents that the model is fitted on, at most.
-SAMPLE = 6000
+SAMPLE = 8000
 ROUNDS = 120
 RIDGE = 2e-4
+#: Bytes of the beginnings of words that are features.
+PREFIXES = (4, 5)
+#: Slots that fewer sampled documents have get no weight: a word of one document says nothing of others.
+LEAST_DOCS = 8
 #: A document is kept if P(grade >= KEEP_GRADE) is at least KEEP.
 KEEP_GRADE, KEEP = 2, 0.5
 
@@ -56,6 +60,13 @@ def features(data: np.ndarray, offsets: np.ndarray, slots: int = SLOTS):
     ls, le, lrow = spans(low, offsets, ~_LETTER)
     words = mix(hash_spans(low, ls, le, 1))
     out_row, out_slot, out_value = [lrow], [(words % np.uint64(slots)).astype(np.int64)], [np.full(len(words), -1.0)]
+    # Beginnings of words, which inflected forms share: presence.
+    for size in PREFIXES:
+        long = np.flatnonzero(le - ls > size)
+        begun = mix(hash_spans(low, ls[long], ls[long] + size, 2 + size))
+        out_row.append(lrow[long])
+        out_slot.append((begun % np.uint64(slots)).astype(np.int64))
+        out_value.append(np.full(len(long), -1.0))
     # Shapes: classes with runs made one, by share.
     cls = _CLASS[data]
     if len(start):
@@ -99,9 +110,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(np.clip(x, -60, 60) / 2))
 
 
-def fit(row: np.ndarray, slot: np.ndarray, value: np.ndarray, grades: np.ndarray, levels: int, slots: int = SLOTS, rounds: int = ROUNDS, ridge: float = RIDGE) -> Ordinal:
+def fit(row: np.ndarray, slot: np.ndarray, value: np.ndarray, grades: np.ndarray, levels: int, slots: int = SLOTS, rounds: int = ROUNDS, ridge: float = RIDGE, least_docs: int = LEAST_DOCS) -> Ordinal:
     """Nesterov steps on the mean negative log likelihood. The thresholds stay ordered, being a first value and positive steps."""
     n = len(grades)
+    common = np.bincount(slot, minlength=slots) >= least_docs
+    row, slot, value = (x[common[slot]] for x in (row, slot, value))
     counts = np.bincount(grades, minlength=levels)
     tail = (np.cumsum(counts[::-1])[::-1][1:] + 0.5) / (n + 1)
     weights, base = np.zeros(slots), -np.log(tail / (1 - tail))
