@@ -8,6 +8,7 @@ import importlib
 ENTRIES = (
     ("op1_substring_dedup", "substrings", "OP1_SQL"),
     ("op2_gif", "gif", None),
+    ("op3_jaccard_join", "jaccard", None),
     ("op4_mix", "mixing", None),
     ("op6_quality", "quality", None),
     ("op7_licenses", "licenses", None),
