@@ -1 +1,66 @@
-"""Stages of the corpus pipeline."""
+"""From raw documents to token ids: STAGES, and run() over a table of documents.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
+documents. Stages are judged on their own input: copies that one leaves do not matter to the one before.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandline.llm import jaccard, mixing, pieces, quality, substrings
+from strandline.llm.common import shared_dir, table
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose grade is the best one at least as probably as not; the others, toxic or of low quality, go."""
+    return quality.classify(spark, docs, sf_dir).where(quality.kept()).drop("_quality")
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the least doc_id of each class of documents linked by a Jaccard similarity of 0.8 of five-word shingles."""
+    classes = jaccard.jaccard_join(docs)
+    first = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_first")).distinct()
+    return docs.join(first, docs["doc_id"].eqNullSafe(first["_first"]), "left_semi")
+
+
+def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages of 13 words or more that a document of smaller doc_id has too; n_chars follows."""
+    found = substrings.remove_repeats(docs, layout=True).drop("_dedup")
+    return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each copy of a document that the curriculum takes, in training order."""
+    mixed = mixing.mix(docs.withColumn("size", mixing.size_of(F.col("text"))), whole=True)
+    copies = mixed.select(*docs.columns, F.explode("times").alias("_time"))
+    return copies.repartitionByRange("_time", "doc_id").sortWithinPartitions("_time", "doc_id").select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids (with begin and end ids), and whether they decode to the text."""
+    return pieces.encode_texts(docs, check=True)
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("near_copies", keep_one_of_near_copies),
+    ("passages", remove_repeated_passages),
+    ("mixing", mix_sources),
+    ("encoding", encode),
+]
+
+#: The stages are hashed models, joins and a tokenizer: SQL cannot express them.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

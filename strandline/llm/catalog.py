@@ -10,6 +10,7 @@ ENTRIES = (
     ("op2_gif", "gif", None),
     ("op3_jaccard_join", "jaccard", None),
     ("op4_mix", "mixing", None),
+    ("op5_katz", "katz", None),
     ("op6_quality", "quality", None),
     ("op7_licenses", "licenses", None),
     ("op8_imi", "imi", None),
@@ -19,7 +20,9 @@ ENTRIES = (
 
 
 def queries():
-    return {name: getattr(importlib.import_module(f"{__package__}.{module}"), name) for name, module, _ in ENTRIES}
+    import corpus_pipeline
+
+    return {name: getattr(importlib.import_module(f"{__package__}.{module}"), name) for name, module, _ in ENTRIES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():

@@ -30,6 +30,8 @@ from .common import table
 SPACE = "▁"
 #: Parts kept in a worker's cache; it is emptied when full.
 CACHE = 400_000
+#: Ids and texts in one batch of results.
+BATCH_BYTES = 8 << 20
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -204,27 +206,44 @@ def default_path() -> str:
 
 
 ENCODED = "doc_id long, ids array<int>, decoded string"
+CHECKED = "doc_id long, n_tokens long, ids array<int>, lossless boolean"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def encode_texts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
-    """Ids with begin and end ids, and the text decoded from them; or digests of both."""
+def encode_texts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, check: bool = False) -> DataFrame:
+    """Ids with begin and end ids, and the text decoded from them; or digests of both; or ids, and whether they decode to the text."""
     path = path or default_path()
+    out_ddl = DIGESTS if digests else CHECKED if check else ENCODED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(path)
         bos, eos = (np.array([x], "<u4").tobytes() for x in (own.bos, own.eos))
         for batch in batches:
-            out = []
-            for text in batch.column(1):
-                ids, raw = own.encode(text.as_py() or "")
+            rows, held = [], 0
+            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+                text = text.as_py() or ""
+                ids, raw = own.encode(text)
                 ids = bos + ids + eos
-                out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(raw).hexdigest()) if digests else (np.frombuffer(ids, "<i4"), raw.decode()))
-            cols = list(zip(*out, strict=True)) if out else [()] * (3 if digests else 2)
-            kinds = (pa.int64(), pa.string(), pa.string()) if digests else (pa.list_(pa.int32()), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["doc_id", "ids", "decoded"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, DIGESTS if digests else ENCODED)
+                if digests:
+                    rows.append((doc_id.as_py(), len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(raw).hexdigest()))
+                elif check:
+                    rows.append((doc_id.as_py(), len(ids) // 4, np.frombuffer(ids, "<i4"), raw == text.encode()))
+                else:
+                    rows.append((doc_id.as_py(), np.frombuffer(ids, "<i4"), raw.decode()))
+                held += 0 if digests else len(ids) + len(raw)
+                if held > BATCH_BYTES:
+                    yield _batch(rows)
+                    rows, held = [], 0
+            if rows:
+                yield _batch(rows)
+
+    fields = [x.split() for x in out_ddl.split(", ")]
+    kinds = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
+
+    def _batch(rows: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, out_ddl)
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

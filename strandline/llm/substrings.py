@@ -81,7 +81,7 @@ class Windows:
             low = seeds[: len(whole)].copy()
             for j in range(1, self.length - SEED + 1):
                 np.minimum(low, seeds[j : j + len(low)], out=low)
-            yield first, n, data, (start, end, row), valid, whole[valid], low[valid], self.ids[first + row[valid]]
+            yield first, n, data, (start, end, row), valid, whole[valid], low[valid], self.ids[first + row[valid]], offsets.tolist()
 
 
 def _packed(arrays: list[np.ndarray]) -> np.ndarray:
@@ -92,8 +92,9 @@ def _table(schema: pa.Schema, columns: list) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the kept words as text, and `n_words`, `n_removed` and `repeats` (array of [first, last) words) in a struct `_dedup`."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", layout: bool = False) -> DataFrame:
+    """docs with the kept words as text, joined by one space (layout=True: with the white space that follows each in the text, which is left
+    as it is where nothing is removed), and `n_words`, `n_removed` and `repeats` (array of [first, last) words) in a struct `_dedup`."""
     if length < SEED:
         raise ValueError(f"at least {SEED} words")
     groups = buckets = parts(docs.sparkSession)
@@ -108,7 +109,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     back = pa.schema([sent.field(i) for i in (1, 2, 3)])
 
     def seed(rows: pa.Table) -> pa.Table:
-        found = [least(low, ids) for _, _, _, _, _, _, low, ids in Windows(rows, length)]
+        found = [least(low, ids) for *_, low, ids, _ in Windows(rows, length)]
         keys, lo, hi = (_packed([f[i] for f in found]) for i in range(3))
         order = np.argsort(keys, kind="stable")
         keys, lo, hi = keys[order], lo[order], hi[order]
@@ -141,7 +142,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             return _table(sent, [[]] * 4)
         anchors = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in shared.column("keys").to_pylist()]))
         found = []
-        for _, _, _, _, _, whole, low, ids in Windows(rows, length):
+        for *_, whole, low, ids, _ in Windows(rows, length):
             mine = _among(low & ~np.uint64(1), anchors)
             found.append(least(whole[mine], ids[mine])[:2])
         keys, lo, _ = least(*(_packed([f[i] for f in found]) for i in range(2)))
@@ -170,10 +171,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     def keep(rows: pa.Table, less: pa.Table) -> pa.Table:
         keys = _packed([np.frombuffer(x, np.uint64) for x in less.column("keys").to_pylist()])
         lo = _packed([np.frombuffer(x, np.int64) for x in less.column("ids").to_pylist()]).astype(np.int64)
-        found = [least(whole, ids)[:2] for _, _, _, _, _, whole, _, ids in Windows(rows, length)]
+        found = [least(whole, ids)[:2] for *_, whole, _, ids, _ in Windows(rows, length)]
         keys, lo, _ = least(np.concatenate([keys, *(f[0] for f in found)]), np.concatenate([lo, *(f[1] for f in found)]))
         texts_, facts = [], []
-        for _, n, data, (start, end, row), valid, whole, _, ids in Windows(rows, length):
+        for _, n, data, (start, end, row), valid, whole, _, ids, rows_at in Windows(rows, length):
             cover = np.zeros(len(row) + 1, np.int32)
             bad = valid[lo[np.searchsorted(keys, whole)] < ids] if len(valid) else valid
             cover[bad] += 1
@@ -184,7 +185,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                 a, b = bounds[i], bounds[i + 1]
                 dropped = gone[a:b]
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], dropped.view(np.int8), [0]])))
-                if len(edges):
+                if layout:
+                    lo_, hi_ = rows_at[i], rows_at[i + 1]
+                    firsts = [*start[a:b].tolist(), hi_]
+                    cuts = [lo_, *(firsts[e] for e in edges.tolist()), hi_]
+                    words = [b"".join(raw[s:e] for s, e in zip(cuts[::2], cuts[1::2], strict=True))]
+                elif len(edges):
                     kept = np.flatnonzero(~dropped) + a
                     words = [raw[s:e] for s, e in zip(start[kept].tolist(), end[kept].tolist(), strict=True)]
                 else:
