@@ -116,7 +116,7 @@ def links_among(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, thr
     used = np.cumsum(times > 1) - 1
     column, owner = used[column[shared]], owner[shared]
     both = np.zeros((len(left), len(right)), np.float64)
-    width = max(256, 24_000_000 // max(1, len(sets)))
+    width = min(int(used[-1]) + 1 if len(used) else 1, max(256, 24_000_000 // max(1, len(sets))))
     place = np.argsort(column, kind="stable")
     column, owner = column[place], owner[place]
     for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
