@@ -6,7 +6,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import intervals as iv
-from ..operators import counting, joins, mapping, metadata, norm, peaks, pileup, reads, segments, setops, tracks
+from ..operators import align, counting, joins, mapping, metadata, norm, peaks, pileup, reads, repeats, segments, setops, tracks
+from ..sources import bed, fasta
 from . import views
 
 R, E = f"r AS ({views.sql(views.READS)})", f"e AS ({views.sql(views.ELEMENTS)})"
@@ -501,3 +502,87 @@ def _(spark, d):
     _e, chains = _chains(spark, d)
     found = metadata.introns(chains, "custkey").withColumn("strand", F.when(F.col("custkey") % 2 == 1, 1).otherwise(-1))
     return found.select("custkey", "start", "end", metadata.tss().alias("tss"), metadata.tes().alias("tes"))
+
+
+# ---- sequences and files
+
+SEQ = "regexp_replace(translate(upper(coalesce(text, '')), 'T', 'U'), '[^ACGU]', '', 'g')"
+
+
+def _rna(spark, d):
+    """Letters of each whole text that are bases, with T as U."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    return docs.select(F.col("doc_id").alias("seqid"), F.regexp_replace(F.translate(F.upper(F.coalesce("text", F.lit(""))), "T", "U"), "[^ACGU]", "").alias("seq"))
+
+
+def _names(spark, d):
+    """Names of parts: short sequences, all of them."""
+    p = spark.read.parquet(f"{d}/part.parquet")
+    return p.select(F.col("p_partkey").alias("seqid"), F.upper(F.regexp_replace(F.concat("p_name", "p_type"), "[^A-Za-z]", "")).alias("seq1"), F.upper(F.regexp_replace(F.concat("p_type", "p_brand"), "[^A-Za-z]", "")).alias("seq2"))
+
+
+@query("sw_best")
+def _(spark, d):
+    return align.align_pairs(_names(spark, d), scoring=align.Scoring())
+
+
+@query("sw_all_optimal")
+def _(spark, d):
+    return align.align_pairs(_names(spark, d), best=False, min_score=4)
+
+
+def _short_rna(spark, d):
+    p = spark.read.parquet(f"{d}/part.parquet")
+    return p.select(F.col("p_partkey").alias("seqid"), F.translate(F.translate(F.md5(F.col("p_partkey").cast("string")), "0123456789abcdef", "ACGUACGUACGUACGU"), "x", "").alias("seq"))
+
+
+@query("inverted_repeats")
+def _(spark, d):
+    return repeats.predict_repeats(_short_rna(spark, d), repeats.Filter(min_score=3, min_matches=3))
+
+
+@query("repeat_optimize")
+def _(spark, d):
+    return repeats.optimize_repeats(repeats.predict_repeats(_short_rna(spark, d), repeats.Filter(min_score=3, min_matches=3)))
+
+
+@query("bed12_lines", f"""WITH {E} SELECT concat_ws(chr(9), contig, start, "end", concat('e', element), element % 1001, CASE orientation WHEN 1 THEN '+' WHEN -1 THEN '-' ELSE '.' END, start, "end", '0,0,0', 1, "end" - start, 0) AS value FROM e""")
+def _(spark, d):
+    e = views.elements(spark, d).select(F.col("contig").alias("seqid"), "start", "end", F.concat(F.lit("e"), "element").alias("name"), (F.col("element") % 1001).cast("int").alias("score"), F.col("orientation").cast("byte").alias("orientation"))
+    return bed.bed_lines(bed.to_bed(e, 12), 12)
+
+
+@query("bed12_roundtrip", f"""WITH {E} SELECT contig AS seqid, start, "end", concat('e', element) AS name, element % 1001 AS score, orientation FROM e""")
+def _(spark, d):
+    e = views.elements(spark, d).select(F.col("contig").alias("seqid"), "start", "end", F.concat(F.lit("e"), "element").alias("name"), (F.col("element") % 1001).cast("int").alias("score"), F.col("orientation").cast("byte").alias("orientation"))
+    path = f"{_folder(spark)}/bed12"
+    bed.write_bed(bed.to_bed(e, 12), path, 12)
+    return bed.read_bed(spark, path, 12).select("seqid", "start", "end", "name", F.col("score").cast("long").alias("score"), F.col("orientation").cast("int").alias("orientation"))
+
+
+def _folder(spark):
+    """A folder of this run in the shared one."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandline-")
+    return f"{root}/{uuid.uuid4().hex}"
+
+
+@query("fasta_fetch", "WITH q AS (SELECT p_partkey AS seqid, upper(regexp_replace(concat(p_name, p_type), '[^A-Za-z]', '', 'g')) AS seq FROM part) SELECT seqid, 2 AS start, length(seq) - 3 AS \"end\", substr(seq, 3, length(seq) - 5) AS seq FROM q WHERE length(seq) > 8")
+def _(spark, d):
+    s = _names(spark, d).where(F.length("seq1") > 8)
+    q = s.select("seqid", F.lit(2).cast("long").alias("start"), (F.length("seq1") - 3).cast("long").alias("end"))
+    return fasta.fetch_from(q, s.select(F.col("seqid").alias("id"), F.col("seq1").alias("seq")), 8)
+
+
+@query("fasta_lengths", "SELECT doc_id AS id, length(" + SEQ + ") AS length FROM documents")
+def _(spark, d):
+    return fasta.lengths(_rna(spark, d).select(F.col("seqid").alias("id"), "seq"))
+
+
+@query("fasta_roundtrip", "WITH q AS (SELECT CAST(doc_id AS VARCHAR) AS id, " + SEQ + " AS seq FROM documents) SELECT id, length(seq) AS length, md5(seq) AS digest FROM q WHERE seq <> ''")
+def _(spark, d):
+    path = f"{_folder(spark)}/fasta"
+    fasta.write_fasta(_rna(spark, d).where("seq <> ''").select(F.col("seqid").cast("string").alias("id"), "seq"), path)
+    return fasta.read_fasta(spark, path).select("id", F.length("seq").cast("long").alias("length"), F.md5("seq").alias("digest"))
