@@ -25,11 +25,13 @@ def hit_segments(queries: DataFrame, hits: DataFrame, data: str, query: Sequence
     points = points.union(inner).distinct()
     order = W.partitionBy(*query, "start", "end").orderBy("p")
     pieces = points.withColumn("q", F.lead("p").over(order)).where(F.col("q").isNotNull())
-    # Pieces are matched to their own query's hits only: the join is by query, and a piece lies inside each hit that covers it.
-    cover = joined.select(*query, F.col("start").alias("rs"), F.col("end").alias("re"), F.greatest("start", "start_r").alias("hs"), F.least("end", "end_r").alias("he"), "data_r")
-    on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in query] + [F.col("a.start") == F.col("b.rs"), F.col("a.end") == F.col("b.re"), F.col("b.hs") <= F.col("a.p"), F.col("a.q") <= F.col("b.he")]
-    both = pieces.alias("a").join(cover.alias("b"), on, "left")
-    sets = both.groupBy(*(F.col(f"a.{c}").alias(c) for c in query), F.col("a.p").alias("start"), F.col("a.q").alias("end")).agg(F.array_sort(F.collect_set("data_r")).alias("data"))
+    # A piece straddles no bound of a hit of its query, so it lies inside each hit that it overlaps; the bins keep long regions apart.
+    pieces = pieces.select(*query, F.col("start").alias("rs"), F.col("end").alias("re"), F.col("p").alias("start"), F.col("q").alias("end"))
+    cover = joined.select(*query, F.col("start").alias("rs"), F.col("end").alias("re"), F.greatest("start", "start_r").alias("start"), F.least("end", "end_r").alias("end"), "data_r")
+    met = overlap_join(pieces, cover, [*query, "rs", "re"], "inner", width)
+    found = met.groupBy(*query, "start", "end").agg(F.array_sort(F.collect_set("data_r_r")).alias("data"))
+    none = F.array().cast(found.schema["data"].dataType)
+    sets = pieces.select(*query, "start", "end").join(found, [*query, "start", "end"], "left").withColumn("data", F.coalesce("data", none))
     line = W.partitionBy(*query).orderBy("start")
     fresh = F.coalesce((F.lag("end").over(line) != F.col("start")) | (F.lag("data").over(line) != F.col("data")), F.lit(True))
     marked = sets.withColumn("_fresh", fresh.cast("int")).withColumn("_run", F.sum("_fresh").over(line.rowsBetween(W.unboundedPreceding, 0)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.intervals import orientation_of
+from .text import read_lines
 
 COLUMNS = ("seqid", "start", "end", "name", "score", "orientation", "thick_start", "thick_end", "rgb", "blocks")
 #: Columns of each kind; BED8 has both thick bounds, BED12 count, sizes and starts of blocks.
@@ -23,7 +24,7 @@ def read_bed(spark: SparkSession, path: str, n: int, strict: bool = True) -> Dat
     """
     if n not in WIDTHS:
         raise ValueError(f"no BED{n}")
-    lines = spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("value"))
+    lines = read_lines(spark, path).select(F.regexp_replace("value", "\r$", "").alias("value"))
     f = F.split("value", "\t", -1)
     lines = lines.withColumn("f", F.when(F.size(f) == n, f).otherwise(F.raise_error(F.concat(F.lit(f"BED: not {n} fields: "), F.col("value"))).cast("array<string>")))
     g = lambda i: F.col("f")[i]

@@ -89,6 +89,8 @@ def test_bed(spark, tmp_path):
     assert first.orientation == -1 and [tuple(b) for b in first.blocks] == [(0, 5), (15, 20)] and tuple(first.rgb) == (0, 0, 0)
     bed.write_bed(rows, str(tmp_path / "out"), 12, "gzip")
     assert sorted(map(str, bed.read_bed(spark, str(tmp_path / "out"), 12).collect())) == sorted(map(str, rows.collect()))
+    (tmp_path / "x.bed.bgz").write_bytes(gzip.compress(good[:30].encode()) + gzip.compress(good[30:].encode()))
+    assert sorted(map(str, bed.read_bed(spark, str(tmp_path / "x.bed.bgz"), 12).collect())) == sorted(map(str, rows.collect()))
     for bad in ("c\t5\t5\n", "c\t5\n", "c d\t1\t5\n"):
         (tmp_path / "bad.bed").write_text(bad)
         with pytest.raises(Exception):
