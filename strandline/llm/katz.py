@@ -32,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, hash_spans, lower_ascii, mix, parts, shared_dir, spans, table
+from .common import chunks, cut, hash_spans, lower_ascii, mix, parts, shared_dir, spans, table
+from .grouped import dealt, opened
 from .substrings import _table, runs, slices
 
 END, BEGIN = np.uint64(0x1F0E11D5A7C3B201), np.uint64(0x2B3C99D7E5F41A07)
@@ -127,8 +128,11 @@ class Group:
         place = mix(self.before + mix(self.tok) % salts * np.uint64(0x9E3779B97F4A7C15))
         bucket = ((place >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         low = self.tok & _LOW48
+        del at, salts, place
+        bucket = bucket.astype(np.int32)
         order = np.lexsort((low, self.before, bucket))
         b, v, w = bucket[order], self.before[order], low[order]
+        del bucket, low
         new = np.ones(len(b), bool)
         new[1:] = (b[1:] != b[:-1]) | (v[1:] != v[:-1]) | (w[1:] != w[:-1])
         first = np.flatnonzero(new)
@@ -149,13 +153,16 @@ def score(docs: DataFrame, held: str = "pmod(crc32(coalesce(cast(_id as string),
     n_tokens, n_known, train_tokens, base_score, score. The tables are written below `folder`."""
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/katz-{uuid.uuid4().hex}"
-    groups = buckets = parts(spark)
+    groups = buckets = 2 * parts(spark)  # a worker holds one group's tokens, or one bucket's bigrams
     source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     group = F.pmod(F.xxhash64("_id"), F.lit(groups)).cast("int")
-    texts = source.select("_id", "_text", F.coalesce(F.expr(held), F.lit(False)).alias("_held"), group.alias("pid")).repartition(groups, "pid")
+    texts = source.select("_id", "_text", F.coalesce(F.expr(held), F.lit(False)).alias("_held"), group.alias("pid"))
+    # Used three times: as compressed blocks in the shared folder, already dealt, texts are moved only once.
+    texts = cut(dealt(texts, groups))
+    release(spark)
 
     def send_words(rows: pa.Table) -> pa.Table:
-        own = Group(rows)
+        own = Group(opened(rows))
         pid = rows.column("pid")[0].as_py()
         out = [(b, pid, own.words[s].tobytes(), planes(own.counts[s], 5)) for b, s in slices(own.words, buckets)]
         return _table(SENT_WORDS, list(zip(*out, strict=True)))
@@ -178,6 +185,7 @@ def score(docs: DataFrame, held: str = "pmod(crc32(coalesce(cast(_id as string),
     words = texts.groupBy("pid").applyInArrow(send_words, "bucket int, pid int, keys binary, counts binary")
     words = words.groupBy("bucket").applyInArrow(add_words, "bucket int, pid int, keys binary, counts binary, facts array<long>")
     _write(words, f"{folder}/words")
+    release(spark)
     words = spark.read.parquet(f"{folder}/words")
     # Sums over buckets: eight numbers come to the driver.
     facts = words.where("pid is null").select(*(F.sum(F.col("facts")[i]) for i in range(TOP + 3))).first()
@@ -191,7 +199,7 @@ def score(docs: DataFrame, held: str = "pmod(crc32(coalesce(cast(_id as string),
     def send_bigrams(rows: pa.Table, answers: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return _table(SENT, [[]] * 8)
-        own = Group(rows)
+        own = Group(opened(rows))
         own.answer_words(list(zip(answers.column("bucket").to_pylist(), answers.column("a").to_pylist(), strict=True)))
         own.bigrams(buckets, trained, hot)
         pid, out = rows.column("pid")[0].as_py(), []
@@ -206,26 +214,26 @@ def score(docs: DataFrame, held: str = "pmod(crc32(coalesce(cast(_id as string),
 
     def add_bigrams(rows: pa.Table) -> pa.Table:
         pids, bucket = rows.column("pid").to_pylist(), rows.column("bucket")[0].as_py()
-        vs, heads, hots, ws, cs, ts = [], [], [], [], [], []
-        for h, n, x, w, c, t in zip(*(rows.column(k).to_pylist() for k in names), strict=True):
-            h = np.frombuffer(h, np.uint64)
-            heads.append(h)
-            vs.append(np.repeat(h, unplanes(n, 4).astype(np.int64)))
-            hots.append(unplanes(x, 1))
-            ws.append(unplanes(w, 6))
-            cs.append(unplanes(c, 5).astype(np.int64))
-            ts.append(unplanes(t, 5).astype(np.int64))
-        bounds = np.cumsum([0, *map(len, vs)])
-        v, w = np.concatenate(vs), np.concatenate(ws)
+        packed = {n: rows.column(n).to_pylist() for n in names}
+        heads = [np.frombuffer(h, np.uint64) for h in packed["histories"]]
+        hots = [unplanes(x, 1) for x in packed["hot"]]
+        sizes = [unplanes(x, 4).astype(np.int64) for x in packed["lengths"]]
+        bounds = np.cumsum([0, *(int(x.sum()) for x in sizes)])
+        v = np.concatenate([np.repeat(h, n) for h, n in zip(heads, sizes, strict=True)])
+        w = np.concatenate([unplanes(x, 6) for x in packed["followers"]])
         order = np.lexsort((w, v))
         v, w = v[order], w[order]
         new = np.ones(len(v), bool)
         new[1:] = (v[1:] != v[:-1]) | (w[1:] != w[:-1])
-        place = np.empty(len(v), np.int64)
-        place[order] = np.cumsum(new) - 1
+        place = np.empty(len(v), np.int32)
+        place[order] = np.cumsum(new, dtype=np.int32) - 1
         first = np.flatnonzero(new)
-        total = np.bincount(place, weights=np.concatenate(cs), minlength=len(first)).astype(np.int64)
-        v, w, follower = v[first], w[first], np.concatenate(ts)[order[first]]
+        v, w = v[first], w[first]
+        first = order[first]
+        del order, new, sizes
+        follower = np.concatenate([unplanes(x, 5).astype(np.int64) for x in packed["totals"]])[first]
+        total = np.bincount(place, weights=np.concatenate([unplanes(x, 5).astype(np.float64) for x in packed["counts"]]), minlength=len(first)).astype(np.int64)
+        del first, packed
         known = total > 0
         # What each history's seen followers take: how many have count 1 .. TOP, and their unigram mass.
         begin = runs(v)
@@ -253,6 +261,7 @@ def score(docs: DataFrame, held: str = "pmod(crc32(coalesce(cast(_id as string),
     bigrams = texts.groupBy("pid").cogroup(word_answers.groupBy("pid")).applyInArrow(send_bigrams, "bucket int, pid int, " + ", ".join(f"{n} binary" for n in names))
     bigrams = bigrams.groupBy("bucket").applyInArrow(add_bigrams, "bucket int, pid int, a binary, b binary, c binary, facts array<long>, spread array<struct<history: long, taken: array<long>, mass: double, every: long>>")
     _write(bigrams, f"{folder}/bigrams")
+    release(spark)
     bigrams = spark.read.parquet(f"{folder}/bigrams")
     counted = bigrams.where("pid is null")
     d = discounts(np.array([x or 0 for x in counted.select(*(F.sum(F.col("facts")[i]) for i in range(TOP + 1))).first()]))
@@ -266,6 +275,7 @@ def score(docs: DataFrame, held: str = "pmod(crc32(coalesce(cast(_id as string),
     def finish(rows: pa.Table, back: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return _table(OUT, [[]] * 7)
+        rows = opened(rows)
         own = Group(rows)
         got = sorted(zip(*(back.column(c).to_pylist() for c in ("kind", "bucket", "a", "b", "c")), strict=True), key=lambda r: r[:2])
         own.answer_words([(r[1], r[2]) for r in got if r[0] == 0])
@@ -307,6 +317,14 @@ def _split(data: bytes, n: int) -> list[bytes]:
     return [data[i * size : (i + 1) * size] for i in range(n)]
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of actions that are over: it does so once their plans are collected as garbage."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _write(df: DataFrame, path: str) -> None:
     """A table in the shared folder, a file for each task; a row of it holds a bucket's packed entries or a group's answer."""
     df.write.option("compression", "zstd").parquet(path)

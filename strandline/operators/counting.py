@@ -88,7 +88,7 @@ def count(alignments: DataFrame, elements: DataFrame, resolution: Callable = any
         return sums
     # Every element with every source: the result has that size. Sources are labels of samples; they come as one array.
     sources = alignments.agg(F.collect_set("source").alias("_sources"))
-    every = elements.select("element").distinct().join(F.broadcast(sources)).select("element", F.explode("_sources").alias("source"))
+    every = elements.select("element").distinct().crossJoin(sources).select("element", F.explode("_sources").alias("source"))
     return every.join(sums, ["source", "element"], "left").select("source", "element", F.coalesce("count", F.lit(0.0)).alias("count"))
 
 
