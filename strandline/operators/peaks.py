@@ -17,6 +17,8 @@ from .setops import merge
 from .tracks import coverage, dense, rle_encode, rle_merge, rle_merge2
 
 KEYS = ("contig", "orientation")
+#: Bin width of the joins here: regions, peaks and runs are short. Given, so that no plan is run to find one.
+WIDTH = 512
 
 
 @dataclass(frozen=True)
@@ -74,7 +76,7 @@ def smooth(track: DataFrame, chains: DataFrame, model: ControlModel, keys: Seque
     before = W.partitionBy("chain_id").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
     links = chains.select("chain_id", *keys, "start", "end").withColumn("_off", F.coalesce(F.sum(F.col("end") - F.col("start")).over(before), F.lit(0)))
     places = links.select("chain_id", *keys, "_off", F.col("start").alias("_s"), F.explode(F.sequence("start", F.col("end") - 1)).alias("pos"))
-    inside = overlap_join(links.select("chain_id", *keys, "start", "end"), track.select(*keys, "start", "end", "value"), keys, "inner")
+    inside = overlap_join(links.select("chain_id", *keys, "start", "end"), track.select(*keys, "start", "end", "value"), keys, "inner", WIDTH)
     inside = inside.select("chain_id", F.greatest("start", "start_r").alias("start"), F.least("end", "end_r").alias("end"), F.col("value_r").alias("value"))
     values = dense(inside, ["chain_id"])
     rows = places.join(values, ["chain_id", "pos"], "left").select("chain_id", *keys, "pos", (F.col("_off") + F.col("pos") - F.col("_s")).alias("i"), F.coalesce("value", F.lit(0.0)).alias("v"))
@@ -155,7 +157,7 @@ def nms_uniform(peaks: DataFrame, rois: DataFrame, signal: DataFrame, control: D
 def _positions(regions: DataFrame, signal: DataFrame, control: DataFrame, group: Sequence[str], keys: Sequence[str], least: float) -> DataFrame:
     """group, keys, pos, d = signal - control, for positions of regions where either is at least `least`."""
     both = signal.select(*keys, "start", "end", F.col("value").alias("s"), F.lit(0.0).alias("c")).union(control.select(*keys, "start", "end", F.lit(0.0), "value"))
-    hit = overlap_join(regions, both, keys, "inner")
+    hit = overlap_join(regions, both, keys, "inner", WIDTH)
     cut = hit.select(*dict.fromkeys([*group, *keys]), F.explode(F.sequence(F.greatest("start", "start_r"), F.least("end", "end_r") - 1)).alias("pos"), F.col("s_r").alias("s"), F.col("c_r").alias("c"))
     sums = cut.groupBy(*dict.fromkeys([*group, *keys]), "pos").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
     return sums.where((F.col("s") >= least) | (F.col("c") >= least)).withColumn("d", F.col("s") - F.col("c"))
@@ -164,7 +166,7 @@ def _positions(regions: DataFrame, signal: DataFrame, control: DataFrame, group:
 def _inside_peaks(rows: DataFrame, peaks: DataFrame, group: Sequence[str], keys: Sequence[str], config: Nms) -> DataFrame:
     passed = rows.withColumn("v", F.col("d") - F.col("least")).where(F.col("v") >= F.col("base") * config.fold)
     points = passed.withColumn("start", F.col("pos")).withColumn("end", F.col("pos") + 1)
-    inside = overlap_join(points, peaks.select(*keys, "start", "end").withColumn("peak_start", F.col("start")), keys, "inner")
+    inside = overlap_join(points, peaks.select(*keys, "start", "end").withColumn("peak_start", F.col("start")), keys, "inner", WIDTH)
     inside = inside.select(*dict.fromkeys([*group, *keys]), "pos", "v", "peak_start_r")
     return _recall(inside, [*group, "peak_start_r"], keys).drop("peak_start_r")
 
@@ -179,15 +181,15 @@ def nms_slop(peaks: DataFrame, rois: DataFrame, signal: DataFrame, control: Data
     kinds = [F.first(k).alias(k) for k in keys]
     owner = rois.groupBy("roi_id").agg(*kinds)
     links = rois.select(F.col("roi_id").alias("chain_id"), "start", "end")
-    met = overlap_join(peaks.select(*keys, "start", "end"), rois.select(*keys, "start", "end", "roi_id"), keys, "inner")
+    met = overlap_join(peaks.select(*keys, "start", "end"), rois.select(*keys, "start", "end", "roi_id"), keys, "inner", WIDTH)
     asked = met.select(F.col("roi_id_r").alias("chain_id"), "start", "end").distinct().withColumn("query_id", F.concat_ws(":", "chain_id", "start", "end"))
-    spliced = map_intervals(asked, links).where("status <> 'None'").select("chain_id", "start", "end")
+    spliced = map_intervals(asked, links, width=WIDTH).where("status <> 'None'").select("chain_id", "start", "end")
     groups = merge(spliced, ["chain_id"], config.group_within)
     size = F.col("end") - F.col("start")
     total = links.groupBy("chain_id").agg(F.sum(F.col("end") - F.col("start")).alias("n"))
     slop = F.greatest(F.lit(config.slop_limits[0]), F.least(F.lit(config.slop_limits[1]), (size * config.slop_fraction).cast("long")))
     wide = groups.join(total, "chain_id").select("chain_id", size.alias("size"), F.concat_ws(":", "chain_id", "start").alias("query_id"), F.greatest(F.col("start") - slop, F.lit(0)).alias("start"), F.least(F.col("end") + slop, F.col("n")).alias("end"))
-    back = invmap_intervals(wide.select("query_id", "chain_id", "start", "end"), links).where("links IS NOT NULL")
+    back = invmap_intervals(wide.select("query_id", "chain_id", "start", "end"), links, width=WIDTH).where("links IS NOT NULL")
     regions = back.join(wide.select("query_id", "size"), "query_id").select("query_id", F.col("chain_id").alias("roi_id"), "size", F.explode("links").alias("l"))
     regions = regions.select("query_id", "roi_id", "size", F.col("l.start").alias("start"), F.col("l.end").alias("end")).join(owner, "roi_id")
     rows = _positions(regions.select("query_id", "roi_id", "size", *keys, "start", "end"), signal, control, ["query_id", "roi_id", "size"], keys, config.sensitivity)
