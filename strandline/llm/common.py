@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +44,49 @@ def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def trim() -> None:
+    """Gives memory that a finished task held back to the system: workers live on, and share an executor's limit with its JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def tidy(run: Callable) -> Callable:
+    """For functions over batches."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return tidied
+
+
+def tidy_group(run: Callable) -> Callable:
+    """For functions over a group."""
+
+    def tidied(rows):
+        out = run(rows)
+        trim()
+        return out
+
+    return tidied
+
+
+def tidy_groups(run: Callable) -> Callable:
+    """For functions over a group of each of two tables."""
+
+    def tidied(left, right):
+        out = run(left, right)
+        trim()
+        return out
+
+    return tidied
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = (x ^ (x >> np.uint64(30))) * _MUL1
@@ -114,4 +159,4 @@ def grams(words: np.ndarray, k: int) -> np.ndarray:
     out = words[:n].copy()
     for j in range(1, k):
         out = out * _GOLD + words[j : j + n]
-    return mix(out + _MUL1 * np.uint64(k))
+    return mix(out + np.uint64((int(_MUL1) * k) & (1 << 64) - 1))

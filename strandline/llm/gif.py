@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tidy
 
 #: Samples in a row, and rows in a frame at most, of the GIFs that texts are stored in.
 WIDTH, FRAME_ROWS = 192, 8192
@@ -304,7 +304,7 @@ def frames_table(media: DataFrame, id_col: str = "id", media_col: str = "media",
     names = [x.split()[0] for x in FRAMES.split(", ")]
     kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "string": pa.string()}
     types = [kinds[x.split()[1]] for x in FRAMES.split(", ")]
-    return media.select(F.col(id_col).cast("long").alias("id"), F.col(media_col).alias("media")).mapInArrow(run, FRAMES)
+    return media.select(F.col(id_col).cast("long").alias("id"), F.col(media_col).alias("media")).mapInArrow(tidy(run), FRAMES)
 
 
 def payload_of(text: str | None) -> tuple[int, bytes]:
@@ -339,7 +339,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def _batch(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, STORED)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), STORED)
 
 
 def read_texts(stored: DataFrame) -> DataFrame:
@@ -360,7 +360,7 @@ def read_texts(stored: DataFrame) -> DataFrame:
 
     names = [x.split()[0] for x in READ.split(", ")]
     types = [pa.int64() if x.split()[1] == "long" else pa.string() for x in READ.split(", ")]
-    return stored.mapInArrow(run, READ)
+    return stored.mapInArrow(tidy(run), READ)
 
 
 def op2_gif(spark: SparkSession, sf_dir: str) -> DataFrame:

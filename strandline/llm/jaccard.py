@@ -27,7 +27,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, grams, hash_spans, mix, parts, spans, table
+from .common import chunks, cut, grams, hash_spans, mix, parts, spans, table, tidy
 from .components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -103,7 +103,7 @@ def nodes_of(docs: DataFrame, k: int, trees: int, depth: int, id_col: str, text_
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(node, mask=sizes == 0), pa.array(sizes, pa.int64()), keys], names=["doc_id", "node", "n", "keys"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return texts.mapInArrow(run, "doc_id long, node long, n long, keys array<long>")
+    return texts.mapInArrow(tidy(run), "doc_id long, node long, n long, keys array<long>")
 
 
 def links_among(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
@@ -175,7 +175,7 @@ def verified(sets: DataFrame, threshold: float) -> DataFrame:
         if held:
             yield group(held)
 
-    return sets.mapInArrow(run, "node long, hub long, links long")
+    return sets.mapInArrow(tidy(run), "node long, hub long, links long")
 
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, k: int = WORDS, trees: int = TREES, deepest: int = DEEPEST, recall: float = RECALL, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -206,7 +206,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, k: int = WORDS,
                 yield out.filter(pa.compute.equal(part.column("node"), node))
 
     texts = docs.select(F.col(id_col).cast("long").alias("least_id"), F.col(text_col).alias("text"))
-    sets = texts.join(placed, "least_id").select("component", "node", "blocks", "block", "copies", "text").mapInArrow(items, "component long, node long, blocks int, block int, copies long, items binary")
+    sets = texts.join(placed, "least_id").select("component", "node", "blocks", "block", "copies", "text").mapInArrow(tidy(items), "component long, node long, blocks int, block int, copies long, items binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     paired = sets.withColumn("other", other).select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "copies", "items")
     n = parts(spark)
@@ -223,3 +223,17 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, k: int = WORDS,
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+u AS (SELECT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w),
+g AS (SELECT DISTINCT doc_id, sh FROM u),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE c >= 0.8 * (nx.n + ny.n - c) - 1e-9),
+r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+m AS (SELECT x, min(y) AS class_id FROM r GROUP BY x),
+k AS (SELECT x, count(*) AS n_links FROM l GROUP BY x)
+SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links FROM documents JOIN m ON doc_id = m.x LEFT JOIN k ON doc_id = k.x
+"""

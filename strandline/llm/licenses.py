@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import chunks, grams, hash_spans, lower_ascii, spans, table
+from .common import chunks, grams, hash_spans, lower_ascii, spans, table, tidy
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
@@ -86,7 +86,7 @@ def rolling(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 values = np.concatenate([h[inside].view(np.int64), np.full(n, _SUMMARY)])
                 yield pa.RecordBatch.from_arrays([ids.slice(first, n).take(pa.array(own)), pa.array(pos, pa.int64()), pa.array(values, pa.int64())], names=["doc_id", "pos", "h"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, pos long, h long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), "doc_id long, pos long, h long")
 
 
 def diagonals(docs: DataFrame, base: dict[str, str] = BASE, own=OWN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

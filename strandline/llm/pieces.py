@@ -25,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tidy
 
 SPACE = "▁"
-#: Parts kept in a worker's cache; it is emptied when full.
+#: Parts kept in a worker's cache, in two halves: when the newer one is full, the older one is dropped.
 CACHE = 400_000
+#: Pairs of tokens whose compatibility is kept.
+PAIRS = 300_000
 #: Ids and texts in one batch of results.
 BATCH_BYTES = 8 << 20
 
@@ -106,44 +108,55 @@ class Model:
             if self.reached[t]:
                 self.matcher.add_word(t, (len(t), i))
         self.matcher.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.cache: dict[str, tuple[bytes, bytes, int]] = {}
+        self.pairs: dict[int, bool] = {}
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        other = {2: " \u2047 ".encode(), 3: b""}
+        self.out = [bytes([int(t[3:5], 16)]) if k == 6 else other[k] if k in other else t.replace(SPACE, " ").encode() for t, k in zip(self.text, self.kind, strict=True)]
 
     def _merged(self, text: str) -> list[str]:
         """The merges as defined, for short texts: the best pair first, of equal ones the leftmost."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda k: (self.rank.get(parts[k] + parts[k + 1], np.inf), k))
-            if parts[best] + parts[best + 1] not in self.rank:
+        parts, rank = list(text), self.rank
+        ranks = [rank.get(a + b, np.inf) for a, b in zip(parts, parts[1:], strict=False)]
+        while ranks:
+            best = min(ranks)
+            if best == np.inf:
                 break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+            k = ranks.index(best)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del ranks[k]
+            if k:
+                ranks[k - 1] = rank.get(parts[k - 1] + parts[k], np.inf)
+            if k < len(ranks):
+                ranks[k] = rank.get(parts[k] + parts[k + 1], np.inf)
         return parts
 
     def compatible(self, left: int, right: int) -> bool:
-        found = self.pairs.get((left, right))
+        key = left << 20 | right
+        found = self.pairs.get(key)
         if found is None:
-            if len(self.pairs) >= CACHE:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
             a, b = self.text[left], self.text[right]
-            found = self.pairs[left, right] = self._merged(a + b) == [a, b]
+            found = self.pairs[key] = self._merged(a + b) == [a, b]
         return found
 
     def part(self, text: str) -> list[int]:
-        """Ids of a part of a text, over the prefix table."""
+        """Ids of a part of a text, over the prefix table: the last token and its length for each prefix; a length of 0
+        is a character that no piece ends at, which becomes its bytes."""
         n = len(text)
-        ends: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for at, match in self.matcher.iter(text):
-            ends[at].append(match)
-        last: list[int] = [-1] * (n + 1)
-        size: list[int] = [0] * (n + 1)
-        for at in range(n):
-            for length, token in ends[at]:
-                before = at + 1 - length
-                if before == 0 or (last[before] < 0 and size[before] == 1) or (last[before] >= 0 and self.compatible(last[before], token)):
-                    last[at + 1], size[at + 1] = token, length
-                    break
-            else:
-                size[at + 1] = 1  # no piece ends here: the character's bytes
+        last, size = [-1] * (n + 1), [0] * (n + 1)
+        pairs, compatible = self.pairs.get, self.compatible
+        for at, (length, token) in self.matcher.iter(text):
+            end = at + 1
+            if size[end]:
+                continue
+            left = last[end - length]
+            if left >= 0:
+                fits = pairs(left << 20 | token)
+                if not (compatible(left, token) if fits is None else fits):
+                    continue
+            last[end], size[end] = token, length
         ids: list[int] = []
         at = n
         while at:
@@ -151,34 +164,37 @@ class Model:
                 ids += self._bytes(text[at - 1])[::-1]
             else:
                 ids.append(last[at])
-            at -= size[at]
+            at -= size[at] or 1
         return ids[::-1]
 
     def _bytes(self, char: str) -> list[int]:
         return [self.bytes[b] for b in char.encode()] if self.bytes else [self.unk]
 
     def raw(self, ids: list[int]) -> bytes:
-        return b"".join(bytes([int(self.text[i][3:5], 16)]) if self.kind[i] == 6 else b"" if self.kind[i] == 3 else " ⁇ ".encode() if self.kind[i] == 2 else self.text[i].replace(SPACE, " ").encode() for i in ids)
+        """The pieces' bytes, joined."""
+        return b"".join(map(self.out.__getitem__, ids))
 
-    def known(self, text: str) -> tuple[bytes, bytes, int]:
-        """Ids as little-endian unsigned 32-bit integers, what they decode to, and their number."""
-        ids = self.part(text)
-        found = np.array(ids, "<u4").tobytes(), self.raw(ids), len(ids)
+    def known(self, text: str) -> bytes:
+        """Ids of a part as little-endian unsigned 32-bit integers, kept in the cache."""
+        found = self.older.get(text) or np.array(self.part(text), "<u4").tobytes()
         if len(text) <= 64:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
+            if len(self.cache) >= CACHE // 2:
+                self.older, self.cache = self.cache, {}
             self.cache[text] = found
         return found
 
-    def encode(self, text: str) -> tuple[bytes, bytes]:
-        """Ids' bytes without begin and end ids, and the text that they decode to."""
+    def encode(self, text: str) -> bytes:
+        """The ids' bytes, without begin and end ids."""
         if not text:
-            return b"", b""
+            return b""
         text = ((SPACE if self.prefix else "") + text).replace(" ", SPACE)
-        get, known = self.cache.get, self.known
-        found = [get(p) or known(p) for p in self.cut.findall(text)]
-        raw = b"".join([x[1] for x in found])
-        return b"".join([x[0] for x in found]), raw[1:] if self.prefix and raw[:1] == b" " else raw
+        known = self.known
+        return b"".join([self.cache.get(p) or known(p) for p in self.cut.findall(text)])
+
+    def decoded(self, ids: bytes) -> bytes:
+        """What the ids decode to, in UTF-8."""
+        raw = self.raw(np.frombuffer(ids, "<u4").tolist())
+        return raw[1:] if self.prefix and raw[:1] == b" " else raw
 
     def decode(self, ids: list[int]) -> str:
         """Pieces joined; begin and end ids give nothing; a space that the first piece begins with goes; bytes that are no UTF-8 become U+FFFD."""
@@ -222,8 +238,8 @@ def encode_texts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
             rows, held = [], 0
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
                 text = text.as_py() or ""
-                ids, raw = own.encode(text)
-                ids = bos + ids + eos
+                ids = bos + own.encode(text) + eos
+                raw = own.decoded(ids)
                 if digests:
                     rows.append((doc_id.as_py(), len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(raw).hexdigest()))
                 elif check:
@@ -243,7 +259,7 @@ def encode_texts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
     def _batch(rows: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, out_ddl)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), out_ddl)
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, chunks, hash_spans, lower_ascii, mix, spans, table
+from .common import SPACE, chunks, hash_spans, lower_ascii, mix, spans, table, tidy
 
 SLOTS = 1 << 20
 #: Rated documents that the model is fitted on, at most.
-SAMPLE = 8000
+SAMPLE = 6000
 ROUNDS = 120
 RIDGE = 2e-4
 #: Bytes of the beginnings of words that are features.
@@ -41,6 +41,9 @@ LEAST_DOCS = 8
 #: A document is kept if P(grade >= KEEP_GRADE) is at least KEEP.
 KEEP_GRADE, KEEP = 2, 0.5
 
+#: Bytes of texts worked on at once: features take some sixty bytes for each.
+CHUNK_BYTES = 1 << 20
+
 _CLASS = np.arange(256).astype(np.uint8)
 _CLASS[97:123] = ord("a")
 _CLASS[65:91] = ord("A")
@@ -114,7 +117,8 @@ def fit(row: np.ndarray, slot: np.ndarray, value: np.ndarray, grades: np.ndarray
     """Nesterov steps on the mean negative log likelihood. The thresholds stay ordered, being a first value and positive steps."""
     n = len(grades)
     common = np.bincount(slot, minlength=slots) >= least_docs
-    row, slot, value = (x[common[slot]] for x in (row, slot, value))
+    kept = common[slot]
+    row, slot, value = row[kept].astype(np.int64), slot[kept].astype(np.int64), value[kept].astype(np.float64)
     counts = np.bincount(grades, minlength=levels)
     tail = (np.cumsum(counts[::-1])[::-1][1:] + 0.5) / (n + 1)
     weights, base = np.zeros(slots), -np.log(tail / (1 - tail))
@@ -153,13 +157,13 @@ def grade_of(quality, toxic):
 def _slots_of(docs: DataFrame, slots: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, n, data, offsets in chunks(batch.column(1)):
+            for first, n, data, offsets in chunks(batch.column(1), CHUNK_BYTES):
                 row, slot, value = features(data, offsets, slots)
                 at = np.searchsorted(row, np.arange(n + 1)).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x, t)) for x, t in ((slot, pa.int32()), (value, pa.float32()))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), *lists], names=["grade", "slots", "values"])
 
-    return docs.mapInArrow(run, "grade int, slots array<int>, values array<float>")
+    return docs.mapInArrow(tidy(run), "grade int, slots array<int>, values array<float>")
 
 
 def train(docs: DataFrame, ratings: DataFrame, levels: int, sample: int = SAMPLE, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> Ordinal | None:
@@ -173,9 +177,9 @@ def train(docs: DataFrame, ratings: DataFrame, levels: int, sample: int = SAMPLE
     if not len(grades):
         return None
     sizes = np.array([len(x) for x in found.column("slots")])
-    row = np.repeat(np.arange(len(grades)), sizes)
-    slot = found.column("slots").combine_chunks().flatten().to_numpy().astype(np.int64)
-    value = found.column("values").combine_chunks().flatten().to_numpy().astype(np.float64)
+    row = np.repeat(np.arange(len(grades), dtype=np.int32), sizes)
+    slot = found.column("slots").combine_chunks().flatten().to_numpy()
+    value = found.column("values").combine_chunks().flatten().to_numpy()
     return fit(row, slot, value, grades, levels, slots)
 
 
@@ -189,7 +193,7 @@ def score(docs: DataFrame, model: Ordinal | None, levels: int, slots: int = SLOT
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
-            for first, n, data, offsets in chunks(batch.column(at)):
+            for first, n, data, offsets in chunks(batch.column(at), CHUNK_BYTES):
                 if own is None:
                     tails = np.ones((n, levels - 1))
                 else:
@@ -198,7 +202,7 @@ def score(docs: DataFrame, model: Ordinal | None, levels: int, slots: int = SLOT
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (levels - 1)), pa.array(tails.ravel()))
                 yield pa.RecordBatch.from_arrays([*batch.slice(first, n).columns, pa.array(tails.sum(1)), lists], names=[*names, "_expected", "_tails"])
 
-    out = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True))).mapInArrow(run, schema)
+    out = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True))).mapInArrow(tidy(run), schema)
     return out.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)), F.struct(F.col("_expected").alias("expected"), F.col("_tails").alias("tails")).alias("_quality"))
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, grams, hash_spans, parts, spans, table
+from .common import chunks, grams, hash_spans, parts, spans, table, tidy_group, tidy_groups
 
 LENGTH = 13
 SEED = 6
@@ -89,7 +89,7 @@ def _packed(arrays: list[np.ndarray]) -> np.ndarray:
 
 
 def _table(schema: pa.Schema, columns: list) -> pa.Table:
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns or [[]] * len(schema), schema, strict=True)], schema=schema)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", layout: bool = False) -> DataFrame:
@@ -135,7 +135,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             block = block & ~np.uint64(1)
             if len(hit := block[_among(block, shared)]):
                 out.append((pid, hit.tobytes(), None))
-        return _table(back, list(zip(*out, strict=True)) if out else [[]] * 3)
+        return _table(back, list(zip(*out, strict=True)))
 
     def extend(rows: pa.Table, shared: pa.Table) -> pa.Table:
         if not rows.num_rows or not shared.num_rows:
@@ -148,7 +148,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         keys, lo, _ = least(*(_packed([f[i] for f in found]) for i in range(2)))
         pid = rows.column("pid")[0].as_py()
         out = [(b, pid, keys[s].tobytes(), lo[s].tobytes()) for b, s in slices(keys, buckets)]
-        return _table(sent, list(zip(*out, strict=True)) if out else [[]] * 4)
+        return _table(sent, list(zip(*out, strict=True)))
 
     def compare(rows: pa.Table) -> pa.Table:
         pids = rows.column("pid").to_pylist()
@@ -161,7 +161,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             less = all_ids < own_ids
             if less.any():
                 out.append((pid, block[less].tobytes(), all_ids[less].tobytes()))
-        return _table(back, list(zip(*out, strict=True)) if out else [[]] * 3)
+        return _table(back, list(zip(*out, strict=True)))
 
     fields = [docs.schema[c] for c in carried]
     struct = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("repeats", T.ArrayType(T.ArrayType(T.IntegerType())))])
@@ -201,9 +201,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         return pa.table([*columns, pa.array(texts_, pa.binary()).cast(pa.string()), pa.array(facts, dedup_type)], names=[*(f"_c{i}" for i in range(len(fields))), "_text", "_dedup"])
 
     by = lambda df: df.groupBy("pid")
-    anchors = by(narrow).applyInArrow(seed, sent_ddl).groupBy("bucket").applyInArrow(meet, back_ddl)
-    windows = by(narrow).cogroup(by(anchors)).applyInArrow(extend, sent_ddl).groupBy("bucket").applyInArrow(compare, back_ddl)
-    out = by(texts).cogroup(by(windows)).applyInArrow(keep, schema)
+    anchors = by(narrow).applyInArrow(tidy_group(seed), sent_ddl).groupBy("bucket").applyInArrow(tidy_group(meet), back_ddl)
+    windows = by(narrow).cogroup(by(anchors)).applyInArrow(tidy_groups(extend), sent_ddl).groupBy("bucket").applyInArrow(tidy_group(compare), back_ddl)
+    out = by(texts).cogroup(by(windows)).applyInArrow(tidy_groups(keep), schema)
     return out.select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(carried)), F.col("_text").alias(text_col), "_dedup")
 
 

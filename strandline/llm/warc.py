@@ -25,7 +25,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts, shared_dir, table
+from .common import parts, shared_dir, table, tidy
 
 MEMBER, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Payloads shorter than this are always whole responses.
@@ -275,7 +275,7 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
 
     names, kinds = [x.split()[0] for x in RECORDS.split(", ")], [x.split()[1] for x in RECORDS.split(", ")]
     NAMES, TYPES = names, [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[k] for k in kinds]
-    return archives.select("archive").mapInArrow(read, RECORDS)
+    return archives.select("archive").mapInArrow(tidy(read), RECORDS)
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = LEAST_DEDUP_BYTES, archive_bytes: int = ARCHIVE_BYTES, zip64: bool = False) -> DataFrame:
@@ -293,7 +293,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_DEDUP_BYTES
     firsts = keyed.where(F.col("n") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("digest", "first")
     whole = pages.withColumn("digest", F.sha2(payload, 256))
     joined = whole.join(firsts, "digest", "left").withColumn("first", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
-    return joined.select("page_id", "url", "html", "digest", "first").mapInArrow(_writer(folder, archive_bytes, zip64), "archive string, n_records long")
+    return joined.select("page_id", "url", "html", "digest", "first").mapInArrow(tidy(_writer(folder, archive_bytes, zip64)), "archive string, n_records long")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
