@@ -8,8 +8,8 @@ import importlib
 ENTRIES = (
     ("op1_substring_dedup", "substrings", "OP1_SQL"),
     ("op2_gif", "gif", None),
-    ("op3_jaccard_join", "jaccard", None),
-    ("op4_mix", "mixing", None),
+    ("op3_jaccard_join", "jaccard", "OP3_SQL"),
+    ("op4_mix", "mixing", "OP4_SQL"),
     ("op5_katz", "katz", None),
     ("op6_quality", "quality", None),
     ("op7_licenses", "licenses", None),

@@ -11,8 +11,8 @@
 4. Documents are range-sorted by the time of their first copy.
 
 Edge cases: null text has size 0; documents of size 0 are taken 0 words and stand at time 0 of their source;
-null sources are one source, the last; a repeated doc_id is another document; equal hashes are ordered by
-doc_id, then by size; an empty table gives no rows; other columns of the input are ignored.
+null sources are one source, the last; a repeated doc_id is another document; a null one is hashed as empty
+text; equal hashes are ordered by doc_id, then by size; an empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -69,8 +69,10 @@ def inverse_time(x: Column, g: Column) -> Column:
 
 def placed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, buckets: int = BUCKETS) -> DataFrame:
     """docs(doc_id, source, size, ...) with source_size, target, weight, `start` (words before it on its source's tape) and `rank`."""
-    key = F.xxhash64(F.lit("mix"), F.col("doc_id"))
-    docs = docs.withColumn("_key", key).withColumn("_bucket", F.pmod(F.col("_key"), F.lit(buckets)).cast("int"))
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    # Buckets are ranges of the key, so that their order is the key's.
+    bucket = F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") * F.lit(buckets) / F.lit(1 << 32)
+    docs = docs.withColumn("_key", key).withColumn("_bucket", F.floor(bucket).cast("int"))
     blocks = cut(docs.groupBy("source", "_bucket").agg(F.sum("size").alias("_block")))  # of bounded size for each source
     goals = targets(blocks.groupBy("source").agg(F.sum("_block").alias("source_size")), weights, most)
     run = W.partitionBy("source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -115,4 +117,15 @@ def sized(docs: DataFrame) -> DataFrame:
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = cut(sized(table(spark, sf_dir, "documents")))
     found = mix(docs).repartitionByRange("first_time", "doc_id").sortWithinPartitions("first_time", "doc_id")
-    return found.select("doc_id", "size", "source_size", "target", "taken", "first_time")
+    return found.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS i FROM d GROUP BY source),
+q AS (SELECT *, CASE i % 3 WHEN 1 THEN 5.0::DOUBLE WHEN 2 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w, 3.0::DOUBLE * source_size AS cap FROM s),
+l AS (SELECT *, cap / w AS r, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) / sum(w) OVER (ORDER BY cap / w, i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM q),
+t AS (SELECT source, source_size, least(cap, w * (SELECT level FROM l WHERE level <= r ORDER BY r, i LIMIT 1)) AS target FROM l),
+p AS (SELECT d.*, source_size, target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, round(target, 6) AS target, CAST(greatest(0, least(size, round(target) - a)) + greatest(0, least(size, round(target) - a - source_size)) + greatest(0, least(size, round(target) - a - 2 * source_size)) AS BIGINT) AS taken FROM p
+"""
