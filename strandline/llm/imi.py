@@ -4,13 +4,13 @@ The two halves of each vector are quantised separately, by centroids fitted on a
 pair of centroids, and every vector is indexed in its cell. A query goes through the cells in falling order of
 summed half scores (its inner products with the two centroids) with a heap, until the cells that it has
 passed hold `reach` of all vectors and at least `least` vectors; the entries of those cells are scored in
-full, in double precision.
+full, in double precision. Vectors without clusters need a large reach for a given recall, others a small one.
 
 Equal vectors are one entry with its `k` + 1 smallest ids (no more can be among the k nearest but for the
-query itself), and equal queries are searched once, so a vector that a third of all rows hold costs one entry. Cells with
-many entries are split into blocks, and queries into blocks: a task scores one block against another as a
-matrix product and keeps the k + 1 best of each query. The table of cell sizes is bounded by the square of the
-centroids' number; it is all that is broadcast beside the centroids.
+query itself), and equal queries are searched once, so a vector that a third of all rows hold costs one entry. Cells are
+packed into blocks of bounded size, large cells split over several, and queries into lots: a task scores one block against
+one lot as a matrix product, in which cells that a query did not reach do not count, and keeps the k + 1 best of each
+query. The table of cell sizes is bounded by the square of the centroids' number; it is all that is sent along beside the centroids.
 
 Edge cases: vectors that are null, empty, zero, of another length than most, or hold null or non-finite
 components take no part, neither as queries nor as candidates; with fewer candidates than k all found are
@@ -30,14 +30,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, table, tidy, tidy_groups
 
 K = 20
-CENTROIDS = 32
+CENTROIDS = 64
 #: Vectors that the centroids are fitted on, at most.
 SAMPLE = 8192
 #: Share of all distinct vectors, and number of them, that a query scores at least.
-REACH, LEAST = 0.03, 1500
+REACH, LEAST = 0.5, 1500
 #: Entries and queries of a block.
 BLOCK, QUERY_BLOCK = 4096, 2048
 
@@ -57,7 +57,7 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
                     keys.append(v.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], names=["id", "key"])
 
-    return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vector")).mapInArrow(run, "id long, key binary")
+    return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vector")).mapInArrow(tidy(run), "id long, key binary")
 
 
 def entries_of(rows: DataFrame, keep: int) -> DataFrame:
@@ -107,6 +107,22 @@ def traverse(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, enough: i
     return out
 
 
+def pack(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """First block and number of blocks of each cell: neighbouring cells share a block of about `most` entries; a larger cell has several of its own."""
+    base, splits, block, held = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64), 0, 0
+    for c, n in enumerate(sizes.tolist()):
+        if n > most:
+            block += held > 0
+            base[c], splits[c] = block, -(-n // most)
+            block, held = block + int(splits[c]), 0
+            continue
+        if held + n > most:
+            block, held = block + 1, 0
+        base[c] = block
+        held += n
+    return base, splits
+
+
 def _matrix(keys, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(keys), np.float64).reshape(-1, dim)
 
@@ -136,14 +152,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, centroids: int =
                 yield rows[["key", "ids", "h", "cell"]]
 
     sized = F.octet_length("key") == 8 * dim
-    placed = cut(entries.where(sized).mapInPandas(place, "key binary, ids array<long>, h long, cell int"))
+    placed = cut(entries.where(sized).mapInPandas(tidy(place), "key binary, ids array<long>, h long, cell int"))
     sizes = np.zeros(len(c1) * n2, np.int64)
     for r in placed.groupBy("cell").count().collect():  # at most centroids ** 2 rows
         sizes[r["cell"]] = r["count"]
     enough = max(least, int(np.ceil(reach * sizes.sum())))
-    blocks = np.maximum(1, -(-sizes // BLOCK))
+    base, splits = pack(sizes, BLOCK)
 
-    # Distinct query vectors, with their cells and a block of queries for each.
+    # Distinct query vectors, each with the blocks of the cells that it reaches.
     distinct = asked.where(sized).select("key").distinct()
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -153,36 +169,40 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, centroids: int =
             m = _matrix(rows["key"], dim)
             s1, s2 = m[:, :half] @ c1.T, m[:, half:] @ c2.T
             for key, f, s, h in zip(rows["key"], s1, s2, rows["h"], strict=True):
-                cells = [(c, b) for c in traverse(f, s, sizes, enough) for b in range(blocks[c])]
-                yield pd.DataFrame({"cell": [c for c, _ in cells], "block": [b for _, b in cells], "q": h, "key": [key] * len(cells)})
-
-    visits = distinct.withColumn("h", F.xxhash64("key")).mapInPandas(visit, "cell int, block int, q long, key binary")
-    # Queries of a (cell, block) are split further, in proportion to all queries, so that no task gets them all.
-    n_queries = distinct.count()
-    lots = max(1, -(-n_queries // QUERY_BLOCK))
+                cells = np.array(traverse(f, s, sizes, enough))
+                reached = np.zeros(len(sizes), bool)
+                reached[cells] = True
+                blocks = np.unique(np.concatenate([base[c] + np.arange(splits[c]) for c in cells]))
+                yield pd.DataFrame({"block": blocks, "q": h, "key": [key] * len(blocks), "reached": [np.packbits(reached).tobytes()] * len(blocks)})
+
+    visits = distinct.withColumn("h", F.xxhash64("key")).mapInPandas(tidy(visit), "block int, q long, key binary, reached binary")
+    # Queries of a block are split into lots, in proportion to all queries, so that no task gets them all.
+    lots = max(1, -(-distinct.count() // QUERY_BLOCK))
     visits = visits.withColumn("lot", F.pmod("q", F.lit(lots)).cast("int"))
-    count_of = F.array(*[F.lit(int(b)) for b in blocks]) if len(blocks) <= 1024 else None
-    n_blocks = F.element_at(count_of, F.col("cell") + 1) if count_of is not None else F.lit(1)
-    stored = placed.withColumn("block", F.pmod(F.col("h"), n_blocks).cast("int")).withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))))
+    homes = spark.createDataFrame([(c, int(base[c]), int(splits[c])) for c in np.flatnonzero(sizes).tolist()], "cell int, base int, splits int")
+    stored = placed.join(F.broadcast(homes), "cell").withColumn("block", F.col("base") + F.pmod(F.col("h"), F.col("splits")).cast("int"))
+    stored = stored.select("block", "cell", "key", "ids").withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))))
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"key": [], "vec_id": [], "score": []}).astype({"vec_id": "int64", "score": "float64"})
         vectors_, asked_ = _matrix(left["key"], dim), _matrix(right["key"], dim)
-        ids, out = left["ids"].to_numpy(), []
-        for at in range(0, len(asked_), 512):
-            q = asked_[at : at + 512]
-            near = q @ vectors_.T
+        ids, cells, out = left["ids"].to_numpy(), left["cell"].to_numpy(), []
+        for at in range(0, len(asked_), 256):
+            q = asked_[at : at + 256]
+            reached = np.frombuffer(b"".join(right["reached"].iloc[at : at + 256]), np.uint8).reshape(len(q), -1)
+            near = np.where(np.unpackbits(reached, axis=1)[:, cells] == 1, q @ vectors_.T, -np.inf)
             keep = min(near.shape[1], k + 8)  # more than k + 1: equal scores may differ in the last bits here
             best = np.argpartition(-near, keep - 1, axis=1)[:, :keep]
             for i, row in enumerate(best):
+                row = row[np.isfinite(near[i, row])]
                 exact = (vectors_[row] * q[i]).cumsum(1)[:, -1]  # summed in order, so equal vectors score alike
                 found = sorted((-s, v) for s, e in zip(exact, row, strict=True) for v in ids[e])[: k + 1]
                 out += [(right["key"].iat[at + i], v, -s) for s, v in found]
         return pd.DataFrame(out, columns=["key", "vec_id", "score"])
 
-    grouped = stored.groupBy("cell", "block", "lot").cogroup(visits.groupBy("cell", "block", "lot"))
-    partial = grouped.applyInPandas(score, "key binary, vec_id long, score double")
+    grouped = stored.groupBy("block", "lot").cogroup(visits.groupBy("block", "lot"))
+    partial = grouped.applyInPandas(tidy_groups(score), "key binary, vec_id long, score double")
     order = W.partitionBy("key").orderBy(F.desc("score"), "vec_id")
     best = partial.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).groupBy("key").agg(F.collect_list(F.struct("vec_id", "score")).alias("found"))
     # Back to the query rows: each drops itself.
