@@ -180,3 +180,23 @@ def consistent(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """key, column: where a column that must be constant for each key is not."""
     checks = [df.groupBy(key).agg(F.count_distinct(F.coalesce(F.col(c).cast("string"), F.lit("\0"))).alias("n")).where("n > 1").select(key, F.lit(c).alias("column")) for c in columns]
     return reduce(DataFrame.union, checks)
+
+
+# ---- assemblies: annotations(assembly, key, kind, path), sequences(assembly, path), organisms(assembly, organism)
+
+
+def merge_annotations(*tables: DataFrame) -> DataFrame:
+    """assembly, key, kind, paths: annotations of all tables by key; a key of two kinds is an error when the result is used."""
+    whole = reduce(DataFrame.unionByName, tables).groupBy("assembly", "key").agg(F.collect_set("kind").alias("_k"), F.array_sort(F.collect_set("path")).alias("paths"))
+    kind = F.when(F.size("_k") == 1, F.element_at("_k", 1)).otherwise(F.raise_error(F.concat(F.lit("annotations of two kinds: "), F.col("key"))))
+    return whole.select("assembly", "key", kind.alias("kind"), "paths")
+
+
+def merge_assemblies(sequences: list[DataFrame], organisms: list[DataFrame]) -> DataFrame:
+    """assembly, organisms, paths: the union of organisms and of sequence files; an assembly without a file is an error when the result is used."""
+    files = reduce(DataFrame.unionByName, sequences).groupBy("assembly").agg(F.array_sort(F.collect_set("path")).alias("paths"))
+    names = reduce(DataFrame.unionByName, organisms).groupBy("assembly").agg(F.array_sort(F.collect_set("organism")).alias("organisms"))
+    joined = names.join(files, "assembly", "full")
+    none = F.array().cast("array<string>")
+    paths = F.when(F.col("paths").isNotNull(), F.col("paths")).otherwise(F.raise_error(F.concat(F.lit("no sequence of "), F.col("assembly"))).cast("array<string>"))
+    return joined.select("assembly", F.coalesce("organisms", none).alias("organisms"), paths.alias("paths"))

@@ -245,7 +245,9 @@ def _(spark, d):
 
 # ---- tracks
 
-W420 = F.lit(420) / F.col("nh")
+def w420():
+    """Weights 1 / nh in units of 1 / 420, which are integers."""
+    return F.lit(420) / F.col("nh")
 
 
 def _cov(name, where, keys="contig"):
@@ -256,7 +258,7 @@ def _cov(name, where, keys="contig"):
 
 @query("coverage", f"WITH {R}, {_cov('t', 'TRUE', 'contig, orientation')} SELECT contig, orientation, start, \"end\", value FROM t")
 def _(spark, d):
-    return tracks.coverage(views.reads(spark, d), KEYS, W420)
+    return tracks.coverage(views.reads(spark, d), KEYS, w420())
 
 
 RLE = """{t}1 AS (SELECT *, CASE WHEN lag("end") OVER w = start AND lag(value) OVER w = value THEN 0 ELSE 1 END AS fresh FROM {t} WINDOW w AS (PARTITION BY {k} ORDER BY start)),
@@ -273,7 +275,7 @@ def _(spark, d):
 
 def _three(spark, d):
     r = views.reads(spark, d)
-    return [tracks.coverage(r.where(f"orientation = {o}"), ["contig"], W420) for o in (1, -1, 0)]
+    return [tracks.coverage(r.where(f"orientation = {o}"), ["contig"], w420()) for o in (1, -1, 0)]
 
 
 def _merged(names, value):
@@ -316,7 +318,7 @@ def _(spark, d):
  k1 AS (SELECT *, sum(fresh) OVER (PARTITION BY contig ORDER BY start) AS isl FROM (SELECT *, CASE WHEN start <= max("end") OVER (PARTITION BY contig ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 4 THEN 0 ELSE 1 END AS fresh FROM k))
  SELECT contig, min(start) AS start, max("end") AS "end", max(value) AS signal, first((start + "end") // 2 ORDER BY value DESC, start) AS summit FROM k1 GROUP BY contig, isl HAVING max("end") - min(start) > 10""")
 def _(spark, d):
-    track = tracks.coverage(views.reads(spark, d), ["contig"], W420)
+    track = tracks.coverage(views.reads(spark, d), ["contig"], w420())
     return peaks.call_peaks(track, peaks.Cutoff(1500, 4, 10), ["contig"])
 
 
@@ -326,7 +328,7 @@ def _rois(spark, d):
 
 def _sides(spark, d):
     r = views.reads(spark, d)
-    return tracks.coverage(r.where("source = 's1'"), KEYS, W420), tracks.coverage(r.where("source = 's0'"), KEYS, W420)
+    return tracks.coverage(r.where("source = 's1'"), KEYS, w420()), tracks.coverage(r.where("source = 's0'"), KEYS, w420())
 
 
 @query("smooth_control")
@@ -353,7 +355,7 @@ def _(spark, d):
 @query("harvest")
 def _(spark, d):
     r = views.reads(spark, d)
-    return peaks.harvest(r.where("source = 's1'"), r.where("source = 's0'"), _rois(spark, d), peaks.ControlModel((16,), False), peaks.Cutoff(2.0, 4, 5), peaks.Nms(1.5), weight=W420)
+    return peaks.harvest(r.where("source = 's1'"), r.where("source = 's0'"), _rois(spark, d), peaks.ControlModel((16,), False), peaks.Cutoff(2.0, 4, 5), peaks.Nms(1.5), weight=w420())
 
 
 # ---- reads

@@ -186,3 +186,29 @@ def test_sessions(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.n for r in spark.table("sess").where("k = 'k'").collect()) == [1, 2]
+
+
+def test_assemblies(spark):
+    ann = lambda *rows: spark.createDataFrame(list(rows), "assembly string, key string, kind string, path string")
+    merged = metadata.merge_annotations(ann(("a", "genes", "gff", "x")), ann(("a", "genes", "gff", "y"), ("b", "genes", "gff", "z"))).collect()
+    assert {(r.assembly, r["key"], tuple(r.paths)) for r in merged} == {("a", "genes", ("x", "y")), ("b", "genes", ("z",))}
+    with pytest.raises(Exception):
+        metadata.merge_annotations(ann(("a", "genes", "gff", "x"), ("a", "genes", "bed", "y"))).collect()
+    seqs = spark.createDataFrame([("a", "f1"), ("a", "f2")], "assembly string, path string")
+    orgs = spark.createDataFrame([("a", "h"), ("a", "m")], "assembly string, organism string")
+    assert tuple(metadata.merge_assemblies([seqs], [orgs, orgs]).first().organisms) == ("h", "m")
+    with pytest.raises(Exception):
+        metadata.merge_assemblies([seqs.limit(0)], [orgs]).collect()
+
+
+def test_mates_stream(spark, tmp_path):
+    from strandline.streaming import mates
+
+    schema = "qname string, hi int, t timestamp"
+    for side, rows in (("a", [("x", 1, 0), ("y", 1, 0)]), ("b", [("x", 1, 5), ("y", 2, 5)])):
+        spark.createDataFrame([(q, h, f"2024-01-01 00:00:0{s}") for q, h, s in rows], "qname string, hi int, t string").select("qname", "hi", F.to_timestamp("t").alias("t")).write.parquet(str(tmp_path / side))
+    first, second = (spark.readStream.schema(schema).parquet(str(tmp_path / x)) for x in "ab")
+    q = mates(first, second, "t", "1 minute").select("a.qname").writeStream.format("memory").queryName("mates").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert [r.qname for r in spark.table("mates").collect()] == ["x"]
