@@ -9,6 +9,8 @@ import pyarrow as pa
 import pyarrow.ipc
 from pyspark.sql import DataFrame
 
+from .common import tidy
+
 LEVEL = 3
 
 
@@ -43,7 +45,7 @@ def dealt(docs: DataFrame, groups: int, partitions: int | None = None) -> DataFr
     def _rows(pids: list, blocks: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(pids, pa.int32()), pa.array(blocks, pa.binary())], names=["pid", "block"])
 
-    return docs.mapInArrow(pack, "pid int, block binary").repartition(partitions or groups, "pid")
+    return docs.mapInArrow(tidy(pack), "pid int, block binary").repartition(partitions or groups, "pid")
 
 
 def opened(rows: pa.Table) -> pa.Table:

@@ -16,7 +16,8 @@ in which it asked. So a word or bigram of any frequency is one entry for each gr
 history, so that its followers' mass adds up in one bucket; histories with more than a thousandth of all tokens,
 of which there are fewer than a thousand, are spread by their followers, and only their sums come to the driver.
 
-Words are told apart by 64-bit hashes, followers of one history by 48 bits.
+Words are told apart by 64-bit hashes when they are counted; a bucket then numbers its words, and bigrams are made
+of these numbers. Histories that are not known need no answer, and unknown followers of one are a single entry.
 
 Edge cases: null or empty text is its end token; a null doc_id is held out if crc32 of the empty text says so; a
 text of any length is one history; rows of one doc_id are scored one by one; with nothing to learn from all words
@@ -25,6 +26,7 @@ are unknown with probability 1; an empty table gives no rows; of the input only
 
 from __future__ import annotations
 
+import time
 import uuid
 
 import numpy as np
@@ -32,14 +34,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, hash_spans, lower_ascii, mix, parts, shared_dir, spans, table
+from .common import chunks, cut, hash_spans, lower_ascii, mix, parts, shared_dir, spans, table, tidy_group, tidy_groups
 from .grouped import dealt, opened
 from .substrings import _table, runs, slices
 
 END, BEGIN = np.uint64(0x1F0E11D5A7C3B201), np.uint64(0x2B3C99D7E5F41A07)
 TOP = 5
 HOT_SHARE = 1000
-_LOW48 = np.uint64((1 << 48) - 1)
+#: Numbers of words: their place in the bucket, and the bucket in the low bits; two numbers stand for the begin mark and for unknown words.
+BUCKET_BITS = 20
+BEGIN_ID, UNKNOWN_ID = np.uint64((1 << 48) - 1), np.uint64((1 << 48) - 2)
 
 
 def discounts(counts_of_counts: np.ndarray, top: int = TOP) -> np.ndarray:
@@ -78,16 +82,18 @@ class Unigrams:
 
 
 def planes(values: np.ndarray, width: int) -> bytes:
-    """The low bytes of unsigned integers, byte plane by byte plane: planes of zeros take no room once compressed."""
+    """The low bytes of unsigned integers, byte plane by byte plane, compressed: a plane takes about its entropy."""
     raw = np.ascontiguousarray(values, dtype="<u8").view(np.uint8).reshape(-1, 8)
-    return np.ascontiguousarray(raw[:, :width].T).tobytes()
+    data = np.ascontiguousarray(raw[:, :width].T).tobytes()
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
 
 def unplanes(data: bytes, width: int) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8).reshape(width, -1)
+    size = int.from_bytes(data[:8], "little")
+    raw = np.frombuffer(pa.decompress(data[8:], size, codec="zstd"), np.uint8).reshape(width, -1)
     out = np.zeros((raw.shape[1], 8), np.uint8)
     out[:, :width] = raw.T
-    return out.view("<u8").ravel().astype(np.uint64)
+    return out.view("<u8").ravel()
 
 
 def tokens(rows: pa.Table):
@@ -116,32 +122,42 @@ class Group:
         self.words, self.word = np.unique(self.tok, return_inverse=True)
         self.counts = np.bincount(self.word[self.learn], minlength=len(self.words))
 
-    def answer_words(self, rows: list[tuple[int, bytes]]) -> None:
-        self.all = np.concatenate([unplanes(data, 5) for _, data in sorted(rows)]).astype(np.int64)
+    def answer_words(self, rows: list[tuple[int, bytes, bytes]]) -> None:
+        """(bucket, counts, places) of this group's words, which are in the buckets' order."""
+        rows = sorted(rows)
+        self.all = np.concatenate([unplanes(counts, 5) for _, counts, _ in rows]).astype(np.int64)
+        self.ids = np.concatenate([unplanes(places, 5) << np.uint64(BUCKET_BITS) | np.uint64(b) for b, _, places in rows])
+        self.ids[self.all == 0] = UNKNOWN_ID
 
     def bigrams(self, buckets: int, texts: int, hot: int) -> None:
-        """Sorts the bigrams by bucket, history and follower; needs the words' answers."""
-        at = np.searchsorted(self.words, self.before)
-        at[self.before == BEGIN] = 0
-        self.history_count = np.where(self.before == BEGIN, texts, self.all[at])
-        salts = np.maximum(1, np.where(self.history_count > hot, -(-self.history_count // hot), 1)).astype(np.uint64)
-        place = mix(self.before + mix(self.tok) % salts * np.uint64(0x9E3779B97F4A7C15))
-        bucket = ((place >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-        low = self.tok & _LOW48
-        del at, salts, place
-        bucket = bucket.astype(np.int32)
-        order = np.lexsort((low, self.before, bucket))
-        b, v, w = bucket[order], self.before[order], low[order]
-        del bucket, low
+        """Sorts the bigrams of known histories by bucket, history and follower; needs the words' answers."""
+        begins = self.before == BEGIN
+        at = np.empty_like(self.word)
+        at[1:] = self.word[:-1]
+        at[begins] = 0
+        self.history_count = np.where(begins, texts, self.all[at])
+        asked = np.flatnonzero(self.history_count > 0)
+        v = np.where(begins, BEGIN_ID, self.ids[at])[asked]
+        w = self.ids[self.word[asked]]
+        count = self.history_count[asked]
+        del at, begins
+        salts = np.where(count > hot, -(-count // hot), 1).astype(np.uint64)
+        place = mix(v + mix(w) % salts * np.uint64(0x9E3779B97F4A7C15))
+        bucket = ((place >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+        del salts, place
+        order = np.lexsort((w, v, bucket))
+        b, v, w = bucket[order], v[order], w[order]
         new = np.ones(len(b), bool)
         new[1:] = (b[1:] != b[:-1]) | (v[1:] != v[:-1]) | (w[1:] != w[:-1])
         first = np.flatnonzero(new)
-        self.pair = np.empty(len(b), np.int64)
-        self.pair[order] = np.cumsum(new) - 1
+        self.pair = np.full(len(self.tok), -1, np.int64)  # -1: the history is not known
+        self.pair[asked[order]] = np.cumsum(new) - 1
         self.b, self.v, self.w = b[first], v[first], w[first]
-        self.pair_counts = np.bincount(self.pair[self.learn], minlength=len(first))
-        self.follower_count = self.all[self.word[order[first]]]
-        self.is_hot = self.history_count[order[first]] > hot
+        learnt = self.pair[self.learn]
+        self.pair_counts = np.bincount(learnt[learnt >= 0], minlength=len(first))
+        first = asked[order[first]]
+        self.follower_count = self.all[self.word[first]]
+        self.is_hot = self.history_count[first] > hot
 
     def blocks(self, buckets: int):
         bounds = np.searchsorted(self.b, np.arange(buckets + 1))
@@ -178,12 +194,15 @@ def score(docs: DataFrame, held: str = "pmod(crc32(coalesce(cast(_id as string),
         known = total > 0
         facts = [int(total.sum()), int(known.sum()), *np.bincount(np.minimum(total, TOP + 2), minlength=TOP + 3)[1 : TOP + 2].tolist()]
         out = [(bucket, None, every[known].tobytes(), planes(total[known], 5), facts)]
-        out += [(bucket, pid, None, planes(total[np.searchsorted(every, k)], 5), None) for pid, k in zip(pids, keys, strict=True)]
+        number = np.cumsum(known) - 1
+        for pid, k in zip(pids, keys, strict=True):
+            at = np.searchsorted(every, k)
+            out.append((bucket, pid, planes(np.where(known, number, 0)[at], 5), planes(total[at], 5), None))
         return _table(WORDS, list(zip(*out, strict=True)))
 
     WORDS = pa.schema([("bucket", pa.int32()), ("pid", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("facts", pa.list_(pa.int64()))])
-    words = texts.groupBy("pid").applyInArrow(send_words, "bucket int, pid int, keys binary, counts binary")
-    words = words.groupBy("bucket").applyInArrow(add_words, "bucket int, pid int, keys binary, counts binary, facts array<long>")
+    words = texts.groupBy("pid").applyInArrow(tidy_group(send_words), "bucket int, pid int, keys binary, counts binary")
+    words = words.groupBy("bucket").applyInArrow(tidy_group(add_words), "bucket int, pid int, keys binary, counts binary, facts array<long>")
     _write(words, f"{folder}/words")
     release(spark)
     words = spark.read.parquet(f"{folder}/words")
@@ -194,19 +213,19 @@ def score(docs: DataFrame, held: str = "pmod(crc32(coalesce(cast(_id as string),
     unigrams = Unigrams(facts[0] or 0, facts[1] or 0, [x or 0 for x in facts[2:]])
     trained = source.where(~F.coalesce(F.expr(held), F.lit(False))).count()
     hot = max(1, unigrams.total // HOT_SHARE)
-    word_answers = words.where("pid is not null").select("pid", F.lit(0).alias("kind"), "bucket", F.col("counts").alias("a"), F.lit(None).cast("binary").alias("b"), F.lit(None).cast("binary").alias("c"))
+    word_answers = words.where("pid is not null").select("pid", F.lit(0).alias("kind"), "bucket", F.col("counts").alias("a"), F.col("keys").alias("b"), F.lit(None).cast("binary").alias("c"))
 
     def send_bigrams(rows: pa.Table, answers: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return _table(SENT, [[]] * 8)
         own = Group(opened(rows))
-        own.answer_words(list(zip(answers.column("bucket").to_pylist(), answers.column("a").to_pylist(), strict=True)))
+        own.answer_words(list(zip(*(answers.column(c).to_pylist() for c in "bucket a b".split()), strict=True)))
         own.bigrams(buckets, trained, hot)
         pid, out = rows.column("pid")[0].as_py(), []
         for k, s in own.blocks(buckets):
             v = own.v[s]
             at = runs(v)
-            out.append((k, pid, v[at].tobytes(), planes(np.diff(np.concatenate([at, [len(v)]])), 4), planes(own.is_hot[s][at], 1), planes(own.w[s], 6), planes(own.pair_counts[s], 5), planes(own.follower_count[s], 5)))
+            out.append((k, pid, planes(v[at], 6), planes(np.diff(np.concatenate([at, [len(v)]])), 4), planes(own.is_hot[s][at], 1), planes(own.w[s], 6), planes(own.pair_counts[s], 5), planes(own.follower_count[s], 5)))
         return _table(SENT, list(zip(*out, strict=True)))
 
     names = ("histories", "lengths", "hot", "followers", "counts", "totals")
@@ -215,7 +234,7 @@ def score(docs: DataFrame, held: str = "pmod(crc32(coalesce(cast(_id as string),
     def add_bigrams(rows: pa.Table) -> pa.Table:
         pids, bucket = rows.column("pid").to_pylist(), rows.column("bucket")[0].as_py()
         packed = {n: rows.column(n).to_pylist() for n in names}
-        heads = [np.frombuffer(h, np.uint64) for h in packed["histories"]]
+        heads = [unplanes(h, 6) for h in packed["histories"]]
         hots = [unplanes(x, 1) for x in packed["hot"]]
         sizes = [unplanes(x, 4).astype(np.int64) for x in packed["lengths"]]
         bounds = np.cumsum([0, *(int(x.sum()) for x in sizes)])
@@ -230,7 +249,7 @@ def score(docs: DataFrame, held: str = "pmod(crc32(coalesce(cast(_id as string),
         first = np.flatnonzero(new)
         v, w = v[first], w[first]
         first = order[first]
-        del order, new, sizes
+        del order, new
         follower = np.concatenate([unplanes(x, 5).astype(np.int64) for x in packed["totals"]])[first]
         total = np.bincount(place, weights=np.concatenate([unplanes(x, 5).astype(np.float64) for x in packed["counts"]]), minlength=len(first)).astype(np.int64)
         del first, packed
@@ -248,18 +267,24 @@ def score(docs: DataFrame, held: str = "pmod(crc32(coalesce(cast(_id as string),
         at = runs(tv)
         hot_set = np.unique(np.concatenate([h[x.astype(bool)] for h, x in zip(heads, hots, strict=True)]))
         hot_at = np.searchsorted(history, hot_set)
-        spread = [{"history": int(np.int64(history[i].view(np.int64))), "taken": taken[i].tolist(), "mass": float(mass[i]), "every": int(every[i])} for i in hot_at]
-        stored = tv[at].tobytes() + planes(np.diff(np.concatenate([at, [len(tv)]])), 4)
-        out = [(bucket, None, stored, planes(w[known], 6), planes(total[known], 5), facts, spread)]
-        for pid, h, a, b in zip(pids, heads, bounds[:-1], bounds[1:], strict=True):
-            i = np.searchsorted(history, h)
-            out.append((bucket, pid, planes(total[place[a:b]], 5), b"".join(planes(taken[i, r], 4) for r in range(TOP)), mass[i].tobytes(), None, None))
+        spread = [{"history": int(history[i]), "taken": taken[i].tolist(), "mass": float(mass[i]), "every": int(every[i])} for i in hot_at]
+        # The table: histories, their numbers of followers, followers and counts.
+        follows = np.diff(np.concatenate([at, [len(tv)]]))
+        out = [(bucket, None, planes(tv[at], 6), planes(follows, 5), planes(w[known], 6) + planes(total[known], 5), facts, spread)]
+        plain = taken.sum(1) == 0
+        for pid, h, n, a, b in zip(pids, heads, sizes, bounds[:-1], bounds[1:], strict=True):
+            i, own = np.searchsorted(history, h), total[place[a:b]]
+            # Only where this group has an unseen bigram is a history's backoff weight of use.
+            lacks = np.logical_or.reduceat(own == 0, np.cumsum(n) - n)
+            j = i[lacks]
+            more = planes(taken[j].ravel(), 4), mass[j].tobytes()
+            out.append((bucket, pid, planes(own, 5), planes(plain[i] + 2 * lacks, 1), len(more[0]).to_bytes(8, "little") + b"".join(more), None, None))
         return _table(BIGRAMS, list(zip(*out, strict=True)))
 
     spread_type = pa.list_(pa.struct([("history", pa.int64()), ("taken", pa.list_(pa.int64())), ("mass", pa.float64()), ("every", pa.int64())]))
     BIGRAMS = pa.schema([("bucket", pa.int32()), ("pid", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("facts", pa.list_(pa.int64())), ("spread", spread_type)])
-    bigrams = texts.groupBy("pid").cogroup(word_answers.groupBy("pid")).applyInArrow(send_bigrams, "bucket int, pid int, " + ", ".join(f"{n} binary" for n in names))
-    bigrams = bigrams.groupBy("bucket").applyInArrow(add_bigrams, "bucket int, pid int, a binary, b binary, c binary, facts array<long>, spread array<struct<history: long, taken: array<long>, mass: double, every: long>>")
+    bigrams = texts.groupBy("pid").cogroup(word_answers.groupBy("pid")).applyInArrow(tidy_groups(send_bigrams), "bucket int, pid int, " + ", ".join(f"{n} binary" for n in names))
+    bigrams = bigrams.groupBy("bucket").applyInArrow(tidy_group(add_bigrams), "bucket int, pid int, a binary, b binary, c binary, facts array<long>, spread array<struct<history: long, taken: array<long>, mass: double, every: long>>")
     _write(bigrams, f"{folder}/bigrams")
     release(spark)
     bigrams = spark.read.parquet(f"{folder}/bigrams")
@@ -267,7 +292,7 @@ def score(docs: DataFrame, held: str = "pmod(crc32(coalesce(cast(_id as string),
     d = discounts(np.array([x or 0 for x in counted.select(*(F.sum(F.col("facts")[i]) for i in range(TOP + 1))).first()]))
     # Fewer than HOT_SHARE histories, and the begin mark.
     one = counted.select(F.explode("spread").alias("s")).groupBy("s.history").agg(F.sum("s.mass").alias("mass"), *(F.sum(F.col("s.taken")[i]).alias(f"n{i}") for i in range(TOP)))
-    hot_rows = sorted((np.int64(r["history"]).view(np.uint64), r["mass"], [r[f"n{i}"] for i in range(TOP)]) for r in one.collect())
+    hot_rows = sorted((r["history"], r["mass"], [r[f"n{i}"] for i in range(TOP)]) for r in one.collect())
     hot_keys = np.array([r[0] for r in hot_rows], np.uint64)
     hot_mass, hot_taken = np.array([r[1] for r in hot_rows]), np.array([r[2] for r in hot_rows], np.int64).reshape(-1, TOP)
     answers = word_answers.union(bigrams.where("pid is not null").select("pid", F.lit(1), "bucket", "a", "b", "c"))
@@ -278,30 +303,36 @@ def score(docs: DataFrame, held: str = "pmod(crc32(coalesce(cast(_id as string),
         rows = opened(rows)
         own = Group(rows)
         got = sorted(zip(*(back.column(c).to_pylist() for c in ("kind", "bucket", "a", "b", "c")), strict=True), key=lambda r: r[:2])
-        own.answer_words([(r[1], r[2]) for r in got if r[0] == 0])
+        own.answer_words([(r[1], r[2], r[3]) for r in got if r[0] == 0])
         own.bigrams(buckets, trained, hot)
         pairs = [r for r in got if r[0] == 1]
-        total = np.concatenate([unplanes(r[2], 5) for r in pairs]).astype(np.int64)
-        taken = np.concatenate([np.stack([unplanes(p, 4) for p in _split(r[3], TOP)], 1) for r in pairs]).astype(np.int64)
-        mass = np.concatenate([np.frombuffer(r[4], np.float64) for r in pairs])
+        none = np.zeros(0, np.int64)
+        total = np.concatenate([unplanes(r[2], 5) for r in pairs] or [none]).astype(np.int64)
+        flags = np.concatenate([unplanes(r[3], 1) for r in pairs] or [none]).astype(np.int64)
         # One place for each (bucket, history) of this group.
         new = np.ones(len(own.b), bool)
         new[1:] = (own.b[1:] != own.b[:-1]) | (own.v[1:] != own.v[:-1])
+        plain, lacks = (flags & 1).astype(bool), flags >= 2
+        left, mass = np.zeros(len(flags)), np.zeros(len(flags))
+        cut_mass = np.arange(1, TOP + 1) * (1 - d[1:])
+        more = [_unmore(r[4]) for r in pairs]
+        left[lacks] = np.concatenate([m[0] for m in more]) @ cut_mass if more else 0
+        mass[lacks] = np.concatenate([m[1] for m in more]) if more else 0
         if len(hot_keys):
             v = own.v[new]
             i = np.minimum(np.searchsorted(hot_keys, v), len(hot_keys) - 1)
             is_hot = hot_keys[i] == v
-            taken[is_hot], mass[is_hot] = hot_taken[i[is_hot]], hot_mass[i[is_hot]]
-        head = (np.cumsum(new) - 1)[own.pair]
-        count, history = total[own.pair], own.history_count
-        left = taken @ (np.arange(1, TOP + 1) * (1 - d[1:]))
-        plain = left <= 0
-        whole = history + plain[head]
+            left[is_hot], mass[is_hot] = (hot_taken @ cut_mass)[i[is_hot]], hot_mass[i[is_hot]]
+            plain[is_hot] = (hot_taken.sum(1) == 0)[i[is_hot]]
+        asked = own.pair >= 0
+        pair = own.pair[asked]
+        head = ((np.cumsum(new) - 1)[pair]).astype(np.int64)
         word_count = own.all[own.word]
-        low = unigrams.probability(word_count)
-        alpha = np.where(plain, 1.0, left)[head] / np.maximum(whole, 1) / (1 - mass)[head]
-        seen = np.where(count > TOP, 1.0, d[np.minimum(count, TOP)]) * count / np.maximum(whole, 1)
-        p = np.where(count > 0, seen, np.where(history > 0, alpha * low, low))
+        p = unigrams.probability(word_count)
+        count, whole = total[pair], own.history_count[asked] + plain[head]
+        seen = np.where(count > TOP, 1.0, d[np.minimum(count, TOP)]) * count / whole
+        alpha = np.where(plain, 1.0, left)[head] / whole / (1 - mass)[head]
+        p[asked] = np.where(count > 0, seen, alpha * p[asked])
         n = rows.num_rows
         sums = lambda x: np.bincount(own.row, weights=x, minlength=n)
         return _table(OUT, [
@@ -309,20 +340,23 @@ def score(docs: DataFrame, held: str = "pmod(crc32(coalesce(cast(_id as string),
             np.full(n, unigrams.total), sums(unigrams.base(word_count)), sums(np.log10(p))])
 
     OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-    return texts.groupBy("pid").cogroup(answers.groupBy("pid")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return texts.groupBy("pid").cogroup(answers.groupBy("pid")).applyInArrow(tidy_groups(finish), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def _split(data: bytes, n: int) -> list[bytes]:
-    size = len(data) // n
-    return [data[i * size : (i + 1) * size] for i in range(n)]
+def _unmore(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of followers with 1 .. TOP occurrences, and their unigram mass, of each history."""
+    size = int.from_bytes(data[:8], "little")
+    return unplanes(data[8 : 8 + size], 4).reshape(-1, TOP).astype(np.int64), np.frombuffer(data[8 + size :], np.float64)
 
 
 def release(spark: SparkSession) -> None:
     """Lets Spark remove the shuffle files of actions that are over: it does so once their plans are collected as garbage."""
     import gc
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # references are queued by one collection, and what they held is found by the next
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def _write(df: DataFrame, path: str) -> None:
