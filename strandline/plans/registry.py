@@ -180,12 +180,12 @@ def _(spark, d):
     return _counts(counting.count(*_both(spark, d), counting.overlap_weighted, width=WIDTH))
 
 
-@query("count_top_ranked", f"""WITH {R}, {E}, {ZEROS}, h AS (SELECT source, aln_id, element, row_number() OVER (PARTITION BY source, aln_id ORDER BY CASE WHEN element % 3 = 0 THEN NULL ELSE element % 97 END NULLS LAST, element) AS k FROM r JOIN e ON {MEET}),
+@query("count_top_ranked", f"""WITH {R}, {E}, {ZEROS}, h AS (SELECT source, aln_id, element, row_number() OVER (PARTITION BY source, aln_id ORDER BY CASE WHEN e.orientation <> 0 THEN element % 97 END NULLS LAST, element) AS k FROM r JOIN e ON {MEET}),
  c AS (SELECT source, element, count(*)::DOUBLE AS n FROM h WHERE k = 1 GROUP BY 1, 2)
  SELECT x.source, x.element, coalesce(n, 0) AS count FROM x LEFT JOIN c USING (source, element)""")
 def _(spark, d):
     r, e = _both(spark, d)
-    ranks = e.where("element % 3 <> 0").select("element", (F.col("element") % 97).alias("rank"))
+    ranks = e.where("orientation <> 0").select("element", (F.col("element") % 97).alias("rank"))
     return _counts(counting.count(r, e, counting.top_ranked(ranks), width=WIDTH))
 
 
@@ -323,7 +323,7 @@ def _(spark, d):
 
 
 def _rois(spark, d):
-    return setops.merge(views.elements(spark, d).where("element % 5 = 0"), KEYS).withColumn("roi_id", F.concat_ws(":", "contig", "orientation", (F.col("start") / 500).cast("long")))
+    return setops.merge(views.elements(spark, d).where(F.col("end") - F.col("start") >= 40), KEYS).withColumn("roi_id", F.concat_ws(":", "contig", "orientation", (F.col("start") / 500).cast("long")))
 
 
 def _sides(spark, d):
@@ -431,15 +431,15 @@ def _(spark, d):
     return pileup.pileup(_bases(spark, d), _sequences(spark), pileup.select_mismatches(4, 0.75), min_phred=10)
 
 
-@query("select_required", f'WITH {SITES}, {E} SELECT {COLS}, reference FROM mm WHERE EXISTS (SELECT 1 FROM e WHERE element % 11 = 0 AND e.contig = seqid AND e.orientation = mm.orientation AND e.start <= position AND position < e."end")')
+@query("select_required", f'WITH {SITES}, {E} SELECT {COLS}, reference FROM mm WHERE EXISTS (SELECT 1 FROM e WHERE e."end" - e.start >= 42 AND e.contig = seqid AND e.orientation = mm.orientation AND e.start <= position AND position < e."end")')
 def _(spark, d):
-    required = views.elements(spark, d).where("element % 11 = 0").select(F.col("contig").alias("seqid"), "orientation", "start", "end")
+    required = views.elements(spark, d).where(F.col("end") - F.col("start") >= 42).select(F.col("contig").alias("seqid"), "orientation", "start", "end")
     return pileup.pileup(_bases(spark, d), _sequences(spark), pileup.select_required(required), min_phred=10)
 
 
-@query("select_required_or_mismatches", f'WITH {SITES}, {E} SELECT {COLS}, reference FROM mm WHERE (mis >= 4 AND mis::DOUBLE / cov >= 0.75) OR EXISTS (SELECT 1 FROM e WHERE element % 11 = 0 AND e.contig = seqid AND e.orientation = mm.orientation AND e.start <= position AND position < e."end")')
+@query("select_required_or_mismatches", f'WITH {SITES}, {E} SELECT {COLS}, reference FROM mm WHERE (mis >= 4 AND mis::DOUBLE / cov >= 0.75) OR EXISTS (SELECT 1 FROM e WHERE e."end" - e.start >= 42 AND e.contig = seqid AND e.orientation = mm.orientation AND e.start <= position AND position < e."end")')
 def _(spark, d):
-    required = views.elements(spark, d).where("element % 11 = 0").select(F.col("contig").alias("seqid"), "orientation", "start", "end")
+    required = views.elements(spark, d).where(F.col("end") - F.col("start") >= 42).select(F.col("contig").alias("seqid"), "orientation", "start", "end")
     return pileup.pileup(_bases(spark, d), _sequences(spark), pileup.select_any(pileup.select_mismatches(4, 0.75), pileup.select_required(required)), min_phred=10)
 
 
