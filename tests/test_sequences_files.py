@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandline.operators import metadata, norm
 from strandline.operators.align import Scoring, align
 from strandline.operators.repeats import Filter, optimize, optimize_repeats, predict, predict_repeats, to_bed12, valid
-from strandline.sources import bam, bed, fasta, gff, nfcore
+from strandline.sources import bam, bed, fasta, gff, samplesheets
 from strandline.streaming import sessions
 
 
@@ -139,7 +139,7 @@ def test_bam(spark, tmp_path):
 
 
 def sheet(tmp_path, extra=""):
-    cols = [*nfcore.REQUIRED, "fastq_2", "sample_description"]
+    cols = [*samplesheets.REQUIRED, "fastq_2", "sample_description"]
     rows = []
     for i, lay in enumerate(["PAIRED", "SINGLE"]):
         v = dict.fromkeys(cols, "v") | {"study_accession": "P1", "sample_accession": f"S{i}", "experiment_accession": f"E{i}", "experiment_title": f"title{i}", "run_accession": f"R{i}", "library_layout": lay, "read_count": "5", "base_count": "50", "fastq_1": f"x/a{i}_1.fq.gz", "fastq_2": f"x/a{i}_2.fq.gz" if lay == "PAIRED" else "", "sample_description": ""}
@@ -149,20 +149,20 @@ def sheet(tmp_path, extra=""):
 
 
 def test_projects(spark, tmp_path):
-    (project,) = nfcore.load_samplesheet(spark, sheet(tmp_path), fastq_root="/data")
+    (project,) = samplesheets.load_samplesheet(spark, sheet(tmp_path), fastq_root="/data")
     assert project.runs.where("ind = 'R0'").first().file2 == "/data/a0_2.fq.gz"
     assert metadata.problems(project).count() == 0
     assert {r.layout for r in metadata.layouts(project).collect()} == {"PE", "SE"}
     kept = metadata.Filters().with_layout("PE")(project)
     assert kept.samples.count() == kept.runs.count() == 1
-    assert {(r["sample"], r.strandedness) for r in nfcore.design(project).collect()} == {("E0+title0", "auto"), ("E1+title1", "auto")}
-    assert nfcore.results(project, "/r").where("experiment = 'E0'").first().inflags == 1
-    again = nfcore.loads(spark, nfcore.dump(project))
+    assert {(r["sample"], r.strandedness) for r in samplesheets.design(project).collect()} == {("E0+title0", "auto"), ("E1+title1", "auto")}
+    assert samplesheets.results(project, "/r").where("experiment = 'E0'").first().inflags == 1
+    again = samplesheets.loads(spark, samplesheets.dump(project))
     assert again.runs.count() == 2 and metadata.problems(again).count() == 0
     bad = metadata.Project("P1", project.samples.limit(0), project.libraries, project.experiments, project.runs)
     assert {r.problem for r in metadata.problems(bad).collect()} == {"unknown sample"}
     with pytest.raises(Exception):
-        spark.range(1).select(nfcore.descriptor(F.lit("a"), F.lit("x/y"))).collect()
+        spark.range(1).select(samplesheets.descriptor(F.lit("a"), F.lit("x/y"))).collect()
 
 
 def test_registry_and_transcripts(spark):
