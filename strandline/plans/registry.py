@@ -323,7 +323,7 @@ def _(spark, d):
 
 
 def _rois(spark, d):
-    return setops.merge(views.elements(spark, d).where(F.col("end") - F.col("start") >= 40), KEYS).withColumn("roi_id", F.concat_ws(":", "contig", "orientation", (F.col("start") / 500).cast("long")))
+    return setops.merge(views.elements(spark, d), KEYS).withColumn("roi_id", F.concat_ws(":", "contig", "orientation", (F.col("start") / 500).cast("long")))
 
 
 def _sides(spark, d):
@@ -443,6 +443,24 @@ def _(spark, d):
     return pileup.pileup(_bases(spark, d), _sequences(spark), pileup.select_any(pileup.select_mismatches(4, 0.75), pileup.select_required(required)), min_phred=10)
 
 
+REQUIRED = 'EXISTS (SELECT 1 FROM e WHERE e.contig = seqid AND e.orientation = mm.orientation AND e.start <= position AND position < e."end")'
+
+
+def _required(spark, d):
+    """All elements. The two queries above take those of 42 positions and more, as their SQL does."""
+    return views.elements(spark, d).select(F.col("contig").alias("seqid"), "orientation", "start", "end")
+
+
+@query("select_required_all", f"WITH {SITES}, {E} SELECT {COLS}, reference FROM mm WHERE {REQUIRED}")
+def _(spark, d):
+    return pileup.pileup(_bases(spark, d), _sequences(spark), pileup.select_required(_required(spark, d)), min_phred=10)
+
+
+@query("select_required_or_mismatches_all", f"WITH {SITES}, {E} SELECT {COLS}, reference FROM mm WHERE (mis >= 4 AND mis::DOUBLE / cov >= 0.75) OR {REQUIRED}")
+def _(spark, d):
+    return pileup.pileup(_bases(spark, d), _sequences(spark), pileup.select_any(pileup.select_mismatches(4, 0.75), pileup.select_required(_required(spark, d))), min_phred=10)
+
+
 # ---- normalisation and metadata
 
 VALUES = "v AS (SELECT p_type AS region, concat(l_returnflag, l_linestatus) AS sample, count(*)::DOUBLE AS value FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"
