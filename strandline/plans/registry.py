@@ -551,19 +551,14 @@ def _(spark, d):
     return align.align_pairs(_names(spark, d), best=False, min_score=4)
 
 
-def _short_rna(spark, d):
-    p = spark.read.parquet(f"{d}/part.parquet")
-    return p.select(F.col("p_partkey").alias("seqid"), F.translate(F.translate(F.md5(F.col("p_partkey").cast("string")), "0123456789abcdef", "ACGUACGUACGUACGU"), "x", "").alias("seq"))
-
-
 @query("inverted_repeats")
 def _(spark, d):
-    return repeats.predict_repeats(_short_rna(spark, d), repeats.Filter(min_score=3, min_matches=3))
+    return repeats.predict_repeats(_rna(spark, d), repeats.Filter(min_score=3, min_matches=3))
 
 
 @query("repeat_optimize")
 def _(spark, d):
-    return repeats.optimize_repeats(repeats.predict_repeats(_short_rna(spark, d), repeats.Filter(min_score=3, min_matches=3)))
+    return repeats.optimize_repeats(repeats.predict_repeats(_rna(spark, d), repeats.Filter(min_score=3, min_matches=3)))
 
 
 @query("bed12_lines", f"""WITH {E} SELECT concat_ws(chr(9), contig, start, "end", concat('e', element), element % 1001, CASE orientation WHEN 1 THEN '+' WHEN -1 THEN '-' ELSE '.' END, start, "end", '0,0,0', 1, "end" - start, 0) AS value FROM e""")

@@ -5,6 +5,8 @@ import random
 
 import pytest
 
+from strandline.operators import repeats
+from strandline.operators.align import align
 from strandline.plans import registry
 
 
@@ -43,3 +45,35 @@ def test_required_are_all_elements(spark, small):
     sites = {tuple(r)[:4] for r in registry.queries()["pileup_counts"](spark, root).select("tag", "seqid", "orientation", "position").collect()}
     got = {tuple(r) for r in registry.queries()["select_required_all"](spark, root).select("tag", "seqid", "orientation", "position").collect()}
     assert got == {s for s in sites if s[1:] in inside}
+
+
+def predicted_by_scan(seq, keep):
+    """As repeats.predict, by the alignment cell by cell."""
+    n, taken, out = len(seq), set(), []
+    found = align(seq[::-1], seq, repeats.RNA, best=False, inside=lambda i, j: i + j < n - 1) if n else []
+    for f in sorted(found, key=lambda f: (-f.score, f.start2, f.start1)):
+        cells, arms = {(i, j) for i, j, op in f.cells() if op in "=X~"}, repeats.arms_of(f, n)
+        if arms and keep.passes(f.score, arms) and not cells & taken:
+            taken |= cells
+            out.append((f.score, arms))
+    return out
+
+
+def test_repeats_by_diagonals():
+    rng = random.Random(5)
+    for n in [*range(8), *(rng.randrange(8, 130) for _ in range(40))]:
+        seq = "".join(rng.choice("ACGU") for _ in range(n))
+        seq += "".join({"A": "U", "C": "G", "G": "C", "U": "A"}[c] for c in reversed(seq[: n // 2] + seq[n // 2 + 3 :])) * (n % 2)  # with gaps that pay
+        for keep in (repeats.Filter(), repeats.Filter(min_score=3, min_matches=3)):
+            assert repeats.predict(seq, keep) == predicted_by_scan(seq, keep)
+
+
+def test_repeats_of_whole_texts(spark, tmp_path):
+    texts = [(1, "aaaacccc " + "x" * 50 + " ggggtttt"), (2, None), (3, "gattaca " * 12)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {1: "AAAACCCCGGGGUUUU", 3: "GAUUACA" * 12}
+    got = registry.queries()["inverted_repeats"](spark, str(tmp_path)).collect()
+    keep = repeats.Filter(min_score=3, min_matches=3)
+    expected = sorted((k, n, s, a) for k, seq in want.items() for n, (s, a) in enumerate(predicted_by_scan(seq, keep)))
+    assert sorted((r.seqid, r.repeat_id, r.score, [tuple(x) for x in r.segments]) for r in got) == expected
+    assert {r.seqid for r in registry.queries()["repeat_optimize"](spark, str(tmp_path)).collect()} == {1, 3}
