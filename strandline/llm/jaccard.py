@@ -1,10 +1,10 @@
-"""N-gram Jaccard join over a MinHash LSH forest, with exact verification.
+"""N-gram Jaccard join over MinHash bands, with exact verification.
 
 1. A document is the set of hashes of its k-word shingles. Documents with equal sets are one node.
-2. Each of `trees` tries has a key for each node: a byte of one MinHash for each level, so that the sorted keys
-   are a prefix trie. Matched prefixes are shortened from the deepest level on, until the expected share of
-   pairs at the threshold that meet in some trie reaches the target recall.
-3. Nodes below the same trie node are linked to the least of them, a grouped minimum, so no pairs are made; the
+2. Each of `trees` bands has a key for each node: a byte of one MinHash for each level. The number of levels is fixed
+   before: the largest for which the expected share of pairs at the threshold that meet in some band reaches the
+   target recall. It stands in for the tries of an LSH forest, whose longer prefixes would find no further pair.
+3. Nodes of one band's key are linked to the least of them, a grouped minimum, so no pairs are made; the
    connected components hold all candidate pairs.
 4. The sets of a component's nodes are dealt into blocks of bounded size, and every pair of blocks is verified
    exactly in one task, as products of membership matrices: a component of any size is spread over many tasks.
