@@ -206,7 +206,18 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, k: int = WORDS,
                 yield out.filter(pa.compute.equal(part.column("node"), node))
 
     texts = docs.select(F.col(id_col).cast("long").alias("least_id"), F.col(text_col).alias("text"))
-    sets = texts.join(placed, "least_id").select("component", "node", "blocks", "block", "copies", "text").mapInArrow(tidy(items), "component long, node long, blocks int, block int, copies long, items binary")
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, n, data, offsets in chunks(batch.column(0)):
+                node = set_keys(*shingle_sets(data, offsets, k)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(node), batch.column(0).slice(first, n)], names=["node", "text"])
+
+    # A node is met by its least doc_id, or by itself where all of its doc_ids are null.
+    needed = ("component", "node", "blocks", "block", "copies", "text")
+    unnamed = texts.where("least_id IS NULL").select("text").mapInArrow(tidy(keyed), f"node long, text {texts.schema['text'].dataType.simpleString()}").dropDuplicates(["node"])
+    whole_texts = texts.join(placed, "least_id").select(*needed).union(unnamed.join(placed.where("least_id IS NULL"), "node").select(*needed))
+    sets = whole_texts.mapInArrow(tidy(items), "component long, node long, blocks int, block int, copies long, items binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     paired = sets.withColumn("other", other).select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "copies", "items")
     n = parts(spark)

@@ -122,6 +122,14 @@ def test_jaccard_brute(spark, block):
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in got.collect()) == brute_classes([(i, t) for i, t, *_ in rows])
 
 
+def test_jaccard_near_copies_of_null_ids(spark):
+    a, b = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(4, a), (None, a + " x"), (None, a + " x"), (None, b), (None, b + " y"), (7, "alone and apart from all others")]
+    got = jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = [(4, 4, 2), (7, 7, 0), (None, 4, 2), (None, 4, 2), (None, None, 1), (None, None, 1)]
+    assert sorted(((r.doc_id, r.class_id, r.n_links) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_jaccard_empty_and_depth(spark):
     assert jaccard.jaccard_join(frame(spark, [])).count() == 0
     assert jaccard.prefix_depth(0.8, 40, 8, 0.99999) == 6 and jaccard.prefix_depth(0.99, 40, 8, 0.9) == 8
