@@ -187,15 +187,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, centroids: int =
         if not len(left) or not len(right):
             return pd.DataFrame({"key": [], "vec_id": [], "score": []}).astype({"vec_id": "int64", "score": "float64"})
         vectors_, asked_ = _matrix(left["key"], dim), _matrix(right["key"], dim)
-        ids, cells, out = left["ids"].to_numpy(), left["cell"].to_numpy(), []
+        ids, cells, out, longest = left["ids"].to_numpy(), left["cell"].to_numpy(), [], np.linalg.norm(vectors_, axis=1).max()
         for at in range(0, len(asked_), 256):
             q = asked_[at : at + 256]
             reached = np.frombuffer(b"".join(right["reached"].iloc[at : at + 256]), np.uint8).reshape(len(q), -1)
             near = np.where(np.unpackbits(reached, axis=1)[:, cells] == 1, q @ vectors_.T, -np.inf)
-            keep = min(near.shape[1], k + 8)  # more than k + 1: equal scores may differ in the last bits here
-            best = np.argpartition(-near, keep - 1, axis=1)[:, :keep]
-            for i, row in enumerate(best):
-                row = row[np.isfinite(near[i, row])]
+            # Products are rounded: all entries that may be among the k + 1 best are ranked by their exact scores.
+            place = max(near.shape[1] - k - 1, 0)
+            border = np.partition(near, place, axis=1)[:, place] - 4 * dim * np.finfo(np.float64).eps * longest * np.linalg.norm(q, axis=1)
+            for i in range(len(q)):
+                row = np.flatnonzero((near[i] >= border[i]) & np.isfinite(near[i]))
                 exact = (vectors_[row] * q[i]).cumsum(1)[:, -1]  # summed in order, so equal vectors score alike
                 found = sorted((-s, v) for s, e in zip(exact, row, strict=True) for v in ids[e])[: k + 1]
                 out += [(right["key"].iat[at + i], v, -s) for s, v in found]

@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import itertools
 import os
 import random
 import zipfile
@@ -170,6 +171,19 @@ def test_neighbours(spark, tmp_path):
     assert hit / total >= 0.9
 
 
+def test_neighbours_of_tied_vectors(spark):
+    every = [list(x) for x in itertools.product([0.0, 1.0], repeat=12) if sum(x) == 5]
+    random.Random(6).shuffle(every)
+    df = spark.createDataFrame(list(enumerate(every)), "vec_id long, embedding array<double>")
+    got = {}
+    for r in imi.search(df, df.where("vec_id < 20"), least=10_000).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    v = np.array(every)
+    for q in range(20):
+        best = [i for i in np.lexsort((np.arange(len(v)), -(v @ v[q]))) if i != q][:20]
+        assert [i for _, i in sorted(got[q])] == best
+
+
 def test_few_neighbours(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (20, [0.0, 2.0])], "vec_id long, embedding array<double>")
     got = sorted((r.query_id, r["rank"], r.vec_id) for r in imi.search(df, df.where("vec_id % 20 = 0")).collect())
