@@ -184,6 +184,18 @@ def test_neighbours_of_tied_vectors(spark):
         assert [i for _, i in sorted(got[q])] == best
 
 
+def test_recall_by_reach(spark):
+    v = np.random.default_rng(8).normal(size=(4000, 24))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+
+    def recall(**more):
+        found = {(r.query_id, r.vec_id) for r in imi.search(df, df.where("vec_id % 80 = 0"), least=0, **more).collect()}
+        return len(found & {(q, i) for q in range(0, 4000, 80) for i in np.argsort(-(v @ v[q]))[1:21]}) / 1000
+
+    assert recall() >= 0.9 and recall(reach=0.03) < 0.9
+
+
 def test_few_neighbours(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (20, [0.0, 2.0])], "vec_id long, embedding array<double>")
     got = sorted((r.query_id, r["rank"], r.vec_id) for r in imi.search(df, df.where("vec_id % 20 = 0")).collect())
