@@ -5,7 +5,7 @@ greedy LZW. ``frames_table`` decodes a column of GIFs into one row for each fram
 stores texts losslessly as GIF samples and reads them back.
 
 Edge cases: null or empty media give no frames; a truncated or damaged stream raises ValueError in
-``decode`` and gives one row with `error` set in ``frames_table``; null texts are empty ones; a text longer
+``decode`` and gives one row with `error` set in ``frames_table``, as does a canvas beyond CANVAS_BYTES; null texts are empty ones; a text longer
 than one frame's rows takes several frames; rows that repeat are handled one by one; an empty table gives
 no rows; of the input only the named columns are read.
 """
@@ -28,6 +28,8 @@ from .common import table, tidy
 WIDTH, FRAME_ROWS = 192, 8192
 DELAY_CS = 4
 BINS = 8
+#: Bytes of RGBA that a canvas may claim; one that claims more is an error, not a task without memory.
+CANVAS_BYTES = 1 << 30
 
 
 # ---- LZW
@@ -91,33 +93,41 @@ def pack_bits(codes: np.ndarray, bits: np.ndarray) -> bytes:
     return out[: int(ends[-1] + 7) // 8].astype(np.uint8).tobytes()
 
 
+#: Codes cut out of the bits at once.
+RUN_CODES = 8192
 _STEP: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def lzw_decode(stream: bytes, least: int, size: int) -> bytes:
-    """`size` samples from an LZW stream. Codes between two clear codes are cut out of the bits at once, as
-    their widths follow from their numbers; then each code adds its string."""
+    """`size` samples from an LZW stream. Codes are cut out of the bits run by run, as their widths follow from their
+    numbers since the last clear code; then each code adds its string. A full table stays until a clear code, whatever
+    number of codes comes before that."""
+    if not 1 <= least <= 8:
+        raise ValueError("LZW codes of an unknown width")
     clear, stop = 1 << least, (1 << least) + 1
     if least not in _STEP:
-        bits = width_after(np.arange(8192), least)
-        _STEP[least] = np.concatenate([[0], np.cumsum(bits)[:-1]]), (1 << bits) - 1
-    offsets, masks = _STEP[least]
+        bits = width_after(np.arange(RUN_CODES), least)
+        _STEP[least] = np.concatenate([[0], np.cumsum(bits)]), bits
+    offsets, bits = _STEP[least]
+    full = np.arange(RUN_CODES + 1) * 12, np.full(RUN_CODES, 12)  # every later run has codes of 12 bits
     raw = np.frombuffer(stream + b"\0\0\0\0", np.uint8).astype(np.uint32)
     total = len(stream) * 8
     words = raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16
     roots = [bytes([i]) for i in range(clear)] + [b"", b""]
     out, made, at = [], 0, 0
+    table_, before, steps = roots.copy(), None, (offsets, bits)
     while made < size:
-        spots = offsets + at
+        ends, wide = steps
+        spots = ends[:-1] + at
         n = int(np.searchsorted(spots, total))
         if n == 0:
             raise ValueError("LZW stream ends early")
         spots = spots[:n]
-        codes = (words[spots >> 3] >> (spots & 7).astype(np.uint32)) & masks[:n].astype(np.uint32)
+        codes = (words[spots >> 3] >> (spots & 7).astype(np.uint32)) & ((1 << wide[:n]) - 1).astype(np.uint32)
         halt = np.flatnonzero((codes == clear) | (codes == stop))
         run = codes[: halt[0]].tolist() if len(halt) else codes.tolist()
-        table_, strings, before = roots.copy(), [], None
-        add, grow, room = strings.append, table_.append, 4096 - len(roots)
+        strings = []
+        add, grow, room = strings.append, table_.append, 4096 - len(table_)
         for code in run:
             if before is None:
                 if code >= clear:
@@ -144,15 +154,13 @@ def lzw_decode(stream: bytes, least: int, size: int) -> bytes:
         out.append(part)
         made += len(part)
         if len(halt):
-            at = int(spots[halt[0]] + np.log2(masks[halt[0]] + 1))
+            at = int(spots[halt[0]] + wide[halt[0]])
             if codes[halt[0]] == stop:
                 break
-        elif made < size:
-            if n < len(offsets):
-                raise ValueError("LZW stream ends early")
-            raise ValueError("no clear code within 8192 codes")
+            table_, before, steps = roots.copy(), None, (offsets, bits)
         else:
-            break
+            at += int(ends[-1])
+            steps = full
     if made < size:
         raise ValueError("LZW stream ends early")
     return b"".join(out)[:size]
@@ -179,13 +187,18 @@ def _sub_blocks(data: bytes, at: int) -> tuple[bytes, int]:
 def decode(data: bytes) -> list[Frame]:
     """Composed frames. Disposal 2 clears the frame's rectangle, 3 restores what was below it; a frame's
     transparent index leaves the canvas as it is; local palettes go before the global one; interlaced rows are put in order."""
+    return list(frames_of(data))
+
+
+def frames_of(data: bytes, most_bytes: int = CANVAS_BYTES) -> Iterator[Frame]:
+    """As ``decode``, a frame at a time."""
     try:
-        return list(_decode(data))
+        yield from _decode(data, most_bytes)
     except (IndexError, KeyError) as e:
         raise ValueError("damaged GIF") from e
 
 
-def _decode(data: bytes) -> Iterator[Frame]:
+def _decode(data: bytes, most_bytes: int) -> Iterator[Frame]:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("no GIF")
     w, h = (int.from_bytes(data[k : k + 2], "little") for k in (6, 8))
@@ -193,6 +206,8 @@ def _decode(data: bytes) -> Iterator[Frame]:
     if flags & 128:
         n = 3 * (2 << (flags & 7))
         whole, at = np.frombuffer(data, np.uint8, n, at).reshape(-1, 3), at + n
+    if w * h * 4 > most_bytes:
+        raise ValueError(f"a canvas of {w} x {h} is beyond {most_bytes} bytes")
     canvas = np.zeros((h, w, 4), np.uint8)
     delay, disposal, clear_index, start = 0, 0, None, 0
     while True:
@@ -215,6 +230,8 @@ def _decode(data: bytes) -> Iterator[Frame]:
                 raise ValueError("no palette")
             least = data[at]
             stream, at = _sub_blocks(data, at + 1)
+            if fw * fh > 4096 * (len(stream) + 1):  # no code's string is longer
+                raise ValueError("LZW stream ends early")
             index = np.frombuffer(lzw_decode(stream, least, fw * fh), np.uint8).reshape(fh, fw)
             if flags & 64:
                 order = np.concatenate([np.arange(a, fh, b) for a, b in ((0, 8), (4, 8), (2, 4), (1, 2))])
@@ -265,10 +282,13 @@ def encode(samples: bytes, width: int = WIDTH, frame_rows: int = FRAME_ROWS, del
     return b"".join(out)
 
 
-def samples(data: bytes) -> tuple[bytes, list[Frame]]:
-    """What ``encode`` stored: the opaque pixels' red channel, frame after frame."""
-    frames = decode(data)
-    return b"".join(f.rgba[..., 0][f.rgba[..., 3] > 0].tobytes() for f in frames), frames
+def samples(data: bytes) -> tuple[bytes, list[tuple[int, int]]]:
+    """What ``encode`` stored: the opaque pixels' red channel, frame after frame; and each frame's start and delay. One canvas is held at a time."""
+    out, times = [], []
+    for f in frames_of(data):
+        out.append(f.rgba[..., 0][f.rgba[..., 3] > 0].tobytes())
+        times.append((f.start_cs, f.delay_cs))
+    return b"".join(out), times
 
 
 def histogram(rgba: np.ndarray, bins: int = BINS) -> list[int]:
@@ -291,7 +311,7 @@ def frames_table(media: DataFrame, id_col: str = "id", media_col: str = "media",
             for own, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows, error = [], None
                 try:
-                    for k, f in enumerate(decode(data) if data else []):
+                    for k, f in enumerate(frames_of(data) if data else []):
                         hist = histogram(f.rgba, bins)
                         rows.append((own, k, f.start_cs, f.delay_cs, f.rgba.shape[1], f.rgba.shape[0], f.rgba.tobytes(), hist[:bins], hist[bins : 2 * bins], hist[2 * bins :], None))
                 except ValueError as e:
@@ -353,7 +373,7 @@ def read_texts(stored: DataFrame) -> DataFrame:
                 media = media.as_py()
                 payload, frames = samples(media)
                 hist = np.bincount(np.frombuffer(payload, np.uint8) >> 5, minlength=BINS)  # of the grey pixels' red channel
-                feature = f"{len(frames)}:{frames[-1].start_cs + frames[-1].delay_cs}:" + ",".join(map(str, hist.tolist()))
+                feature = f"{len(frames)}:{sum(frames[-1])}:" + ",".join(map(str, hist.tolist()))
                 rows.append((own, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types, strict=True)], names=names)
