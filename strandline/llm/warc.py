@@ -25,7 +25,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts, shared_dir, table, tidy
+from .common import cut, parts, shared_dir, table, tidy
 
 MEMBER, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Payloads shorter than this are always whole responses.
@@ -34,6 +34,8 @@ LEAST_DEDUP_BYTES = 100
 ARCHIVE_BYTES = 1 << 30
 #: The index is kept in memory until its archive is closed: so many records at most.
 ARCHIVE_RECORDS = 500_000
+#: Digests with more than a so-manieth of all rows are joined by broadcast: there are fewer than so many.
+HOT_SHARE = 1000
 DATE = "2020-01-01T00:00:00Z"
 
 
@@ -125,7 +127,7 @@ class ZipReader:
     """Stored members of a ZIP file, by byte ranges of an open random-access file."""
 
     def __init__(self, file):
-        self.file, self.members = file, {}
+        self.file, self.members, self.ranges = file, {}, {}
         size = file.size()
         tail_at = max(0, size - 65_557)  # the end record and its longest comment
         tail = self._read(tail_at, size - tail_at)
@@ -170,12 +172,14 @@ class ZipReader:
 
     def range(self, name: str) -> tuple[int, int]:
         """First byte and length of a member's data."""
-        at, size = self.members[name]
-        head = self._read(at, 30)
-        if head[:4] != b"PK\3\4":
-            raise ValueError("damaged member header")
-        names, extras = struct.unpack_from("<2H", head, 26)
-        return at + 30 + names + extras, size
+        if name not in self.ranges:
+            at, size = self.members[name]
+            head = self._read(at, 30)
+            if head[:4] != b"PK\3\4":
+                raise ValueError("damaged member header")
+            names, extras = struct.unpack_from("<2H", head, 26)
+            self.ranges[name] = at + 30 + names + extras, size
+        return self.ranges[name]
 
     def read(self, name: str, at: int = 0, length: int | None = None) -> bytes:
         first, size = self.range(name)
@@ -283,16 +287,22 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_DEDUP_BYTES
     written when the result is used, a name for each attempt, so that a task that runs again harms none.
 
     Of records with equal payloads of at least `least` bytes, that with the smallest page_id is a response,
-    the others are revisits of it. Equal payloads are found by SHA-256 with a grouped minimum, so a payload
-    that a third of all rows share is reduced before it is shuffled; html itself is not shuffled for that.
+    the others are revisits of it; rows that repeat both page_id and payload are responses all. Equal payloads are found by
+    SHA-256 with a grouped minimum, so a payload that a third of all rows share is reduced before it is shuffled. Digests of
+    more than a HOT_SHARE-th of all rows, of which there are fewer than HOT_SHARE, are broadcast with their first ids, so
+    that their pages stay where they are; the others meet theirs by digest.
     """
     pages = pages.select("page_id", "url", "html")
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     keyed = pages.select("page_id", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("n"))
-    # Both the duplicate's id and its first one come out of one aggregate over digests that occur twice.
-    firsts = keyed.where(F.col("n") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("digest", "first")
+    firsts = keyed.where(F.col("n") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    firsts = cut(firsts)
+    hot_rows = pages.count() // HOT_SHARE
+    hot = F.broadcast(firsts.where(F.col("copies") > hot_rows).select("digest", "first"))
     whole = pages.withColumn("digest", F.sha2(payload, 256))
-    joined = whole.join(firsts, "digest", "left").withColumn("first", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
+    there = whole.join(hot, "digest")
+    others = whole.join(hot, "digest", "left_anti").join(firsts.where(F.col("copies") <= hot_rows).select("digest", "first"), "digest", "left")
+    joined = others.unionByName(there).withColumn("first", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
     return joined.select("page_id", "url", "html", "digest", "first").mapInArrow(tidy(_writer(folder, archive_bytes, zip64)), "archive string, n_records long")
 
 
