@@ -4,7 +4,9 @@ The two halves of each vector are quantised separately, by centroids fitted on a
 pair of centroids, and every vector is indexed in its cell. A query goes through the cells in falling order of
 summed half scores (its inner products with the two centroids) with a heap, until the cells that it has
 passed hold `reach` of all vectors and at least `least` vectors; the entries of those cells are scored in
-full, in double precision. Vectors without clusters need a large reach for a given recall, others a small one.
+full, in double precision. Vectors without clusters need a large reach for a given recall, others a small one: where
+no reach is given, it is measured on the sample, as the one with which PROBES of its vectors find `recall` of their
+neighbours in the sample by brute force.
 
 Equal vectors are one entry with its `k` + 1 smallest ids (no more can be among the k nearest but for the
 query itself), and equal queries are searched once, so a vector that a third of all rows hold costs one entry. Cells are
@@ -12,8 +14,8 @@ packed into blocks of bounded size, large cells split over several, and queries
 one lot as a matrix product, in which cells that a query did not reach do not count, and keeps the k + 1 best of each
 query. The table of cell sizes is bounded by the square of the centroids' number; it is all that is sent along beside the centroids.
 
-Edge cases: vectors that are null, empty, zero, of another length than most, or hold null or non-finite
-components take no part, neither as queries nor as candidates; with fewer candidates than k all found are
+Edge cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, neither as queries
+nor as candidates; vectors of several lengths are searched length by length; with fewer candidates than k all found are
 returned; ties go to the smaller id; a repeated id with equal vector counts once; an empty table gives no
 rows; other columns are ignored.
 """
@@ -30,16 +32,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, table, tidy, tidy_groups
+from .common import cut, parts, table, tidy, tidy_groups
 
 K = 20
 CENTROIDS = 64
 #: Vectors that the centroids are fitted on, at most.
 SAMPLE = 8192
-#: Share of all distinct vectors, and number of them, that a query scores at least.
-REACH, LEAST = 0.5, 1500
-#: Entries and queries of a block.
-BLOCK, QUERY_BLOCK = 4096, 2048
+#: Recall that the reach is measured for, on so many queries, and number of distinct vectors that a query scores at least.
+RECALL, PROBES, LEAST = 0.96, 256, 1500
+#: Entries and queries of a block: every lot of queries has a copy of each block that it reaches.
+BLOCK, QUERY_BLOCK = 4096, 16384
+#: Queries whose cells one task visits, in the mean.
+QUERIES_A_TASK = 512
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -47,15 +51,16 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = [], []
-            for own, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if own is None or not v or None in v:
-                    continue
-                v = np.array(v, np.float64) + 0.0  # no negative zeros
-                if np.isfinite(v).all() and v.any():
-                    ids.append(own)
-                    keys.append(v.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], names=["id", "key"])
+            ids, lists = batch.column(0), batch.column(1)
+            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            values = lists.flatten().cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False) + 0.0  # no negative zeros
+            ends = np.cumsum(sizes)
+            sums = np.concatenate([[0], np.cumsum(~np.isfinite(values))])
+            some = np.concatenate([[0], np.cumsum(values != 0)])
+            good = (sizes > 0) & (sums[ends] == sums[ends - sizes]) & (some[ends] > some[ends - sizes]) & ids.is_valid().to_numpy(zero_copy_only=False)
+            bounds = np.concatenate([[0], ends]) * 8
+            keys = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(bounds), pa.py_buffer(values)])
+            yield pa.RecordBatch.from_arrays([ids, keys.cast(pa.binary())], names=["id", "key"]).filter(pa.array(good))
 
     return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vector")).mapInArrow(tidy(run), "id long, key binary")
 
@@ -127,20 +132,40 @@ def _matrix(keys, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(keys), np.float64).reshape(-1, dim)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = K, centroids: int = CENTROIDS, sample: int = SAMPLE, reach: float = REACH, least: int = LEAST, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def probe(points: np.ndarray, c1: np.ndarray, c2: np.ndarray, sizes: np.ndarray, k: int, recall: float, probes: int = PROBES) -> float:
+    """The share of all entries that has to be scored for `recall` of the sample's neighbours in the sample."""
+    half, shares = c1.shape[1], []
+    cells = nearest(points[:, :half], c1) * len(c2) + nearest(points[:, half:], c2)
+    for i in np.unique(np.linspace(0, len(points) - 1, min(probes, len(points))).astype(int)):
+        scores = points @ points[i]
+        scores[i] = -np.inf
+        near = np.argsort(-scores, kind="stable")[: min(k, len(points) - 1)]
+        order = np.argsort(-((c1 @ points[i, :half])[:, None] + (c2 @ points[i, half:])[None, :]).ravel(), kind="stable")
+        held = np.empty(len(order))
+        held[order] = np.cumsum(sizes[order]) / max(1, sizes.sum())
+        shares.append(held[cells[near]])
+    found = np.concatenate(shares) if shares else np.zeros(0)
+    return float(np.quantile(found, recall)) if len(found) else 1.0
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = K, centroids: int = CENTROIDS, sample: int = SAMPLE, reach: float | None = None, recall: float = RECALL, least: int = LEAST, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k candidates of largest inner product found for each query, but itself."""
     spark = vectors.sparkSession
     entries = cut(entries_of(usable(vectors, id_col, vec_col), k + 1).withColumn("h", F.xxhash64("key")))
     asked = usable(queries, id_col, vec_col).dropDuplicates(["id", "key"])
+    dims = [r[0] // 8 for r in entries.groupBy(F.octet_length("key").alias("n")).count().orderBy("n").collect()]  # mostly one
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for dim in dims:
+        out = out.unionByName(_search(entries, asked, dim, k, centroids, sample, reach, recall, least))
+    return out
+
+
+def _search(entries: DataFrame, asked: DataFrame, dim: int, k: int, centroids: int, sample: int, reach: float | None, recall: float, least: int) -> DataFrame:
+    spark, sized = entries.sparkSession, F.octet_length("key") == 8 * dim
     # The sample: the distinct vectors of smallest hash. A bounded number of rows comes to the driver.
-    drawn = entries.select("key", "h").orderBy("h", "key").limit(sample).collect()
-    out_schema = "query_id long, rank int, vec_id long, score double"
-    lengths = [len(r.key) // 8 for r in drawn]
-    if not lengths:
-        return spark.createDataFrame([], out_schema)
-    dim = max(set(lengths), key=lengths.count)
+    drawn = entries.where(sized).select("key", "h").orderBy("h", "key").limit(sample).collect()
     half = dim // 2
-    points = _matrix([r.key for r in drawn if len(r.key) == 8 * dim], dim)
+    points = _matrix([r.key for r in drawn], dim)
     c1, c2 = fit(points[:, :half], centroids), fit(points[:, half:], centroids, 8)
     n2 = len(c2)
 
@@ -151,16 +176,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, centroids: int =
                 rows["cell"] = nearest(m[:, :half], c1) * n2 + nearest(m[:, half:], c2)
                 yield rows[["key", "ids", "h", "cell"]]
 
-    sized = F.octet_length("key") == 8 * dim
     placed = cut(entries.where(sized).mapInPandas(tidy(place), "key binary, ids array<long>, h long, cell int"))
     sizes = np.zeros(len(c1) * n2, np.int64)
     for r in placed.groupBy("cell").count().collect():  # at most centroids ** 2 rows
         sizes[r["cell"]] = r["count"]
+    reach = probe(points, c1, c2, sizes, k, recall) if reach is None else reach
     enough = max(least, int(np.ceil(reach * sizes.sum())))
     base, splits = pack(sizes, BLOCK)
 
     # Distinct query vectors, each with the blocks of the cells that it reaches.
     distinct = asked.where(sized).select("key").distinct()
+    n_queries = distinct.count()
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -175,9 +201,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, centroids: int =
                 blocks = np.unique(np.concatenate([base[c] + np.arange(splits[c]) for c in cells]))
                 yield pd.DataFrame({"block": blocks, "q": h, "key": [key] * len(blocks), "reached": [np.packbits(reached).tobytes()] * len(blocks)})
 
-    visits = distinct.withColumn("h", F.xxhash64("key")).mapInPandas(tidy(visit), "block int, q long, key binary, reached binary")
+    # By a stated number of partitions: they are small in bytes, not in work.
+    dealt = distinct.withColumn("h", F.xxhash64("key")).repartition(max(parts(spark), n_queries // QUERIES_A_TASK), "h")
+    visits = dealt.mapInPandas(tidy(visit), "block int, q long, key binary, reached binary")
     # Queries of a block are split into lots, in proportion to all queries, so that no task gets them all.
-    lots = max(1, -(-distinct.count() // QUERY_BLOCK))
+    lots = max(1, -(-n_queries // QUERY_BLOCK))
     visits = visits.withColumn("lot", F.pmod("q", F.lit(lots)).cast("int"))
     homes = spark.createDataFrame([(c, int(base[c]), int(splits[c])) for c in np.flatnonzero(sizes).tolist()], "cell int, base int, splits int")
     stored = placed.join(F.broadcast(homes), "cell").withColumn("block", F.col("base") + F.pmod(F.col("h"), F.col("splits")).cast("int"))
