@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes that separate words in most contracts: space and 0x09-0x0D.
 SPACE = np.zeros(256, bool)
@@ -24,11 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, one of our own, in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
         if context._jsc.sc().getCheckpointDir().isEmpty():
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="strandline-"))
         found = context._jsc.sc().getCheckpointDir().get()
     return found
@@ -44,6 +48,21 @@ def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def named(column: str) -> Column:
+    """A column by its name, whatever characters that has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def packed(df: DataFrame) -> Column:
+    """All columns of df as one struct `_row`, so that none clashes with an operator's own."""
+    return F.struct(*(named(c).alias(f"_{i}") for i, c in enumerate(df.columns))).alias("_row")
+
+
+def unpacked(columns: list[str]) -> list[Column]:
+    """The columns that ``packed`` put into `_row`."""
+    return [F.col(f"_row._{i}").alias(c) for i, c in enumerate(columns)]
+
+
 def trim() -> None:
     """Gives memory that a finished task held back to the system: workers live on, and share an executor's limit with its JVM."""
     pa.default_memory_pool().release_unused()

@@ -12,7 +12,11 @@
 
 Edge cases: null text has size 0; documents of size 0 are taken 0 words and stand at time 0 of their source;
 null sources are one source, the last; a repeated doc_id is another document; a null one is hashed as empty
-text; equal hashes are ordered by doc_id, then by size; an empty table gives no rows; other columns of the input are ignored.
+text; equal hashes are ordered by doc_id, then by size; an empty table gives no rows; other columns of the input are ignored,
+but for a struct `_row`, which is carried along and may hold columns of any names.
+
+Two windows pass over the table of sources, one row for each, in one task: sources are labels of collections, and some ten
+million of them fit a task (a row of six numbers and a name); no document passes through these windows.
 """
 
 from __future__ import annotations
@@ -72,6 +76,7 @@ def placed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MO
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     # Buckets are ranges of the key, so that their order is the key's.
     bucket = F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") * F.lit(buckets) / F.lit(1 << 32)
+    docs = docs.select("doc_id", "source", "size", *(["_row"] if "_row" in docs.columns else []))
     docs = docs.withColumn("_key", key).withColumn("_bucket", F.floor(bucket).cast("int"))
     blocks = cut(docs.groupBy("source", "_bucket").agg(F.sum("size").alias("_block")))  # of bounded size for each source
     goals = targets(blocks.groupBy("source").agg(F.sum("_block").alias("source_size")), weights, most)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, chunks, hash_spans, lower_ascii, mix, spans, table, tidy
+from .common import SPACE, chunks, hash_spans, lower_ascii, mix, named, spans, table, tidy
 
 SLOTS = 1 << 20
 #: Rated documents that the model is fitted on, at most.
@@ -113,6 +113,27 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(np.clip(x, -60, 60) / 2))
 
 
+def loss(row: np.ndarray, slot: np.ndarray, value: np.ndarray, grades: np.ndarray, w: np.ndarray, first: np.ndarray, gaps: np.ndarray, ridge: float):
+    """Mean negative log likelihood and ridge / 2 of the squared weights, and the gradients by the weights, the first threshold and the logarithms of the steps."""
+    n, levels = len(grades), len(gaps) + 2
+    cuts = np.concatenate([first, first + np.cumsum(np.exp(gaps))])
+    score = np.bincount(row, weights=value * w[slot], minlength=n)
+    p = _sigmoid(score[:, None] - cuts[None, :])
+    bounded = np.concatenate([np.ones((n, 1)), p, np.zeros((n, 1))], 1)
+    i = np.arange(n)
+    hi, lo = bounded[i, grades], bounded[i, grades + 1]
+    mass = np.maximum(hi - lo, 1e-12)
+    dhi, dlo = hi * (1 - hi), lo * (1 - lo)
+    g_score = -(dhi - dlo) / mass / n
+    g_w = np.bincount(slot, weights=value * g_score[row], minlength=len(w)) + ridge * w
+    g_cut = np.zeros(levels + 1)
+    np.add.at(g_cut, grades, dhi / mass / n)
+    np.add.at(g_cut, grades + 1, -dlo / mass / n)
+    g_cut = g_cut[1:-1]
+    g_gaps = np.cumsum(g_cut[::-1])[::-1][1:] * np.exp(gaps)
+    return -np.log(mass).mean() + ridge / 2 * float(w @ w), g_w, np.array([g_cut.sum()]), g_gaps
+
+
 def fit(row: np.ndarray, slot: np.ndarray, value: np.ndarray, grades: np.ndarray, levels: int, slots: int = SLOTS, rounds: int = ROUNDS, ridge: float = RIDGE, least_docs: int = LEAST_DOCS) -> Ordinal:
     """Nesterov steps on the mean negative log likelihood. The thresholds stay ordered, being a first value and positive steps."""
     n = len(grades)
@@ -127,22 +148,8 @@ def fit(row: np.ndarray, slot: np.ndarray, value: np.ndarray, grades: np.ndarray
     look = [p.copy() for p in params]
     for t in range(rounds):
         w, first, gaps = look
-        cuts = np.concatenate([first, first + np.cumsum(np.exp(gaps))])
-        score = np.bincount(row, weights=value * w[slot], minlength=n)
-        p = _sigmoid(score[:, None] - cuts[None, :])
-        bounded = np.concatenate([np.ones((n, 1)), p, np.zeros((n, 1))], 1)
-        i = np.arange(n)
-        hi, lo = bounded[i, grades], bounded[i, grades + 1]
-        mass = np.maximum(hi - lo, 1e-12)
-        dhi, dlo = hi * (1 - hi), lo * (1 - lo)
-        g_score = -(dhi - dlo) / mass / n
-        g_w = np.bincount(slot, weights=value * g_score[row], minlength=slots) + ridge * w
-        g_cut = np.zeros(levels + 1)
-        np.add.at(g_cut, grades, dhi / mass / n)
-        np.add.at(g_cut, grades + 1, -dlo / mass / n)
-        g_cut = g_cut[1:-1]
-        g_gap = np.cumsum(g_cut[::-1])[::-1][1:] * np.exp(gaps)
-        fresh = [w - 3.0 * g_w, first - 0.5 * g_cut.sum(), gaps - 0.5 * g_gap]
+        _, g_w, g_first, g_gaps = loss(row, slot, value, grades, w, first, gaps, ridge)
+        fresh = [w - 3.0 * g_w, first - 0.5 * g_first, gaps - 0.5 * g_gaps]
         look = [f + t / (t + 3) * (f - p_) for f, p_ in zip(fresh, params, strict=True)]
         params = fresh
     w, first, gaps = params
@@ -168,10 +175,11 @@ def _slots_of(docs: DataFrame, slots: int) -> DataFrame:
 
 def train(docs: DataFrame, ratings: DataFrame, levels: int, sample: int = SAMPLE, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> Ordinal | None:
     """ratings(doc_id, grade). None if nothing is rated."""
-    rated = ratings.where(F.col("grade").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_rated"), F.col("grade").cast("int").alias("grade"))
+    rated = ratings.where(F.col("grade").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_rated"), F.col("grade").cast("int").alias("_grade"))
     # Only ids and grades are sorted; `sample` bounds what is broadcast and collected.
-    drawn = rated.orderBy(F.xxhash64("_rated"), "_rated", "grade").limit(sample)
-    texts = docs.join(F.broadcast(drawn), docs[id_col] == F.col("_rated")).select("grade", F.col(text_col).alias("text"))
+    drawn = rated.orderBy(F.xxhash64("_rated"), "_rated", "_grade").limit(sample)
+    plain = docs.select(named(id_col).alias("_id"), named(text_col).alias("_text"))
+    texts = plain.join(F.broadcast(drawn), F.col("_id") == F.col("_rated")).select("_grade", "_text")
     found = _slots_of(texts, slots).toArrow()
     grades = found.column("grade").to_numpy().astype(np.int64)
     if not len(grades):
@@ -202,7 +210,7 @@ def score(docs: DataFrame, model: Ordinal | None, levels: int, slots: int = SLOT
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (levels - 1)), pa.array(tails.ravel()))
                 yield pa.RecordBatch.from_arrays([*batch.slice(first, n).columns, pa.array(tails.sum(1)), lists], names=[*names, "_expected", "_tails"])
 
-    out = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True))).mapInArrow(tidy(run), schema)
+    out = docs.select(*(named(c).alias(n) for c, n in zip(docs.columns, names, strict=True))).mapInArrow(tidy(run), schema)
     return out.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)), F.struct(F.col("_expected").alias("expected"), F.col("_tails").alias("tails")).alias("_quality"))
 
 
@@ -212,9 +220,8 @@ def rated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Scores docs with the model fitted on the labelled rows of the corpus's own documents."""
-    model = train(table(spark, sf_dir, "documents"), rated(spark, sf_dir), 3)
-    return score(docs, model, 3)
+    """Scores docs with the model fitted on those of them that sf_dir's labels rate."""
+    return score(docs, train(docs, rated(spark, sf_dir), 3), 3)
 
 
 def kept():

@@ -6,6 +6,7 @@ import itertools
 import os
 import random
 import zipfile
+import zlib
 
 import numpy as np
 import pytest
@@ -86,6 +87,35 @@ def test_gif_interlace_and_damage():
             gif.decode(bad)
 
 
+@pytest.mark.parametrize("n", [8000, 12_000, 30_000])
+def test_gif_codes_without_a_clear_code(n):
+    """A full table stays: literal codes, and codes of the table, go on at 12 bits for as long as the stream does."""
+    r = random.Random(n)
+    literal = [r.randrange(256) for _ in range(n)]
+    stream = lzw_naive([256, *literal, 257], 8)
+    assert gif.lzw_decode(stream, 8, n) == bytes(literal)
+    late = [*literal, *(r.randrange(258, 4096) for _ in range(500))]
+    table, before, out = [bytes([i]) for i in range(256)] + [b"", b""], None, b""
+    for c in late:
+        own = table[c]
+        if before is not None and len(table) < 4096:
+            table.append(before + own[:1])
+        out, before = out + own, own
+    assert gif.lzw_decode(lzw_naive([256, *late, 257], 8), 8, len(out)) == out
+
+
+def test_gif_claims_no_more_than_it_holds():
+    media = bytearray(picture([(0, 0, 2, 2, [1, 1, 1, 1], 1, None, 5, False, None)], P))
+    media[6:10] = b"\xff\xff\xff\xff"
+    with pytest.raises(ValueError, match="canvas"):
+        gif.decode(bytes(media))
+    frames = bytearray(picture([(0, 0, 2, 2, [1, 1, 1, 1], 1, None, 5, False, None)], P, (60000, 4000)))
+    at = frames.index(b"\x2c")
+    frames[at + 5 : at + 9] = (60000).to_bytes(2, "little") + (4000).to_bytes(2, "little")
+    with pytest.raises(ValueError, match="early"):
+        gif.decode(bytes(frames))
+
+
 def test_gif_tables(spark, tmp_path):
     rows = [(1, "abc"), (2, None), (3, ""), (4, "é" * 3000), (5, "abc"), (6, "x" * 192)]
     spark.createDataFrame(rows, "doc_id long, text string").withColumn("media", F.lit(1)).write.parquet(str(tmp_path / "documents.parquet"))
@@ -94,6 +124,10 @@ def test_gif_tables(spark, tmp_path):
         n, payload = gif.payload_of(t)
         assert len(payload) % 192 == 0 and payload
         assert (got[i].n_bytes, got[i].payload_sha256) == (n, hashlib.sha256(payload).hexdigest())
+        assert got[i].tail_crc32 == zlib.crc32(payload[-16:])
+        media, grey = gif.encode(payload), np.bincount(np.frombuffer(payload, np.uint8) // 32, minlength=8)
+        assert (got[i].media_bytes, got[i].media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        assert got[i].feature == "1:4:" + ",".join(map(str, grey))
     assert got[1].media_sha256 == got[5].media_sha256 and got[2].feature == got[3].feature and got[6].payload_bytes == 192
     stored = gif.store_texts(spark.createDataFrame(rows, "doc_id long, text string"))
     media = stored.select(F.col("doc_id").alias("id"), "media").union(spark.createDataFrame([(7, b"bad"), (8, None)], "id long, media binary"))
@@ -133,6 +167,30 @@ def test_quality(spark, tmp_path):
     assert quality.score(docs.limit(0), model, 3).count() == 0
 
 
+def test_gradient_by_finite_differences():
+    rng = np.random.default_rng(2)
+    n, slots = 40, 6
+    row, slot, value = np.repeat(np.arange(n), 3), rng.integers(0, slots, 3 * n), rng.normal(size=3 * n)
+    grades, at = rng.integers(0, 4, n), [rng.normal(size=slots), np.array([-0.7]), np.array([0.1, -0.4])]
+    _, *slopes = quality.loss(row, slot, value, grades, *at, 0.01)
+    for which, slope in enumerate(slopes):
+        for i in range(len(slope)):
+            ends = []
+            for step in (1e-6, -1e-6):
+                moved = [x.copy() for x in at]
+                moved[which][i] += step
+                ends.append(quality.loss(row, slot, value, grades, *moved, 0.01)[0])
+            assert slope[i] == pytest.approx((ends[0] - ends[1]) / 2e-6, abs=1e-6)
+
+
+def test_quality_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, "good words" if i % 2 else "bad words") for i in range(60)], "doc_id long, text string")
+    odd = docs.selectExpr("*", "1 AS grade", "2 AS _grade", "3 AS _rated", "4 AS _id", "5 AS `a.b`")
+    model = quality.train(odd, spark.createDataFrame([(i, 2 * (i % 2)) for i in range(60)], "doc_id long, grade int"), 3)
+    out = quality.score(odd, model, 3)
+    assert out.columns == [*odd.columns, "_quality"] and {r.doc_id % 2 for r in out.where(quality.kept()).collect()} == {1}
+
+
 def test_features_are_the_same_for_any_slicing():
     texts = ["Ab, c d##", "", "A A A b", "é 12x"]
     whole = [t.encode() for t in texts]
@@ -196,6 +254,27 @@ def test_recall_by_reach(spark):
     assert recall() >= 0.9 and recall(reach=0.03) < 0.9
 
 
+def test_neighbours_of_several_lengths(spark):
+    rows = [(i, [float(i % 7 - 3), 1.0, float(i % 5)][: 2 + i % 2]) for i in range(80)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): r.vec_id for r in imi.search(df, df.where("vec_id % 20 = 1 OR vec_id % 20 = 0")).collect()}
+    for q in (0, 1, 20, 21):
+        own = [(-sum(a * b for a, b in zip(v, rows[q][1], strict=True)), i) for i, v in rows if len(v) == len(rows[q][1]) and any(v) and i != q]
+        assert [got[q, k + 1] for k in range(20)] == [i for _, i in sorted(own)[:20]]
+
+
+def test_reach_follows_clusters():
+    rng = np.random.default_rng(5)
+    centers = 4 * rng.normal(size=(40, 16))
+    near, flat = centers[rng.integers(0, 40, 3000)] + 0.1 * rng.normal(size=(3000, 16)), rng.normal(size=(3000, 16))
+    reach = []
+    for v in (near, flat):
+        c1, c2 = imi.fit(v[:, :8], 16), imi.fit(v[:, 8:], 16, 8)
+        cells = imi.nearest(v[:, :8], c1) * 16 + imi.nearest(v[:, 8:], c2)
+        reach.append(imi.probe(v, c1, c2, np.bincount(cells, minlength=256), 20, 0.95))
+    assert reach[0] < 0.2 < reach[1] <= 1
+
+
 def test_few_neighbours(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (20, [0.0, 2.0])], "vec_id long, embedding array<double>")
     got = sorted((r.query_id, r["rank"], r.vec_id) for r in imi.search(df, df.where("vec_id % 20 = 0")).collect())
@@ -305,3 +384,61 @@ def test_pipeline(spark, tmp_path):
             assert out.count() == before and out.where("n_chars <> length(text)").count() == 0
         docs = out
     assert docs.where("NOT lossless").count() == 0 and docs.count() > 0
+
+
+ODD = ("grade", "size", "times", "target", "rank", "label", "block", "node", "a.b", "_row", "pid", "_dedup", "_quality", "taken", "key", "keys", "first", "weight", "start", "_c0", "_text", "_id", "h")
+
+
+def odd_documents(spark, extra=()):
+    r = random.Random(8)
+    word = lambda: "w" + str(r.randrange(5000))
+    long, shared = " ".join(word() for _ in range(30_000)), " ".join(word() for _ in range(40))
+    copy = " ".join(word() for _ in range(50))
+    rows = [(1, copy, "s1"), (1, copy, "s1"), (2, copy, "s2"), (None, copy + " x", None), (None, copy + " x", None), (1, copy + " y", "s1"), (3, None, "s1"), (4, "", None), (None, None, None), (5, "one", "s3")]
+    rows += [(10, f"before {shared} after", "s1"), (11, f"other words then {shared} and more{' more' * 12}", "s2"), (12, long, "s1"), (None, " ".join(word() for _ in range(20)), "s3")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for c in extra:
+        docs = docs.withColumn(c, F.concat(F.lit("z"), F.coalesce(F.length("text"), F.lit(0)).cast("string")))
+    return docs
+
+
+@pytest.mark.parametrize("extra", [(), ODD])
+def test_stages_on_odd_rows(spark, tmp_path, extra):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs, stages = odd_documents(spark, extra), dict(corpus_pipeline.STAGES)
+    key = lambda rows: sorted((r.doc_id is None, r.doc_id or 0, r.text or "", str(r.source)) for r in rows)
+    every = docs.collect()
+    for name in list(stages)[:-1]:
+        out = stages[name](spark, docs, str(tmp_path))
+        rows = out.collect()
+        assert out.columns == docs.columns
+        assert stages[name](spark, docs.limit(0), str(tmp_path)).count() == 0
+        for c in extra:  # other columns still belong to their row
+            if name != "passages":
+                assert all(r[c] == f"z{len(r.text or '')}" for r in rows)
+        if name == "quality":
+            assert key(rows) == key(every)
+        elif name == "near_copies":
+            assert len(rows) == len(every) - 5 and sum((r.text or "").count(" ") in (49, 50) for r in rows) == 1
+            assert [r.doc_id for r in rows if (r.text or "").startswith(every[0].text)] == [1]
+        elif name == "passages":
+            assert len(rows) == len(every) and next(r.text for r in rows if r.doc_id == 11) == "other words then and more" + " more" * 12
+            assert all(r.n_chars == len(r.text or "") for r in rows)
+        else:
+            assert {r.text for r in rows} <= {r.text for r in every} and all(r.text for r in rows)
+    ids = stages["encoding"](spark, docs, str(tmp_path))
+    assert ids.count() == len(every) and ids.where("n_tokens < 2").count() == 0
+
+
+def test_queries_on_odd_rows(spark, tmp_path):
+    """Every query of documents gives a row for each row, with columns of clashing names, and no rows for an empty table."""
+    from strandline.llm import catalog
+
+    for sub, odd in (("full", odd_documents(spark, ODD)), ("empty", odd_documents(spark).limit(0))):
+        odd.write.parquet(str(tmp_path / sub / "documents.parquet"))
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / sub / "labels.parquet"))
+        for name, query in catalog.queries().items():
+            if name not in ("op8_imi", "op10_warc", "pipeline"):
+                assert query(spark, str(tmp_path / sub)).count() == odd.count(), name

@@ -133,6 +133,39 @@ def test_jaccard_near_copies_of_null_ids(spark):
 def test_jaccard_empty_and_depth(spark):
     assert jaccard.jaccard_join(frame(spark, [])).count() == 0
     assert jaccard.prefix_depth(0.8, 40, 8, 0.99999) == 6 and jaccard.prefix_depth(0.99, 40, 8, 0.9) == 8
+    possible = {n: {a / (n + b) for a in range(n + 1) for b in range(n) if (a, b) != (n, 0) and a / (n + b) >= 0.8} for n in range(1, 40)}
+    assert {n: jaccard.least_similarity(n, 0.8) for n in possible} == {n: min(p, default=None) for n, p in possible.items()}
+    need = jaccard.needs(0.8, 40, 7, 0.99999)
+    assert need[:8].tolist() == [0, 0, 0, 0, 6, 6, 7, 7] and need[-1] == 6
+
+
+def test_common_levels():
+    keys = np.array([0x0102030405060708, 0x0102030405060708, 0x0102030405060709, 0x01020304050607FF + (1 << 8), 0x0202030405060708, -1, -2], np.int64)
+    assert jaccard.common_levels(keys).tolist() == [7, 6, 5, -1, -1, 6]
+
+
+def test_forest_recall_by_level(spark):
+    """Links by matched level against brute force: recall rises as prefixes are shortened, and reaches the target."""
+    r = random.Random(11)
+    rows = []
+    for c in range(60):
+        base = [f"w{r.randrange(10**6)}" for _ in range(80)]
+        rows.append((2 * c, " ".join(base)))
+        rows.append((2 * c + 1, " ".join(base[: 80 - r.randrange(1, 9)] + [f"v{r.randrange(10**6)}" for _ in range(r.randrange(0, 8))])))
+    near = {(i, j) for i, ids, n in [(a, b, c) for a, b, c in brute_classes(rows)] for j in [ids] if n and i != j}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = jaccard.nodes_of(docs, 5, jaccard.TREES, jaccard.DEEPEST, jaccard.needs(0.8, jaccard.TREES, jaccard.DEEPEST, jaccard.RECALL), "doc_id", "text")
+    ids = {x.node: x.doc_id for x in found.collect()}
+    links = [(tuple(sorted((ids[x.a], ids[x.b]), reverse=True)), x.level) for x in jaccard.forest_links(found.drop("doc_id")).collect()]
+    recall = [len({p for p, level in links if level >= d} & near) / len(near) for d in (7, 6)]
+    assert len(near) > 30 and recall[0] <= recall[1] == 1.0 and {level for _, level in links} <= {6, 7}
+
+
+def test_hot_copies(spark):
+    text, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}" for i in range(62))
+    rows = [(i, text) for i in range(3000)] + [(5000, other), (5001, None), (5002, "")] + [(i, f"doc {i} of its own and of no other") for i in range(6000, 6400)]
+    got = {x.doc_id: (x.class_id, x.n_links) for x in jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    assert got[0] == (0, 3000) == got[2999] and got[5000] == (0, 3000) and got[5001] == (5001, 0) and got[6001] == (6001, 0) and len(got) == len(rows)
 
 
 def test_components(spark):
@@ -278,5 +311,34 @@ def test_license_query(spark, tmp_path):
     assert (got[2].n_base, got[2].first_word, got[2].labels, got[2].score) == (0, None, "", 0.0)
 
 
+def test_license_query_is_a_row_for_each_row(spark, tmp_path):
+    rows = [(1, "cc by"), (1, "x CC-BY"), (1, "cc by"), (None, "cc by all rights reserved"), (None, None), (None, "cc by all rights reserved"), (2, ""), (3, "general public license " * 50)]
+    spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS template", "2 AS rows", "3 AS content").write.parquet(str(tmp_path / "documents.parquet"))
+    want = []
+    for i, text in rows:
+        w = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower().encode())
+        at = [(label, p) for label, ph in licenses.BASE.items() for p in range(len(w)) if w[p : p + len(ph.split())] == ph.encode().split()]
+        places = [p for _, p in at]
+        want.append((i, len(w), len(at), min(places, default=None), max(places, default=None), ",".join(sorted({x for x, _ in at}))))
+    got = [(r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in licenses.op7_licenses(spark, str(tmp_path)).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_long_templates(spark):
+    long = dict((label, t) for label, t in licenses.OWN if len(t.split()) > 100)
+    r = random.Random(4)
+    rows = []
+    for i, (label, t) in enumerate(sorted(long.items())):
+        w = t.split()
+        for _ in range(6):
+            w.insert(r.randrange(len(w)), "inserted")
+        rows.append((i, "in the software " * 30 + " ".join(w) + " of the software" * 30))
+        rows.append((100 + i, " ".join(r.sample(t.split(), len(t.split())))))
+    got = defaultdict(set)
+    for x in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).where("label IS NOT NULL").collect():
+        got[x.doc_id].add(x.label)
+    assert all(label in got[i] and not got[100 + i] for i, label in enumerate(sorted(long)))
+
+
 def test_digest_is_of_joined_words():
     assert hashlib.sha256(b"a b").hexdigest() == hashlib.sha256(b" ".join(b"a \t b".split())).hexdigest()
