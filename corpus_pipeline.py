@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 documents. Stages are judged on their own input: copies that one leaves do not matter to the one before.
+
+Edge cases: columns beside those of documents are carried along, whatever their names. Null and empty texts have
+the quality of a text without features, are no copies of each other, have no passages, are not taken by the mix (their
+size is 0), and encode to the begin and end ids. Rows of one doc_id, or of a null one, are documents of their own to all
+stages but passages, where what they share among each other is no repeat; of rows that are copies exactly one stays.
+Null sources are one source. Ties are settled by doc_id, null last, then by content. An empty table gives empty tables.
+The tables of the stages stay in the shared folder below `pipeline-...`: what run() returns reads the last of them.
 """
 
 from __future__ import annotations
@@ -12,32 +19,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import jaccard, mixing, pieces, quality, substrings
-from strandline.llm.common import shared_dir, table
+from strandline.llm.common import named, packed, shared_dir, table, unpacked
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose grade is the best one at least as probably as not; the others, toxic or of low quality, go."""
-    return quality.classify(spark, docs, sf_dir).where(quality.kept()).drop("_quality")
+    scored = quality.classify(spark, docs.select(packed(docs), named("doc_id").alias("doc_id"), named("text").alias("text")), sf_dir)
+    return scored.where(quality.kept()).select(*unpacked(docs.columns))
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least doc_id of each class of documents linked by a Jaccard similarity of 0.8 of five-word shingles."""
-    classes = jaccard.jaccard_join(docs)
-    first = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["_first"]), "left_semi")
+    """The row of the least doc_id of each class of documents linked by a Jaccard similarity of 0.8 of five-word shingles."""
+    return jaccard.one_of_each(docs)
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of 13 words or more that a document of smaller doc_id has too; n_chars follows."""
-    found = substrings.remove_repeats(docs, layout=True).drop("_dedup")
-    return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    others = docs.select(*(named(c) for c in docs.columns if c not in ("text", "n_chars")))
+    plain = docs.select(packed(others), named("doc_id").alias("doc_id"), named("text").alias("text"))
+    found = substrings.remove_repeats(plain, layout=True)
+    fields = dict(zip(others.columns, unpacked(others.columns), strict=True))
+    fields |= {"text": F.col("text"), "n_chars": F.length("text").cast("long").alias("n_chars")}
+    return found.select(*(fields[c] for c in docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each copy of a document that the curriculum takes, in training order."""
-    mixed = mixing.mix(docs.withColumn("size", mixing.size_of(F.col("text"))), whole=True)
-    copies = mixed.select(*docs.columns, F.explode("times").alias("_time"))
-    return copies.repartitionByRange("_time", "doc_id").sortWithinPartitions("_time", "doc_id").select(*docs.columns)
+    plain = docs.select(packed(docs), named("doc_id").alias("doc_id"), named("source").alias("source"), mixing.size_of(named("text")).alias("size"))
+    copies = mixing.mix(plain, whole=True).select("doc_id", "_row", F.explode("times").alias("_time"))
+    return copies.repartitionByRange("_time", "doc_id").sortWithinPartitions("_time", "doc_id").select(*unpacked(docs.columns))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
