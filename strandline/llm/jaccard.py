@@ -27,6 +27,7 @@ empty table gives no rows; ``jaccard_join`` reads only the named columns, ``one_
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,7 +64,7 @@ def least_similarity(n: int, threshold: float = THRESHOLD) -> float | None:
     """The least similarity, from the threshold on, that a set of n elements can have with another one that is not equal."""
     found = []
     for gone in range(n):
-        new = int((n - gone) / threshold - n + 1e-9)
+        new = math.floor((n - gone) / threshold - n + 1e-9)
         if new < 0:
             break
         if gone or new:
@@ -226,7 +227,7 @@ def links_among(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, thr
     used = np.cumsum(times > 1) - 1
     column, owner = used[column[shared]], owner[shared]
     both = np.zeros((len(left), len(right)), np.float64)
-    width = min(int(used[-1]) + 1 if len(used) else 1, max(256, 24_000_000 // max(1, len(sets))))
+    width = max(1, min(int(used[-1]) + 1 if len(used) else 1, max(256, 24_000_000 // max(1, len(sets)))))
     place = np.argsort(column, kind="stable")
     column, owner = column[place], owner[place]
     for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
