@@ -13,12 +13,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.intervals import merged_array
 from .joins import overlap_flags, overlap_join
 from .segments import hit_segments
 from .setops import merge
 
 KEYS = ("contig", "orientation")
 ALN = ("source", "aln_id")
+#: Units of a weight of 1 in which weights are added up exactly.
+UNITS = 1e15
 
 
 def merged_elements(elements: DataFrame) -> DataFrame:
@@ -54,12 +57,14 @@ def any_overlap(alignments: DataFrame, elements: DataFrame, width: int | None =
 
 def overlap_weighted(alignments: DataFrame, elements: DataFrame, width: int | None = None) -> DataFrame:
     """Each segment of an alignment's blocks has the weight length / (total length * nh), shared equally by the elements that cover it."""
-    blocks = merge(alignments, (*ALN, *KEYS, "nh"))
-    total = blocks.groupBy(*ALN, *KEYS, "nh").agg(F.sum(F.col("end") - F.col("start")).alias("total"))
-    segments = hit_segments(blocks, elements, "element", [*ALN, *KEYS, "nh"], KEYS, width).where(F.size("data") > 0)
+    # An alignment has a handful of blocks: they are merged as one array, and their total goes with each of them.
+    blocks = F.col("_blocks")
+    merged = alignments.groupBy(*ALN, *KEYS, "nh").agg(merged_array(F.collect_set(F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")))).alias("_blocks"))
+    total = F.aggregate(blocks, F.lit(0).cast("long"), lambda t, b: t + b["end"] - b["start"])
+    rows = merged.select(*ALN, *KEYS, "nh", total.alias("total"), F.explode(blocks).alias("b")).select(*ALN, *KEYS, "nh", "total", F.col("b.start").alias("start"), F.col("b.end").alias("end"))
+    segments = hit_segments(rows, elements, "element", [*ALN, *KEYS, "nh", "total"], KEYS, width, raw=True)
     share = (F.col("end") - F.col("start")) / (F.col("total") * F.col("nh") * F.size("data"))
-    joined = segments.join(total, [*ALN, *KEYS, "nh"])
-    return joined.select(*ALN, share.alias("weight"), F.explode("data").alias("element")).select(*ALN, "element", "weight")
+    return segments.select(*ALN, share.alias("weight"), F.explode("data").alias("element")).select(*ALN, "element", "weight")
 
 
 def top_ranked(ranks: DataFrame) -> Callable:
@@ -83,7 +88,9 @@ def count(alignments: DataFrame, elements: DataFrame, resolution: Callable = any
         used = overlap_join(elements, merge(partitions), ["contig"], "semi", width)
     else:
         used = elements
-    sums = resolution(alignments, used, width).groupBy("source", "element").agg(F.sum("weight").alias("count"))
+    # Weights are added up in whole units, so that reruns agree whatever the order of the rows.
+    units = F.sum(F.round(F.col("weight") * UNITS).cast("decimal(38,0)"))
+    sums = resolution(alignments, used, width).groupBy("source", "element").agg((units.cast("double") / UNITS).alias("count"))
     if not zeros:
         return sums
     # Every element with every source: the result has that size. Sources are labels of samples; they come as one array.

@@ -2,6 +2,14 @@
 
 Each interval is put in the bins it touches; pairs meet in each bin they share and are kept in the first of
 them only (the bin of the larger start), so none comes twice. The bin is part of the key, so a hot contig is spread.
+
+Bins come in levels, each STEP times as wide as the one below: an interval belongs to the lowest level where it is at
+most SPAN bins long, and is also put in the wider bins of the levels that the other table's intervals belong to. A
+pair meets at the higher of its two levels. So a whole chromosome makes a few rows, and where no interval is long, the
+rows are those of one level. Which levels are in use is found by an aggregate that is part of the plan, and is broadcast:
+one row of LEVELS flags at most.
+
+Null keys or bounds and empty intervals (end at or before start) overlap nothing.
 """
 
 from __future__ import annotations
@@ -11,76 +19,113 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Width of bins where the caller gives none.
+#: Width of the lowest level's bins where the caller gives none.
 BIN = 1 << 12
+SPAN, STEP, LEVELS = 16, 64, 4
 
 
-def bin_of(pos, width: int) -> Column:
+def bin_of(pos, width) -> Column:
     """Floor of pos / width, for negative positions too."""
     pos = F.col(pos) if isinstance(pos, str) else pos
-    return ((pos - F.pmod(pos, F.lit(width))) / F.lit(width)).cast("long")
+    width = width if isinstance(width, Column) else F.lit(width)
+    return ((pos - F.pmod(pos, width)) / width).cast("long")
 
 
-def bins(start, end, width: int) -> Column:
+def bins(start, end, width) -> Column:
     end = F.col(end) if isinstance(end, str) else end
     return F.sequence(bin_of(start, width), bin_of(end - 1, width))
 
 
-def width_for(*tables: DataFrame, least: int = 64) -> int:
-    """A bin width from the tables' median lengths: one aggregate of one number each."""
-    found = [t.select(F.percentile_approx(F.col("end") - F.col("start"), 0.5)).first()[0] for t in tables]
-    longest = max([x for x in found if x is not None], default=least)
-    return max(least, 1 << int(2 * longest).bit_length())
+def level_of(start: str, end: str, width: int) -> Column:
+    length, level = F.col(end) - F.col(start), F.lit(LEVELS - 1)
+    for i in range(LEVELS - 2, -1, -1):
+        level = F.when(length <= SPAN * width * STEP**i, i).otherwise(level)
+    return level
+
+
+def _width(level: Column, width: int) -> Column:
+    return F.element_at(F.array(*(F.lit(width * STEP**i) for i in range(LEVELS))), level + 1)
+
+
+def _levels(df: DataFrame, start: str, end: str, width: int) -> DataFrame:
+    return F.broadcast(df.agg(F.collect_set(level_of(start, end, width)).alias("_used")))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("contig",), how: str = "inner", width: int | None = None) -> DataFrame:
+def dealt(df: DataFrame, start: str, end: str, width: int, used: DataFrame | None, prefix: str) -> DataFrame:
+    """df's intervals, a row for each bin: `_level`, `_bin`, and `<prefix>own`, the interval's own level. used: the other table's levels; None: all intervals are short."""
+    df = df.where(F.col(start) < F.col(end))
+    own = f"{prefix}own"
+    if used is None:
+        return df.withColumn(own, F.lit(0)).withColumn("_level", F.lit(0)).withColumn("_bin", F.explode(bins(start, end, width)))
+    found = df.crossJoin(used).withColumn(own, level_of(start, end, width))
+    higher = F.filter("_used", lambda x: x > F.col(own))
+    found = found.withColumn("_level", F.explode(F.concat(F.array(own), higher))).drop("_used")
+    return found.withColumn("_bin", F.explode(bins(start, end, _width(F.col("_level"), width))))
+
+
+def _renamed(columns: Sequence[str], taken: Sequence[str]) -> list[str]:
+    """Right's columns with the suffix _r, and one more for as long as left has such a column."""
+    out = []
+    for c in columns:
+        name = f"{c}_r"
+        while name in taken or name in out:
+            name += "_r"
+        out.append(name)
+    return out
+
+
+def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("contig",), how: str = "inner", width: int | None = None, long_rows: bool = True) -> DataFrame:
     """Pairs of rows with equal keys whose [start, end) overlap.
 
-    inner: columns of left, then those of right with the suffix _r (keys once). semi and anti: left's rows with, or
-    without, any partner. left: as inner, and rows without a partner with nulls.
-    Null keys or bounds never match. Rows that repeat match one by one.
+    inner: columns of left, then those of right with the suffix _r (keys once; one more _r where left has such a column,
+    so a join's result can be joined again). semi and anti: left's rows with, or without, any partner. left: as inner,
+    and rows without a partner with nulls. Null keys or bounds, and empty intervals, never match. Rows that repeat match
+    one by one. long_rows=False: no row is much longer than a bin, so one level of bins will do.
     """
-    width = width or width_for(left, right)
-    renamed = right.select(*(F.col(c).alias(c if c in keys else f"{c}_r") for c in right.columns))
-    if how in ("semi", "anti", "left"):
-        left = left.withColumn("_row", F.monotonically_increasing_id()) if how == "left" else left
-    a = left.withColumn("_bin", F.explode(bins("start", "end", width)))
-    b = renamed.withColumn("_bin", F.explode(bins("start_r", "end_r", width)))
-    on = [*keys, "_bin"]
-    if how == "inner":
-        meet = (F.col("start") < F.col("end_r")) & (F.col("start_r") < F.col("end"))
-        first = F.col("_bin") == F.greatest(bin_of("start", width), bin_of("start_r", width))
-        return a.join(b, on).where(meet & first).select(*left.columns, *(c for c in renamed.columns if c not in keys))
-    if how == "left":
-        inner = overlap_join(left, right, keys, "inner", width)
-        rest = [c for c in renamed.columns if c not in keys]
-        missing = left.join(inner.select("_row").distinct(), "_row", "left_anti")
-        nulls = [F.lit(None).cast(renamed.schema[c].dataType).alias(c) for c in rest]
-        return inner.unionByName(missing.select(*left.columns, *nulls)).drop("_row")
-    if how not in ("semi", "anti"):
+    width = width or BIN
+    if how in ("semi", "anti"):
+        # An interval has a partner if one of its pieces, cut at the bins' bounds, has one in that bin: pieces need no row ids.
+        flagged = overlap_flags(left, right, keys, width, long_rows)
+        return flagged.where(F.col("_hit") if how == "semi" else ~F.col("_hit")).drop("_hit")
+    if how not in ("inner", "left"):
         raise ValueError(f"unknown join {how}")
-    # An interval has a partner if one of its pieces, cut at the bins' bounds, has one in that bin: pieces need no row ids.
-    flagged = overlap_flags(left, right, keys, width)
-    return flagged.where(F.col("_hit") if how == "semi" else ~F.col("_hit")).drop("_hit")
+    rest = [c for c in right.columns if c not in keys]
+    names = dict(zip(rest, _renamed(rest, left.columns), strict=True))
+    own = {c: f"_k{i}" for i, c in enumerate(keys)}
+    a = left.select(*(F.col(c).alias(own.get(c, f"_l{i}")) for i, c in enumerate(left.columns)))
+    b = right.select(*(F.col(c).alias(own.get(c, f"_r{i}")) for i, c in enumerate(right.columns)))
+    (ls, le), (rs, re) = ([f"_{x}{t.columns.index(c)}" for c in ("start", "end")] for x, t in (("l", left), ("r", right)))
+    used = (_levels(b, rs, re, width), _levels(a, ls, le, width)) if long_rows else (None, None)
+    met = dealt(a, ls, le, width, used[0], "_a").join(dealt(b, rs, re, width, used[1], "_b"), [*own.values(), "_level", "_bin"])
+    wide = _width(F.col("_level"), width)
+    first = (F.col("_bin") == F.greatest(bin_of(ls, wide), bin_of(rs, wide))) & (F.col("_level") == F.greatest("_aown", "_bown"))
+    meet = (F.col(ls) < F.col(re)) & (F.col(rs) < F.col(le))
+    out = [F.col(own.get(c, f"_l{i}")).alias(c) for i, c in enumerate(left.columns)] + [F.col(f"_r{i}").alias(names[c]) for i, c in enumerate(right.columns) if c not in keys]
+    inner = met.where(meet & first).select(*out)
+    if how == "inner":
+        return inner
+    # By content, not by row ids, which a task that runs again may give to other rows.
+    missing = overlap_flags(left, right, keys, width, long_rows).where(~F.col("_hit")).select(*left.columns, *(F.lit(None).cast(right.schema[c].dataType).alias(names[c]) for c in rest))
+    return inner.unionByName(missing)
 
 
-def overlap_flags(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("contig",), width: int | None = None) -> DataFrame:
+def overlap_flags(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("contig",), width: int | None = None, long_rows: bool = True) -> DataFrame:
     """left with `_hit`: whether any row of right overlaps it. Rows that repeat, or have null keys, all stay."""
-    width = width or width_for(left, right)
-    meet = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys]
-    a = left.select(*keys, "start", "end").distinct().withColumn("_bin", F.explode(bins("start", "end", width))).alias("l")
-    b = right.select(*keys, "start", "end").distinct().withColumn("_bin", F.explode(bins("start", "end", width))).alias("r")
-    on = (F.col("l._bin") == F.col("r._bin")) & (F.col("l.start") < F.col("r.end")) & (F.col("r.start") < F.col("l.end"))
-    for m in meet:
-        on = on & m
+    width = width or BIN
+    bounds = [t.select(*keys, "start", "end").distinct() for t in (left, right)]
+    used = [_levels(t, "start", "end", width) if long_rows else None for t in bounds]
+    a, b = dealt(bounds[0], "start", "end", width, used[1], "_a").alias("l"), dealt(bounds[1], "start", "end", width, used[0], "_b").alias("r")
+    on = (F.col("l._level") == F.col("r._level")) & (F.col("l._bin") == F.col("r._bin")) & (F.col("l.start") < F.col("r.end")) & (F.col("r.start") < F.col("l.end"))
+    for k in keys:
+        on = on & (F.col(f"l.{k}") == F.col(f"r.{k}"))
     hits = a.join(b, on, "left_semi").select(*keys, "start", "end").distinct().withColumn("_found", F.lit(True))
     return left.join(hits, [*keys, "start", "end"], "left").select(*left.columns, F.coalesce("_found", F.lit(False)).alias("_hit"))
 
 
 def batch_hits(queries: DataFrame, stored: DataFrame, query_id: str, value: str, keys: Sequence[str] = ("contig",), width: int | None = None) -> DataFrame:
     """For each query, empty ones too: query_id, n_hits, hits (array of (start, end, value), in order)."""
-    joined = overlap_join(queries, stored, keys, "inner", width)
-    hits = joined.groupBy(query_id).agg(F.array_sort(F.collect_list(F.struct(F.col("start_r").alias("start"), F.col("end_r").alias("end"), F.col(f"{value}_r").alias("value")))).alias("hits"))
+    joined = overlap_join(queries.select(query_id, *(k for k in keys if k != query_id), "start", "end"), stored.select(*keys, "start", "end", F.col(value).alias("value")), keys, "inner", width)
+    hits = joined.groupBy(query_id).agg(F.array_sort(F.collect_list(F.struct(F.col("start_r").alias("start"), F.col("end_r").alias("end"), F.col("value_r").alias("value")))).alias("hits"))
     out = queries.select(query_id).distinct().join(hits, query_id, "left")
     kind = hits.schema["hits"].dataType
     return out.select(query_id, F.coalesce(F.size("hits"), F.lit(0)).cast("long").alias("n_hits"), F.coalesce("hits", F.array().cast(kind)).alias("hits"))

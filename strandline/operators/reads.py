@@ -81,14 +81,16 @@ def _hits(nh: str) -> Column:
 def mate_pairs(reads: DataFrame) -> DataFrame:
     """First and second segments with the same name and hit index, as structs `first` and `second`; mates alone are dropped.
 
-    A name that comes more than once on either side is no pair, and is dropped.
+    A name that comes more than once on either side is no pair, and is dropped; a read without a hit index is an error.
     """
+    index = F.when(F.col("hi").isNull(), F.raise_error(F.lit("a read has no hit index")).cast(reads.schema["hi"].dataType)).otherwise(F.col("hi"))
+    reads = reads.withColumn("hi", index)
     whole = F.struct(*(c for c in reads.columns))
     sides = reads.withColumn("_first", F.col("flags").bitwiseAND(FIRST) != 0)
     paired = sides.groupBy("qname", "hi").agg(
         F.count_if("_first").alias("n1"), F.count_if(~F.col("_first")).alias("n2"),
         F.any_value(F.when(F.col("_first"), whole), ignoreNulls=True).alias("first"), F.any_value(F.when(~F.col("_first"), whole), ignoreNulls=True).alias("second"))
-    return paired.where((F.col("n1") == 1) & (F.col("n2") == 1) & F.col("hi").isNotNull()).select("qname", "hi", "first", "second")
+    return paired.where((F.col("n1") == 1) & (F.col("n2") == 1)).select("qname", "hi", "first", "second")
 
 
 def paired_alignments(reads: DataFrame, strandedness: str = "reverse") -> DataFrame:

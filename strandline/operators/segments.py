@@ -4,38 +4,66 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .joins import overlap_join
+from .joins import bin_of, overlap_join
 
 
-def hit_segments(queries: DataFrame, hits: DataFrame, data: str, query: Sequence[str] = ("query_id",), keys: Sequence[str] = ("contig",), width: int | None = None) -> DataFrame:
+#: Width of the bins in which long queries are cut.
+PIECE = 1 << 12
+
+
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that later expressions read and do not compute again, as they would inside their lambdas: an explode keeps projections apart."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def hit_segments(queries: DataFrame, hits: DataFrame, data: str, query: Sequence[str] = ("query_id",), keys: Sequence[str] = ("contig",), width: int | None = None, piece: int = PIECE, raw: bool = False) -> DataFrame:
     """query columns, start, end, data (sorted array of the distinct data that cover it).
 
     A query may have several disjoint regions (rows with the same query columns). They are cut at every bound of an
     overlapping hit; neighbouring segments with equal sets merge, also across touching regions; gaps between regions
-    give nothing; uncovered parts have an empty set. All windows are over one query's segments.
+    give nothing; uncovered parts have an empty set. Null keys or bounds and empty regions give nothing.
+
+    Regions are cut into pieces of at most `piece` positions first, so that a whole axis is many pieces. A piece's hits
+    come together as one array, in which it is cut: the rows made are those of the result. Only the first and the last segment
+    of a piece go through a window over their query. raw=True: only covered segments, which may end at pieces' and regions' bounds.
     """
-    regions = queries.select(*query, *[k for k in keys if k not in query], "start", "end")
-    joined = overlap_join(regions, hits.select(*keys, "start", "end", F.col(data).alias("data")), keys, "inner", width)
-    points = regions.select(*query, "start", "end", F.explode(F.array("start", "end")).alias("p"))
-    inner = joined.select(*query, "start", "end", F.explode(F.array(F.greatest("start", "start_r"), F.least("end", "end_r"))).alias("p"))
-    points = points.union(inner).distinct()
-    order = W.partitionBy(*query, "start", "end").orderBy("p")
-    pieces = points.withColumn("q", F.lead("p").over(order)).where(F.col("q").isNotNull())
-    # A piece straddles no bound of a hit of its query, so it lies inside each hit that it overlaps; the bins keep long regions apart.
-    pieces = pieces.select(*query, F.col("start").alias("rs"), F.col("end").alias("re"), F.col("p").alias("start"), F.col("q").alias("end"))
-    cover = joined.select(*query, F.col("start").alias("rs"), F.col("end").alias("re"), F.greatest("start", "start_r").alias("start"), F.least("end", "end_r").alias("end"), "data_r")
-    met = overlap_join(pieces, cover, [*query, "rs", "re"], "inner", width)
-    found = met.groupBy(*query, "start", "end").agg(F.array_sort(F.collect_set("data_r_r")).alias("data"))
-    none = F.array().cast(found.schema["data"].dataType)
-    sets = pieces.select(*query, "start", "end").join(found, [*query, "start", "end"], "left").withColumn("data", F.coalesce("data", none))
+    columns = list(dict.fromkeys([*query, *keys]))
+    some = F.col("start") < F.col("end")
+    for k in keys:
+        some = some & F.col(k).isNotNull()
+    regions = queries.select(*columns, "start", "end").where(some).distinct()
+    pieces = regions.withColumn("_at", F.explode(F.sequence(bin_of("start", piece), bin_of(F.col("end") - 1, piece))))
+    pieces = pieces.select(*columns, F.greatest("start", F.col("_at") * piece).alias("start"), F.least("end", (F.col("_at") + 1) * piece).alias("end"))
+    joined = overlap_join(pieces, hits.select(*keys, "start", "end", F.col(data).alias("_data")), keys, "inner", width)
+    start, end, value = joined.columns[-3:]
+    hit = F.struct(F.greatest("start", start).alias("s"), F.least("end", end).alias("e"), F.col(value).alias("d"))
+    found = joined.groupBy(*columns, "start", "end").agg(F.collect_set(hit).alias("_hits"))
+    if not raw:
+        met = [*columns, "start", "end"]
+        none = F.array().cast(found.schema["_hits"].dataType)
+        found = pieces.join(found, met, "left").select(*met, F.coalesce("_hits", none).alias("_hits"))
+    cuts = F.array_sort(F.array_distinct(F.concat(F.array("start", "end"), F.transform("_hits", lambda h: h["s"]), F.transform("_hits", lambda h: h["e"]))))
+    found = _once(found, "_cuts", cuts)
+    covering = lambda a, b: F.array_sort(F.array_distinct(F.transform(F.filter("_hits", lambda h: (h["s"] <= a) & (b <= h["e"])), lambda h: h["d"])))
+    segment = lambda a, i: F.struct(a.alias("s"), F.get("_cuts", i + 1).alias("e"), covering(a, F.get("_cuts", i + 1)).alias("d"))
+    found = _once(found, "_parts", F.transform(F.slice("_cuts", F.lit(1), F.size("_cuts") - 1), segment)).drop("_cuts", "_hits")
+    if raw:
+        return found.select(*query, F.explode("_parts").alias("p")).where(F.size("p.d") > 0).select(*query, F.col("p.s").alias("start"), F.col("p.e").alias("end"), F.col("p.d").alias("data"))
+    # Neighbours of equal sets are one: segments begin where the set is another than before, and end where the next begins.
+    found = _once(found, "_firsts", F.filter("_parts", lambda p, i: (i == 0) | (F.get("_parts", i - 1)["d"] != p["d"])))
+    ends = lambda p, i: F.struct(p["s"].alias("s"), F.coalesce(F.get("_firsts", i + 1)["s"], F.col("end")).alias("e"), p["d"].alias("d"), ((i == 0) | (i == F.size("_firsts") - 1)).alias("edge"))
+    each = found.select(*query, F.explode(F.transform("_firsts", ends)).alias("p"))
+    each = each.select(*query, F.col("p.s").alias("start"), F.col("p.e").alias("end"), F.col("p.d").alias("data"), F.col("p.edge").alias("_edge"))
     line = W.partitionBy(*query).orderBy("start")
+    edges = each.where("_edge").drop("_edge")
     fresh = F.coalesce((F.lag("end").over(line) != F.col("start")) | (F.lag("data").over(line) != F.col("data")), F.lit(True))
-    marked = sets.withColumn("_fresh", fresh.cast("int")).withColumn("_run", F.sum("_fresh").over(line.rowsBetween(W.unboundedPreceding, 0)))
-    return marked.groupBy(*query, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("data").alias("data")).drop("_run")
+    marked = edges.withColumn("_fresh", fresh.cast("int")).withColumn("_run", F.sum("_fresh").over(line.rowsBetween(W.unboundedPreceding, 0)))
+    whole = marked.groupBy(*query, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("data").alias("data")).drop("_run")
+    return each.where("NOT _edge").drop("_edge").unionByName(whole)
 
 
 def resolve_annotation(annotation: DataFrame, key: str, resolution: Callable, keys: Sequence[str] = ("contig", "orientation"), include_gaps: bool = False, width: int | None = None) -> DataFrame:

@@ -1,7 +1,10 @@
 """Set operations on interval tables.
 
 Runs over a key's whole axis are made in two steps: inside bins first, where most intervals merge away, then
-over what is left, so that a long axis is no single task's work until it is small.
+over what is left, so that a long axis is no single task's work until it is small. Where the data are sparse (about an
+island for each bin), what is left are the islands, and a key's are one task's sort.
+
+Rows with null keys are a group of their own to ``merge``, and match nothing elsewhere: they stay, whole or without a group.
 """
 
 from __future__ import annotations
@@ -39,10 +42,15 @@ def merge_within(df: DataFrame, distance: int, keys: Sequence[str] = ("contig",)
 
 
 def group_within(df: DataFrame, distance: int, keys: Sequence[str] = ("contig",), width: int | None = None) -> DataFrame:
-    """df with `group_start`: the start of the island, with gaps up to `distance`, that each interval belongs to."""
-    islands = merge(df, keys, distance)
-    found = overlap_join(df, islands, keys, "inner", width)
-    return found.select(*df.columns, F.col("start_r").alias("group_start"))
+    """df with `group_start`: the start of the island, with gaps up to `distance`, that each interval belongs to; null for null keys or bounds and empty intervals."""
+    islands = merge(df.where("start < end"), keys, distance)
+    found = overlap_join(df, islands.withColumn("group_start", F.col("start")), keys, "inner", width)
+    group = found.columns[-1]
+    odd = F.col("start") < F.col("end")
+    for k in keys:
+        odd = odd & F.col(k).isNotNull()
+    rest = df.where(~F.coalesce(odd, F.lit(False))).withColumn("group_start", F.lit(None).cast("long"))
+    return found.select(*df.columns, F.col(group).alias("group_start")).unionByName(rest)
 
 
 def overlap(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("contig",), width: int | None = None) -> DataFrame:
@@ -59,10 +67,11 @@ def overlaps(source: DataFrame, other: DataFrame, keys: Sequence[str] = ("contig
 def subtract(source: DataFrame, drop: DataFrame, keys: Sequence[str] = ("contig",), width: int | None = None) -> DataFrame:
     """What is left of each source row without all of drop: other columns are kept, sources are not merged. A row that is
     wholly covered gives none."""
-    rows = source.withColumn("_row", F.monotonically_increasing_id())
-    holes = overlap_join(rows, merge(drop, keys), keys, "inner", width)
-    cut = holes.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct(F.col("start_r").alias("start"), F.col("end_r").alias("end")))).alias("_holes"))
-    whole = rows.join(cut, "_row", "left")
+    # Holes belong to keys and bounds, not to row ids, which a task that runs again may give to other rows.
+    bounds = source.select(*keys, "start", "end").distinct()
+    holes = overlap_join(bounds, merge(drop, keys), keys, "inner", width)
+    cut = holes.groupBy(*keys, "start", "end").agg(F.array_sort(F.collect_list(F.struct(F.col("start_r").alias("start"), F.col("end_r").alias("end")))).alias("_holes"))
+    whole = source.join(cut, [*keys, "start", "end"], "left").select(*source.columns, "_holes")
     # Gaps lie between the row's start, the holes, and its end.
     none = F.array().cast("array<struct<start: bigint, end: bigint>>")
     h = F.coalesce("_holes", none)

@@ -33,18 +33,17 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: str, value: str, out:
 def coverage(blocks: DataFrame, keys: Sequence[str] = ("contig", "orientation"), weight: Column | None = None, within: tuple[int, int] | None = None, width: int = BIN) -> DataFrame:
     """Runs of the summed weight (1 if not given) over the blocks, without zero runs; clipped to `within`.
 
-    Sums of weights are rounded to 9 digits, which makes equal sums equal whatever their order.
+    Weights are added up as decimals of 18 places, so what begins and ends cancels exactly, in any order, and no weight from 1e-18 on is lost.
     """
-    rows = blocks.select(*keys, "start", "end", (F.lit(1.0) if weight is None else weight.cast("double")).alias("w"))
+    rows = blocks.select(*keys, "start", "end", (F.lit(1).cast("long") if weight is None else weight.cast("decimal(38,18)")).alias("w")).where("start < end")
     if within:
         rows = rows.select(*keys, F.greatest("start", F.lit(within[0])).alias("start"), F.least("end", F.lit(within[1])).alias("end"), "w").where("start < end")
     events = rows.select(*keys, F.explode(F.array(F.struct(F.col("start").alias("pos"), F.col("w").alias("w")), F.struct(F.col("end").alias("pos"), (-F.col("w")).alias("w")))).alias("e"))
-    deltas = events.groupBy(*keys, F.col("e.pos").alias("pos")).agg(F.sum("e.w").alias("delta"))
-    deltas = deltas.where(F.round("delta", 12) != 0)
+    deltas = events.groupBy(*keys, F.col("e.pos").alias("pos")).agg(F.sum("e.w").alias("delta")).where("delta <> 0")
     sums = running_sum(deltas, keys, "pos", "delta", "level", width)
-    runs = sums.withColumn("end", F.lead("pos").over(W.partitionBy(*keys).orderBy("pos"))).where("end IS NOT NULL")
-    runs = runs.select(*keys, F.col("pos").alias("start"), "end", F.round("level", 9).alias("value")).where("value <> 0")
-    return rle_encode(runs, keys)
+    runs = sums.withColumn("end", F.lead("pos").over(W.partitionBy(*keys).orderBy("pos"))).where("end IS NOT NULL AND level <> 0")
+    # Neighbours differ in level, as deltas of 0 are gone, so these are runs already.
+    return runs.select(*keys, F.col("pos").alias("start"), "end", F.col("level").cast("double").alias("value"))
 
 
 def rle_encode(runs: DataFrame, keys: Sequence[str] = ("contig",)) -> DataFrame:

@@ -161,11 +161,16 @@ def _(spark, d):
 ZEROS = "x AS (SELECT DISTINCT source, element FROM (SELECT DISTINCT source FROM r), (SELECT DISTINCT element FROM e))"
 
 
+#: Weights are added up in units of 1e-15, which is exact in any order, and rounded to 6 digits.
+UNITS = "CAST(round({} * 1e15) AS HUGEINT)"
+COUNT = "floor(CAST(coalesce(n, 0) AS DOUBLE) / 1e15 * 1e6 + 0.5::DOUBLE) / 1e6 AS count"
+
+
 def _counts(df):
-    return df.select("source", "element", F.round("count", ROUND).alias("count"))
+    return df.select("source", "element", (F.floor(F.col("count") * 1e6 + 0.5) / 1e6).alias("count"))
 
 
-@query("count_any_overlap", f"WITH {R}, {E}, {ZEROS}, h AS (SELECT DISTINCT source, aln_id, element, 1.0::DOUBLE / nh AS w FROM r JOIN e ON {MEET}), c AS (SELECT source, element, sum(w) AS n FROM h GROUP BY 1, 2) SELECT x.source, x.element, round(coalesce(n, 0), {ROUND}) AS count FROM x LEFT JOIN c USING (source, element)")
+@query("count_any_overlap", f"WITH {R}, {E}, {ZEROS}, h AS (SELECT DISTINCT source, aln_id, element, 1.0::DOUBLE / nh AS w FROM r JOIN e ON {MEET}), c AS (SELECT source, element, sum({UNITS.format('w')}) AS n FROM h GROUP BY 1, 2) SELECT x.source, x.element, {COUNT} FROM x LEFT JOIN c USING (source, element)")
 def _(spark, d):
     return _counts(counting.count(*_both(spark, d), counting.any_overlap, width=WIDTH))
 
@@ -174,8 +179,8 @@ def _(spark, d):
  p AS (SELECT source, aln_id, hs AS p FROM j UNION SELECT source, aln_id, he FROM j),
  s AS (SELECT source, aln_id, p AS a, lead(p) OVER (PARTITION BY source, aln_id ORDER BY p) AS b FROM p),
  k AS (SELECT s.source, s.aln_id, a, b, nh, len, element, count(*) OVER (PARTITION BY s.source, s.aln_id, a) AS n FROM s JOIN j ON s.source = j.source AND s.aln_id = j.aln_id AND hs <= a AND b <= he),
- c AS (SELECT source, element, sum((b - a)::DOUBLE / (len * nh * n)) AS n FROM k GROUP BY 1, 2)
- SELECT x.source, x.element, round(coalesce(n, 0), {ROUND}) AS count FROM x LEFT JOIN c USING (source, element)""")
+ c AS (SELECT source, element, sum({UNITS.format('(b - a)::DOUBLE / (len * nh * n)')}) AS n FROM k GROUP BY 1, 2)
+ SELECT x.source, x.element, {COUNT} FROM x LEFT JOIN c USING (source, element)""")
 def _(spark, d):
     return _counts(counting.count(*_both(spark, d), counting.overlap_weighted, width=WIDTH))
 

@@ -77,6 +77,47 @@ def test_joins_brute(spark, how):
         assert pairs(got) == sorted(x for x in a if bool(hit[x]) == (how == "semi"))
 
 
+def test_long_rows_make_few(spark):
+    short, whole = [(s, s + 50) for s in range(0, 100_000, 100)], [(0, 250_000_000), (-70_000, 3)]
+    left, right = frame(spark, [*short, whole[0]]), frame(spark, [*short[::3], *whole])
+    used = joins._levels(right, "start", "end", 128)
+    assert joins.dealt(frame(spark, [whole[0]]), "start", "end", 128, used, "_a").count() <= 2 * joins.SPAN
+    assert joins.dealt(frame(spark, short), "start", "end", 128, used, "_a").count() <= 6 * len(short)
+    got = joins.overlap_join(left.repartition(5), right.repartition(3), ["contig"], "inner", 128)
+    want = sorted((*x, *y) for x in [*short, whole[0]] for y in [*short[::3], *whole] if x[0] < y[1] and y[0] < x[1])
+    assert pairs(got, "start", "end", "start_r", "end_r") == want
+    assert joins.overlap_join(left, frame(spark, whole), ["contig"], "semi").count() == len(short) + 1
+
+
+def test_join_of_a_join(spark):
+    a, b, c = drawn(5, 30), drawn(6, 30), drawn(7, 30)
+    one = joins.overlap_join(frame(spark, a), frame(spark, b), ["contig"], "inner", 16)
+    two = joins.overlap_join(one, frame(spark, c), ["contig"], "inner", 16)
+    assert two.columns == ["contig", "start", "end", "start_r", "end_r", "start_r_r", "end_r_r"]
+    meet = lambda x, y: x[0] < y[1] and y[0] < x[1]
+    assert pairs(two, *two.columns[1:]) == sorted((*x, *y, *z) for x in a for y in b if meet(x, y) for z in c if meet(x, z))
+
+
+def test_rows_without_ids(spark):
+    """Left joins and differences do not depend on where rows stand."""
+    rows = drawn(8, 200) + drawn(8, 200)
+    df = spark.createDataFrame([("c", s, e, i) for i, (s, e) in enumerate(rows)], IV + ", i long").repartition(7, F.rand())
+    drop = frame(spark, drawn(9, 40))
+    left = joins.overlap_join(df, drop, ["contig"], "left", 16).collect()
+    assert {r.i for r in left} == set(range(len(rows)))
+    holes = brute_merge([(r.start, r.end) for r in drop.collect()])
+    want = sorted((p, i) for i, (s, e) in enumerate(rows) for p in range(s, e) if not any(a <= p < b for a, b in holes))
+    assert sorted((p, r.i) for r in setops.subtract(df, drop, width=16).collect() for p in range(r.start, r.end)) == want
+
+
+def test_empty_intervals_and_null_keys(spark):
+    odd = spark.createDataFrame([("c", 64, 64), ("c", 70, 60), (None, 5, 9), ("c", 5, 9)], IV)
+    whole = frame(spark, [(5, 100)])
+    assert joins.overlap_join(odd, whole, ["contig"], "inner", 16).count() == 1
+    groups = {(r.contig, r.start): r.group_start for r in setops.group_within(odd, 3).collect()}
+    assert groups == {("c", 64): None, ("c", 70): None, (None, 5): None, ("c", 5): 5}
+
+
 def test_joins_nulls_and_empty(spark):
     odd = spark.createDataFrame([(None, 1, 5), ("c", None, 5), ("c", 2, 4)], IV)
     assert joins.overlap_join(odd, frame(spark, [(0, 10)]), ["contig"], "inner", 8).count() == 1
@@ -139,6 +180,23 @@ def test_hit_segments(spark, regions, hits, want):
     assert pairs(got, "start", "end", "data") == want
 
 
+@pytest.mark.parametrize("piece", [8, 4096])
+def test_hit_segments_brute(spark, piece):
+    regions, hits = [(1, -20, 60), (1, 60, 90), (2, 30, 200), (3, 500, 510)], [(s, e, i % 4) for i, (s, e) in enumerate(drawn(12, 60, 200))]
+    q = spark.createDataFrame([(i, "c", s, e) for i, s, e in regions], "query_id long, contig string, start long, end long")
+    h = spark.createDataFrame([("c", *x) for x in hits], "contig string, start long, end long, d long")
+    got = [(r.query_id, r.start, r.end, tuple(r.data)) for r in segments.hit_segments(q, h, "d", width=16, piece=piece).collect()]
+    want = []
+    for i in (1, 2, 3):
+        for p in sorted(p for k, s, e in regions if k == i for p in range(s, e)):
+            data = tuple(sorted({d for s, e, d in hits if s <= p < e}))
+            if want and want[-1][0] == i and want[-1][2] == p and want[-1][3] == data:
+                want[-1] = (i, want[-1][1], p + 1, data)
+            else:
+                want.append((i, p, p + 1, data))
+    assert sorted(got) == sorted(want)
+
+
 def test_tree_queries(spark):
     stored = spark.createDataFrame([("c", 1, 10, "a"), ("c", 5, 15, "b"), ("c", 10, 20, "c")], "contig string, start long, end long, d string")
     q = spark.createDataFrame([(i, "c", s, e) for i, (s, e) in enumerate([(0, 1), (5, 15), (14, 25), (20, 50)])], "query_id long, contig string, start long, end long")

@@ -212,3 +212,11 @@ def test_mates_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r.qname for r in spark.table("mates").collect()] == ["x"]
+
+
+def test_ties_of_alignment():
+    """Of equal scores gaps of the first sequence go before gaps of the second, and longer gaps before new ones."""
+    from strandline.operators.align import Scoring, align
+
+    (found,) = align("CAGGGGCACCGAGCGACGCGAACGAGGC", "ACAGCCCACGCAGACAGCAG", Scoring(2, -3, -2, -1))
+    assert found.rle == "2=2v3=2^1v4=1^2=1v1=1v2="

@@ -30,6 +30,12 @@ def test_coverage_brute(spark):
     assert got(clipped) == [x for x in tracks.runs_of(dense[50:100], 0) if x[2]]
 
 
+def test_coverage_keeps_small_weights(spark):
+    df = spark.createDataFrame([("c", 0, 10, 1e-13), ("c", 5, 8, 1.0), ("c", 20, 20, 1.0)], "contig string, start long, end long, w double")
+    assert got(tracks.coverage(df, ["contig"], F.col("w"))) == [(0, 5, 1e-13), (5, 8, 1.0 + 1e-13), (8, 10, 1e-13)]
+    assert got(tracks.coverage(df, ["contig"])) == [(0, 5, 1.0), (5, 8, 2.0), (8, 10, 1.0)]
+
+
 def test_merge2(spark):
     top = lambda a, b: F.greatest(a, b)
     assert got(tracks.rle_merge2(runs(spark, [3, 3, 3]), runs(spark, [1, 2, 4]), top)) == [(0, 2, 3.0), (2, 3, 4.0)]
@@ -117,6 +123,8 @@ def test_blocks_pairs_and_filter(spark):
     assert single == {("a", ((10, 15), (25, 30)))}
     pair = reads.paired_alignments(df).collect()
     assert len(pair) == 1 and [tuple(b) for b in pair[0].blocks] == [(10, 15), (20, 31)] and pair[0].orientation == -1
+    with pytest.raises(Exception, match="hit index"):
+        reads.mate_pairs(df.withColumn("hi", F.lit(None).cast("int"))).collect()
     assert [tuple(x) for x in spark.range(1).select(reads.parse_cigar(F.lit("3S10M2D")).alias("c")).first().c] == [("S", 3), ("M", 10), ("D", 2)]
 
 
