@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import re
 import tempfile
@@ -38,10 +39,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+@contextlib.contextmanager
+def shuffles_released(spark: SparkSession):
+    """Spark removes the shuffle files of plans that are made and run inside when they end: for those whose result is written."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint in the shared folder."""
+    """df with its lineage cut by a checkpoint in the shared folder; the shuffles behind it are not needed any more."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    with shuffles_released(df.sparkSession):
+        return df.select("*").checkpoint()
 
 
 def parts(spark: SparkSession) -> int:
@@ -63,6 +77,12 @@ def unpacked(columns: list[str]) -> list[Column]:
     return [F.col(f"_row._{i}").alias(c) for i, c in enumerate(columns)]
 
 
+def groups_for(texts: DataFrame, column: str, size: int, least: int) -> int:
+    """A number of groups with about `size` bytes of text each: it follows from the data, one number of which comes to the driver."""
+    total = texts.agg(F.sum(F.octet_length(named(column)))).first()[0]
+    return max(least, -(-(total or 0) // size))
+
+
 def trim() -> None:
     """Gives memory that a finished task held back to the system: workers live on, and share an executor's limit with its JVM."""
     pa.default_memory_pool().release_unused()

@@ -26,7 +26,6 @@ are unknown with probability 1; an empty table gives no rows; of the input only
 
 from __future__ import annotations
 
-import time
 import uuid
 
 import numpy as np
@@ -34,12 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, hash_spans, lower_ascii, mix, parts, shared_dir, spans, table, tidy_group, tidy_groups
+from .common import chunks, cut, groups_for, hash_spans, lower_ascii, mix, parts, shared_dir, shuffles_released, spans, table, tidy_group, tidy_groups
 from .grouped import dealt, opened
 from .substrings import _table, runs, slices
 
 END, BEGIN = np.uint64(0x1F0E11D5A7C3B201), np.uint64(0x2B3C99D7E5F41A07)
 TOP = 5
+#: Bytes of text in a group, in the mean.
+GROUP_BYTES = 8 << 20
 HOT_SHARE = 1000
 #: Numbers of words: their place in the bucket, and the bucket in the low bits; two numbers stand for the begin mark and for unknown words.
 BUCKET_BITS = 20
@@ -169,13 +170,13 @@ def score(docs: DataFrame, held: str = "pmod(crc32(coalesce(cast(_id as string),
     n_tokens, n_known, train_tokens, base_score, score. The tables are written below `folder`."""
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/katz-{uuid.uuid4().hex}"
-    groups = buckets = 2 * parts(spark)  # a worker holds one group's tokens, or one bucket's bigrams
+    # A worker holds one group's tokens, or one bucket's bigrams: their number follows from the texts' size.
+    groups = buckets = min(1 << BUCKET_BITS, groups_for(docs, text_col, GROUP_BYTES, 2 * parts(spark)))
     source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     group = F.pmod(F.xxhash64("_id"), F.lit(groups)).cast("int")
     texts = source.select("_id", "_text", F.coalesce(F.expr(held), F.lit(False)).alias("_held"), group.alias("pid"))
     # Used three times: as compressed blocks in the shared folder, already dealt, texts are moved only once.
     texts = cut(dealt(texts, groups))
-    release(spark)
 
     def send_words(rows: pa.Table) -> pa.Table:
         own = Group(opened(rows))
@@ -204,7 +205,6 @@ def score(docs: DataFrame, held: str = "pmod(crc32(coalesce(cast(_id as string),
     words = texts.groupBy("pid").applyInArrow(tidy_group(send_words), "bucket int, pid int, keys binary, counts binary")
     words = words.groupBy("bucket").applyInArrow(tidy_group(add_words), "bucket int, pid int, keys binary, counts binary, facts array<long>")
     _write(words, f"{folder}/words")
-    release(spark)
     words = spark.read.parquet(f"{folder}/words")
     # Sums over buckets: eight numbers come to the driver.
     facts = words.where("pid is null").select(*(F.sum(F.col("facts")[i]) for i in range(TOP + 3))).first()
@@ -286,7 +286,6 @@ def score(docs: DataFrame, held: str = "pmod(crc32(coalesce(cast(_id as string),
     bigrams = texts.groupBy("pid").cogroup(word_answers.groupBy("pid")).applyInArrow(tidy_groups(send_bigrams), "bucket int, pid int, " + ", ".join(f"{n} binary" for n in names))
     bigrams = bigrams.groupBy("bucket").applyInArrow(tidy_group(add_bigrams), "bucket int, pid int, a binary, b binary, c binary, facts array<long>, spread array<struct<history: long, taken: array<long>, mass: double, every: long>>")
     _write(bigrams, f"{folder}/bigrams")
-    release(spark)
     bigrams = spark.read.parquet(f"{folder}/bigrams")
     counted = bigrams.where("pid is null")
     d = discounts(np.array([x or 0 for x in counted.select(*(F.sum(F.col("facts")[i]) for i in range(TOP + 1))).first()]))
@@ -349,19 +348,10 @@ def _unmore(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return unplanes(data[8 : 8 + size], 4).reshape(-1, TOP).astype(np.int64), np.frombuffer(data[8 + size :], np.float64)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of actions that are over: it does so once their plans are collected as garbage."""
-    import gc
-
-    for _ in range(2):  # references are queued by one collection, and what they held is found by the next
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def _write(df: DataFrame, path: str) -> None:
     """A table in the shared folder, a file for each task; a row of it holds a bucket's packed entries or a group's answer."""
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_released(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
 
 
 def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:

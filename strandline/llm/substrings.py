@@ -30,10 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, grams, hash_spans, parts, spans, table, tidy_group, tidy_groups
+from .common import chunks, grams, groups_for, hash_spans, parts, spans, table, tidy_group, tidy_groups
 
 LENGTH = 13
 SEED = 6
+#: Bytes of text in a group, in the mean.
+GROUP_BYTES = 16 << 20
 _LAST = np.iinfo(np.int64).max
 
 
@@ -44,8 +46,9 @@ def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 def slices(hashes: np.ndarray, buckets: int):
     """(bucket, slice) of sorted hashes, without empty ones."""
-    bounds = np.searchsorted(bucket_of(hashes, buckets), np.arange(buckets + 1))
-    return [(b, slice(bounds[b], bounds[b + 1])) for b in range(buckets) if bounds[b] < bounds[b + 1]]
+    own = bucket_of(hashes, buckets)
+    at = runs(own)
+    return [(int(own[a]), slice(int(a), int(b))) for a, b in zip(at, [*at[1:], len(own)], strict=True)]
 
 
 def runs(sorted_: np.ndarray) -> np.ndarray:
@@ -97,7 +100,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     as it is where nothing is removed), and `n_words`, `n_removed` and `repeats` (array of [first, last) words) in a struct `_dedup`."""
     if length < SEED:
         raise ValueError(f"at least {SEED} words")
-    groups = buckets = parts(docs.sparkSession)
+    groups = buckets = groups_for(docs, text_col, GROUP_BYTES, parts(docs.sparkSession))  # a worker holds one group, or one bucket
     carried = [f.name for f in docs.schema if f.name != text_col]
     own = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carried)]
     group = F.pmod(F.xxhash64(F.col(id_col)), F.lit(groups)).cast("int")
