@@ -83,10 +83,30 @@ def test_substrings_layout_and_edges(spark):
     rows = [(1, p, "", "", 0), (2, f"a\n b  {p}  c\n", "", "", 0), (None, p, "", "", 0), (3, None, "", "", 0)]
     got = {r.doc_id: r for r in substrings.remove_repeats(frame(spark, rows), layout=True).collect()}
     assert got[1].text == p and got[2].text == "a\n b  c\n" and got[None].text == "" and got[3].text == ""
-    assert [list(x) for x in got[2]._dedup.repeats] == [[2, 22]]
+    assert [list(x) for x in got[2]._dedup.repeats] == [[2, 22]] and got[2]._dedup.sources == [1] == got[None]._dedup.sources
     assert substrings.remove_repeats(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("collide", [False, True])
+def test_extension_compares_words(monkeypatch, collide):
+    """Occurrences of one anchor that differ somewhere around it match just as far as their words are equal, even if all hashes collide."""
+    if collide:
+        monkeypatch.setattr(substrings, "mix", lambda x: x & np.uint64(1))
+    r = np.random.default_rng(3)
+    around = r.integers(1, 3, (200, 14)).astype(np.uint64)
+    anchor, ids = r.integers(1, 3, 200).astype(np.uint64) * np.uint64(2), r.integers(0, 40, 200)
+    low, high = r.integers(0, 4, 200), r.integers(4, 8, 200)
+    bits, source = substrings.extended(anchor, around, low, high, ids)
+    for i in range(200):
+        want, least = 0, substrings._LAST
+        for b in range(low[i], high[i] + 1):
+            cols = [*range(b), *range(7, 14 - b)]
+            same = [j for j in range(200) if low[j] <= b <= high[j] and anchor[j] == anchor[i] and (around[j, cols] == around[i, cols]).all()]
+            if min(ids[same]) < ids[i]:
+                want, least = want | 1 << b, min(least, min(ids[same]))
+        assert (bits[i], source[i]) == (want, least)
+
+
 # ---- 3
 
 
