@@ -585,7 +585,11 @@ def _folder(spark):
     import tempfile
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandline-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="strandline-")
     return f"{root}/{uuid.uuid4().hex}"
 
 
