@@ -436,32 +436,19 @@ def _(spark, d):
     return pileup.pileup(_bases(spark, d), _sequences(spark), pileup.select_mismatches(4, 0.75), min_phred=10)
 
 
-@query("select_required", f'WITH {SITES}, {E} SELECT {COLS}, reference FROM mm WHERE EXISTS (SELECT 1 FROM e WHERE e."end" - e.start >= 42 AND e.contig = seqid AND e.orientation = mm.orientation AND e.start <= position AND position < e."end")')
-def _(spark, d):
-    required = views.elements(spark, d).where(F.col("end") - F.col("start") >= 42).select(F.col("contig").alias("seqid"), "orientation", "start", "end")
-    return pileup.pileup(_bases(spark, d), _sequences(spark), pileup.select_required(required), min_phred=10)
-
-
-@query("select_required_or_mismatches", f'WITH {SITES}, {E} SELECT {COLS}, reference FROM mm WHERE (mis >= 4 AND mis::DOUBLE / cov >= 0.75) OR EXISTS (SELECT 1 FROM e WHERE e."end" - e.start >= 42 AND e.contig = seqid AND e.orientation = mm.orientation AND e.start <= position AND position < e."end")')
-def _(spark, d):
-    required = views.elements(spark, d).where(F.col("end") - F.col("start") >= 42).select(F.col("contig").alias("seqid"), "orientation", "start", "end")
-    return pileup.pileup(_bases(spark, d), _sequences(spark), pileup.select_any(pileup.select_mismatches(4, 0.75), pileup.select_required(required)), min_phred=10)
-
-
 REQUIRED = 'EXISTS (SELECT 1 FROM e WHERE e.contig = seqid AND e.orientation = mm.orientation AND e.start <= position AND position < e."end")'
 
 
 def _required(spark, d):
-    """All elements. The two queries above take those of 42 positions and more, as their SQL does."""
     return views.elements(spark, d).select(F.col("contig").alias("seqid"), "orientation", "start", "end")
 
 
-@query("select_required_all", f"WITH {SITES}, {E} SELECT {COLS}, reference FROM mm WHERE {REQUIRED}")
+@query("select_required", f"WITH {SITES}, {E} SELECT {COLS}, reference FROM mm WHERE {REQUIRED}")
 def _(spark, d):
     return pileup.pileup(_bases(spark, d), _sequences(spark), pileup.select_required(_required(spark, d)), min_phred=10)
 
 
-@query("select_required_or_mismatches_all", f"WITH {SITES}, {E} SELECT {COLS}, reference FROM mm WHERE (mis >= 4 AND mis::DOUBLE / cov >= 0.75) OR {REQUIRED}")
+@query("select_required_or_mismatches", f"WITH {SITES}, {E} SELECT {COLS}, reference FROM mm WHERE (mis >= 4 AND mis::DOUBLE / cov >= 0.75) OR {REQUIRED}")
 def _(spark, d):
     return pileup.pileup(_bases(spark, d), _sequences(spark), pileup.select_any(pileup.select_mismatches(4, 0.75), pileup.select_required(_required(spark, d))), min_phred=10)
 
@@ -563,7 +550,7 @@ def _(spark, d):
 
 @query("repeat_optimize")
 def _(spark, d):
-    return repeats.optimize_repeats(repeats.predict_repeats(_rna(spark, d), repeats.Filter(min_score=3, min_matches=3)))
+    return repeats.best_repeats(_rna(spark, d), repeats.Filter(min_score=3, min_matches=3))
 
 
 @query("bed12_lines", f"""WITH {E} SELECT concat_ws(chr(9), contig, start, "end", concat('e', element), element % 1001, CASE orientation WHEN 1 THEN '+' WHEN -1 THEN '-' ELSE '.' END, start, "end", '0,0,0', 1, "end" - start, 0) AS value FROM e""")

@@ -43,7 +43,7 @@ def test_required_are_all_elements(spark, small):
     root, elements, _ = small
     inside = {(c, o, p) for c, o, a, b in elements for p in range(a, b)}
     sites = {tuple(r)[:4] for r in registry.queries()["pileup_counts"](spark, root).select("tag", "seqid", "orientation", "position").collect()}
-    got = {tuple(r) for r in registry.queries()["select_required_all"](spark, root).select("tag", "seqid", "orientation", "position").collect()}
+    got = {tuple(r) for r in registry.queries()["select_required"](spark, root).select("tag", "seqid", "orientation", "position").collect()}
     assert got == {s for s in sites if s[1:] in inside}
 
 
@@ -68,6 +68,36 @@ def test_repeats_by_diagonals():
             assert repeats.predict(seq, keep) == predicted_by_scan(seq, keep)
 
 
+def best_total(found, lo, hi):
+    """Greatest total of (score, arms) inside [lo, hi), by trying each as the first."""
+    top = 0
+    for score, arms in found:
+        edges = sorted([a[:2] for a in arms] + [a[2:] for a in arms])
+        if lo <= edges[0][0] and edges[-1][1] <= hi:
+            within = sum(best_total(found, a[1], b[0]) for a, b in zip(edges, edges[1:], strict=False))
+            top = max(top, score + within + best_total(found, edges[-1][1], hi))
+    return top
+
+
+def test_best_set_by_trial():
+    rng = random.Random(6)
+    for n in (0, 3, 12, 16, 20, 24):
+        seq = "".join(rng.choice("ACGU") for _ in range(n))
+        found = repeats.predict(seq, repeats.Filter(min_score=2))[:9]
+        for scores in ([s for s, _ in found], [s / 7 for s, _ in found]):
+            chosen, total = repeats.optimize([a for _, a in found], scores)
+            assert total == pytest.approx(best_total([(s, a) for s, (_, a) in zip(scores, found, strict=True)], 0, n))
+            assert sum(scores[i] for i in chosen) == pytest.approx(total)
+
+
+def test_best_set_in_one_task_or_by_groups(spark):
+    texts = [(1, "GAUUACA" * 9), (2, None), (3, ""), (4, "AAAACCCCGGGGUUUU"), (None, "ACGUACGU")]
+    frame = spark.createDataFrame(texts, "seqid long, seq string")
+    keep = repeats.Filter(min_score=2)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert rows(repeats.best_repeats(frame, keep)) == rows(repeats.optimize_repeats(repeats.predict_repeats(frame, keep)).select("seqid", "repeat_id", "score", "total"))
+
+
 def test_repeats_of_whole_texts(spark, tmp_path):
     texts = [(1, "aaaacccc " + "x" * 50 + " ggggtttt"), (2, None), (3, "gattaca " * 12)]
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
