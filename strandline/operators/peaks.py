@@ -5,7 +5,7 @@ Tracks are run tables (keys, start, end, value). Positions are made rows only in
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -171,10 +171,10 @@ def _inside_peaks(rows: DataFrame, peaks: DataFrame, group: Sequence[str], keys:
     return _recall(inside, [*group, "peak_start_r"], keys).drop("peak_start_r")
 
 
-def nms_slop(peaks: DataFrame, rois: DataFrame, signal: DataFrame, control: DataFrame, config: Nms, keys: Sequence[str] = KEYS) -> DataFrame:
+def nms_slop(peaks: DataFrame, rois: DataFrame, signal: DataFrame, control: DataFrame, config: Nms, keys: Sequence[str] = KEYS, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """As nms_uniform, with a baseline for each group of peaks: peaks are mapped to their region's spliced axis and grouped
     within group_within; a group is widened on both sides by its length times slop_fraction, inside slop_limits, and
-    mapped back. The mean divides the widened part's sum by the group's length without slop.
+    mapped back. The mean divides the widened part's sum by the group's length without slop. cut: as in harvest.
     """
     from .mapping import invmap_intervals, map_intervals
 
@@ -188,7 +188,7 @@ def nms_slop(peaks: DataFrame, rois: DataFrame, signal: DataFrame, control: Data
     size = F.col("end") - F.col("start")
     total = links.groupBy("chain_id").agg(F.sum(F.col("end") - F.col("start")).alias("n"))
     slop = F.greatest(F.lit(config.slop_limits[0]), F.least(F.lit(config.slop_limits[1]), (size * config.slop_fraction).cast("long")))
-    wide = groups.join(total, "chain_id").select("chain_id", size.alias("size"), F.concat_ws(":", "chain_id", "start").alias("query_id"), F.greatest(F.col("start") - slop, F.lit(0)).alias("start"), F.least(F.col("end") + slop, F.col("n")).alias("end"))
+    wide = cut(groups.join(total, "chain_id").select("chain_id", size.alias("size"), F.concat_ws(":", "chain_id", "start").alias("query_id"), F.greatest(F.col("start") - slop, F.lit(0)).alias("start"), F.least(F.col("end") + slop, F.col("n")).alias("end")))
     back = invmap_intervals(wide.select("query_id", "chain_id", "start", "end"), links, width=WIDTH).where("links IS NOT NULL")
     regions = back.join(wide.select("query_id", "size"), "query_id").select("query_id", F.col("chain_id").alias("roi_id"), "size", F.explode("links").alias("l"))
     regions = regions.select("query_id", "roi_id", "size", F.col("l.start").alias("start"), F.col("l.end").alias("end")).join(owner, "roi_id")
@@ -202,12 +202,17 @@ def shift_peaks(peaks: DataFrame, by: int) -> DataFrame:
     return peaks.withColumn("start", F.col("start") + by).withColumn("end", F.col("end") + by).withColumn("summit", F.col("summit") + by)
 
 
-def harvest(signal_blocks: DataFrame, control_blocks: DataFrame, rois: DataFrame, control: ControlModel, cutoff: Cutoff, nms: Nms | None = None, keys: Sequence[str] = KEYS, weight=None, baseline: float = 1.0) -> DataFrame:
-    """One comparison from end to end, as a long table: kind (signal, control, modelled, peaks, filtered), keys, start, end, signal, summit."""
-    s, covered, modelled = signal_model(signal_blocks, 0.0, keys, weight)
-    c, control_covered = control_model(control_blocks, rois.withColumnRenamed("roi_id", "chain_id"), control, baseline, keys, weight, modelled)
-    peaks = call_peaks(enrichment(s, c, keys=keys), cutoff, keys)
-    filtered = (nms_slop if nms and nms.group_within else nms_uniform)(peaks, rois, s, c, nms or Nms(), keys)
+def harvest(signal_blocks: DataFrame, control_blocks: DataFrame, rois: DataFrame, control: ControlModel, cutoff: Cutoff, nms: Nms | None = None, keys: Sequence[str] = KEYS, weight=None, baseline: float = 1.0, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """One comparison from end to end, as a long table: kind (signal, control, modelled, peaks, filtered), keys, start, end, signal, summit.
+
+    cut: applied to tracks and peaks, which are used several times; one that writes and rereads them has each computed once.
+    """
+    s, covered, modelled = map(cut, signal_model(signal_blocks, 0.0, keys, weight))
+    c, _ = control_model(control_blocks, rois.withColumnRenamed("roi_id", "chain_id"), control, baseline, keys, weight, modelled)
+    c = cut(c)
+    control_covered = merge(c.where("value > 0"), keys)
+    peaks = cut(call_peaks(enrichment(s, c, keys=keys), cutoff, keys))
+    filtered = nms_slop(peaks, rois, s, c, nms, keys, cut) if nms and nms.group_within else nms_uniform(peaks, rois, s, c, nms or Nms(), keys)
     shape = lambda df, kind: df.select(F.lit(kind).alias("kind"), *keys, "start", "end", *((F.col(x) if x in df.columns else F.lit(None)).cast(t).alias(x) for x, t in (("signal", "double"), ("summit", "long"))))
     out = shape(covered, "signal")
     for df, kind in ((control_covered, "control"), (modelled, "modelled"), (peaks, "peaks"), (filtered, "filtered")):

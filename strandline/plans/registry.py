@@ -119,12 +119,21 @@ def _(spark, d):
     return setops.subtract(*_both(spark, d), KEYS, WIDTH).select("aln_id", "start", "end")
 
 
-@query("task_split")
+@query("task_split", f"""WITH RECURSIVE {islands("e", keys="contig")}, c1 AS (SELECT contig, unnest(range(start, "end", 100)) AS start, "end" AS last FROM m),
+ c AS (SELECT contig, start, least(start + 100, last) AS "end" FROM c1),
+ x AS (SELECT a.contig, a.start, min(b.start) AS follows FROM c a JOIN c b ON a.contig = b.contig AND b."end" > a.start + 100 GROUP BY 1, 2),
+ t AS (SELECT contig, min(start) AS task_start FROM c GROUP BY contig UNION ALL SELECT x.contig, x.follows FROM t JOIN x ON t.contig = x.contig AND t.task_start = x.start)
+ SELECT c.contig, max(task_start) AS task_start, c.start, c."end" FROM c JOIN t ON c.contig = t.contig AND task_start <= c.start GROUP BY c.contig, c.start, c."end" """)
 def _(spark, d):
     return setops.split_tasks(views.elements(spark, d), 100)
 
 
-@query("resolve_annotation")
+@query("resolve_annotation", f"""WITH {E}, p AS (SELECT contig, orientation, start AS p FROM e UNION SELECT contig, orientation, "end" FROM e),
+ s AS (SELECT contig, orientation, p AS a, lead(p) OVER (PARTITION BY contig, orientation ORDER BY p) AS b FROM p),
+ d AS (SELECT s.contig, s.orientation, a, b, list_sort(list(DISTINCT element)) AS data FROM s JOIN e ON s.contig = e.contig AND s.orientation = e.orientation AND e.start <= a AND b <= e."end" GROUP BY 1, 2, 3, 4),
+ f AS (SELECT *, CASE WHEN lag(b) OVER w = a AND lag(data) OVER w = data THEN 0 ELSE 1 END AS fresh FROM d WINDOW w AS (PARTITION BY contig, orientation ORDER BY a)),
+ g AS (SELECT *, sum(fresh) OVER (PARTITION BY contig, orientation ORDER BY a) AS run FROM f)
+ SELECT contig, orientation, min(a) AS start, max(b) AS "end", first(data[1]) AS element FROM g GROUP BY contig, orientation, run""")
 def _(spark, d):
     first = lambda c: F.slice(c, 1, 1)
     return segments.resolve_annotation(views.elements(spark, d), "element", first, width=WIDTH)
@@ -327,6 +336,13 @@ def _(spark, d):
     return peaks.call_peaks(track, peaks.Cutoff(1500, 4, 10), ["contig"])
 
 
+def _written(df):
+    """df from a table in the shared folder: what is used several times is computed once, and plans stay small."""
+    path = f"{_folder(df.sparkSession)}/part"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def _rois(spark, d):
     return setops.merge(views.elements(spark, d), KEYS).withColumn("roi_id", F.concat_ws(":", "contig", "orientation", (F.col("start") / 500).cast("long")))
 
@@ -336,31 +352,84 @@ def _sides(spark, d):
     return tracks.coverage(r.where("source = 's1'"), KEYS, w420()), tracks.coverage(r.where("source = 's0'"), KEYS, w420())
 
 
-@query("smooth_control")
+#: Position by position: s and c are signal and control, rp the regions' positions with their places on the spliced axis.
+POSITIONS = f"""{R}, {islands("e")}, w AS (SELECT source, contig, orientation, 420 // nh AS w, unnest(range(start, "end")) AS pos FROM r),
+ sc AS (SELECT contig, orientation, pos, CAST(coalesce(sum(w) FILTER (source = 's1'), 0) AS DOUBLE) AS s, CAST(coalesce(sum(w) FILTER (source = 's0'), 0) AS DOUBLE) AS c FROM w GROUP BY ALL),
+ u AS (SELECT concat_ws(':', contig, orientation, start // 500) AS roi_id, contig, orientation, unnest(range(start, "end")) AS pos FROM m),
+ rp AS (SELECT *, row_number() OVER (PARTITION BY roi_id ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY roi_id) AS n FROM u)"""
+
+
+def _smooth(means):
+    """Greatest mean of each position of a region with control; `means` over the window l."""
+    return f"""v AS (SELECT rp.*, coalesce(c, 0) AS v, sum(coalesce(c, 0)) OVER (PARTITION BY roi_id) AS total FROM rp LEFT JOIN sc USING (contig, orientation, pos)),
+ sm AS (SELECT contig, orientation, pos, greatest({means}) AS value FROM v WHERE total > 0 WINDOW l AS (PARTITION BY roi_id ORDER BY i))"""
+
+
+def _mean(w):
+    return f"CASE WHEN n > {w} AND i >= {w // 2} AND i - {w // 2} + {w} <= n THEN avg(v) OVER (PARTITION BY roi_id ORDER BY i ROWS BETWEEN {w // 2} PRECEDING AND {w - w // 2 - 1} FOLLOWING) END"
+
+
+def _islands_of(source, out, near):
+    """Peaks: positions of source at most `near` apart, longer than 5."""
+    return f"""{out}1 AS (SELECT *, CASE WHEN pos - lag(pos) OVER w <= {near} THEN 0 ELSE 1 END AS fresh FROM {source} WINDOW w AS (PARTITION BY contig, orientation ORDER BY pos)),
+ {out}2 AS (SELECT *, sum(fresh) OVER (PARTITION BY contig, orientation ORDER BY pos) AS isl FROM {out}1),
+ {out} AS (SELECT contig, orientation, isl, min(pos) AS ps, max(pos) + 1 AS pe FROM {out}2 GROUP BY ALL HAVING max(pos) + 1 - min(pos) > 5)"""
+
+
+def _recalled(group, mean, fold):
+    """From d0(group, roi_id, contig, orientation, pos, d) and peaks pk: what passes the local baseline, as out(roi_id, ...)."""
+    return f"""d1 AS (SELECT *, min(d) OVER (PARTITION BY {group}) AS least, {mean} AS mean FROM d0),
+ d2 AS (SELECT d1.*, d - least AS v, ps FROM d1 JOIN pk ON d1.contig = pk.contig AND d1.orientation = pk.orientation AND ps <= pos AND pos < pe WHERE mean - least > 1e-6 AND d - least >= (mean - least) * {fold}::DOUBLE),
+ d3 AS (SELECT *, CASE WHEN pos = lag(pos) OVER w + 1 THEN 0 ELSE 1 END AS fresh FROM d2 WINDOW w AS (PARTITION BY {group}, ps ORDER BY pos)),
+ d4 AS (SELECT *, sum(fresh) OVER (PARTITION BY {group}, ps ORDER BY pos) AS run FROM d3),
+ out AS (SELECT roi_id, contig, orientation, min(pos) AS start, max(pos) + 1 AS "end", max(v) AS signal, first(pos ORDER BY v DESC, pos) AS summit FROM d4 GROUP BY {group}, roi_id, contig, orientation, ps, run HAVING count(*) > 1)"""
+
+
+PEAKS = f"q AS (SELECT contig, orientation, pos FROM sc WHERE s > 0 AND (c = 0 OR s / c >= 1.5::DOUBLE)), {_islands_of('q', 'pk', 5)}"
+
+
+@query("smooth_control", f"WITH {POSITIONS}, {_smooth('total / n, ' + _mean(16) + ', ' + _mean(64))} SELECT contig, orientation, pos, round(value, 6) AS value FROM sm")
 def _(spark, d):
     _s, c = _sides(spark, d)
     rois = _rois(spark, d).withColumnRenamed("roi_id", "chain_id")
     return peaks.smooth(c, rois, peaks.ControlModel((16, 64), True)).withColumn("value", F.round("value", 6))
 
 
-@query("nms_uniform")
+@query("nms_uniform", f"WITH {POSITIONS}, {PEAKS}, d0 AS (SELECT rp.*, s - c AS d FROM rp JOIN sc USING (contig, orientation, pos)), {_recalled('roi_id', 'avg(d) OVER (PARTITION BY roi_id)', 1.5)} SELECT * FROM out")
 def _(spark, d):
-    s, c = _sides(spark, d)
-    found = peaks.call_peaks(peaks.enrichment(s, c), peaks.Cutoff(1.5, 4, 5))
+    s, c = (_written(t) for t in _sides(spark, d))
+    found = _written(peaks.call_peaks(peaks.enrichment(s, c), peaks.Cutoff(1.5, 4, 5)))
     return peaks.nms_uniform(found, _rois(spark, d), s, c, peaks.Nms(1.5))
 
 
-@query("nms_slop")
-def _(spark, d):
-    s, c = _sides(spark, d)
-    found = peaks.call_peaks(peaks.enrichment(s, c), peaks.Cutoff(1.5, 4, 5))
-    return peaks.nms_slop(found, _rois(spark, d), s, c, peaks.Nms(1.2, 20, 0.5, (5, 200)))
-
-
-@query("harvest")
+@query("nms_slop", f"""WITH {POSITIONS}, {PEAKS}, a0 AS (SELECT roi_id, ps, n, min(i) AS a, max(i) + 1 AS b FROM rp JOIN pk ON rp.contig = pk.contig AND rp.orientation = pk.orientation AND ps <= pos AND pos < pe GROUP BY 1, 2, 3),
+ a1 AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY roi_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 20 THEN 0 ELSE 1 END AS fresh FROM a0),
+ a2 AS (SELECT *, sum(fresh) OVER (PARTITION BY roi_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS grp FROM a1),
+ a3 AS (SELECT roi_id, grp, n, min(a) AS a, max(b) AS b, max(b) - min(a) AS size FROM a2 GROUP BY 1, 2, 3),
+ a4 AS (SELECT *, greatest(5, least(200, size // 2)) AS slop FROM a3),
+ d0 AS (SELECT grp, size, rp.*, s - c AS d FROM a4 JOIN rp ON a4.roi_id = rp.roi_id AND i >= a - slop AND i < b + slop JOIN sc ON rp.contig = sc.contig AND rp.orientation = sc.orientation AND rp.pos = sc.pos),
+ {_recalled('roi_id, grp', 'sum(d) OVER (PARTITION BY roi_id, grp) / size', 1.2)} SELECT * FROM out""")
+def _(spark, d):
+    s, c = (_written(t) for t in _sides(spark, d))
+    found = _written(peaks.call_peaks(peaks.enrichment(s, c), peaks.Cutoff(1.5, 4, 5)))
+    return peaks.nms_slop(found, _written(_rois(spark, d)), s, c, peaks.Nms(1.2, 20, 0.5, (5, 200)), cut=_written)
+
+
+@query("harvest", f"""WITH {POSITIONS}, {_smooth(_mean(16))}, t AS (SELECT contig, orientation, pos, coalesce(s, 0) AS s, greatest(coalesce(c, 0), coalesce(value, 0), 1) AS c
+  FROM sc FULL JOIN (SELECT * FROM sm WHERE value IS NOT NULL) USING (contig, orientation, pos)),
+ k AS (SELECT 'signal' AS kind, contig, orientation, pos FROM sc WHERE s > 0 UNION ALL SELECT 'modelled', contig, orientation, pos FROM sc WHERE s > 0 UNION ALL SELECT 'control', contig, orientation, pos FROM t),
+ k1 AS (SELECT *, pos - row_number() OVER (PARTITION BY kind, contig, orientation ORDER BY pos) AS isl FROM k),
+ q AS (SELECT contig, orientation, pos, s / c AS value FROM t WHERE s / c >= 2::DOUBLE), {_islands_of('q', 'pk', 5)},
+ y AS (SELECT *, pos - row_number() OVER (PARTITION BY contig, orientation, value ORDER BY pos) AS run FROM pk2),
+ z AS (SELECT contig, orientation, isl, value, min(pos) AS a, max(pos) + 1 AS b FROM y GROUP BY contig, orientation, isl, value, run),
+ o AS (SELECT contig, orientation, isl, max(value) AS signal, first((a + b) // 2 ORDER BY value DESC, a) AS summit FROM z GROUP BY 1, 2, 3),
+ d0 AS (SELECT rp.*, s - c AS d FROM rp JOIN t USING (contig, orientation, pos)), {_recalled('roi_id', 'avg(d) OVER (PARTITION BY roi_id)', 1.5)}
+ SELECT kind, contig, orientation, min(pos) AS start, max(pos) + 1 AS "end", CAST(NULL AS DOUBLE) AS signal, CAST(NULL AS BIGINT) AS summit FROM k1 GROUP BY kind, contig, orientation, isl
+ UNION ALL SELECT 'peaks', contig, orientation, ps, pe, signal, summit FROM pk JOIN o USING (contig, orientation, isl)
+ UNION ALL SELECT 'filtered', contig, orientation, start, "end", signal, summit FROM out""")
 def _(spark, d):
     r = views.reads(spark, d)
-    return peaks.harvest(r.where("source = 's1'"), r.where("source = 's0'"), _rois(spark, d), peaks.ControlModel((16,), False), peaks.Cutoff(2.0, 4, 5), peaks.Nms(1.5), weight=w420())
+    return peaks.harvest(r.where("source = 's1'"), r.where("source = 's0'"), _written(_rois(spark, d)), peaks.ControlModel((16,), False), peaks.Cutoff(2.0, 4, 5), peaks.Nms(1.5), weight=w420(), cut=_written)
 
 
 # ---- reads

@@ -26,7 +26,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", ["count_any_overlap", "count_overlap_weighted", "interval_subtract", "overlap_left", "hit_segments", "coverage", "rle_merge2", "chain_invmap", "pileup_counts", "median_of_ratios", "project_integrity", "bed12_roundtrip"])
+@pytest.mark.parametrize("name", ["count_any_overlap", "count_overlap_weighted", "interval_subtract", "overlap_left", "hit_segments", "coverage", "rle_merge2", "chain_invmap", "pileup_counts", "median_of_ratios", "project_integrity", "bed12_roundtrip", "task_split", "resolve_annotation", "smooth_control", "nms_uniform", "nms_slop", "harvest"])
 def test_against_sql(spark, duck, name):
     got = registry.queries()[name](spark, SF)
     cols = sorted(got.columns)
