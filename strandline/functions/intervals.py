@@ -147,3 +147,35 @@ def merged_array(intervals, distance: int = 0) -> Column:
             ),
         ).otherwise(F.concat(acc, F.array(x))),
     )
+
+
+# ---- a value for each orientation
+
+
+class PerOrientation:
+    """Columns for forward (1), reverse (-1) and dual (0); without `dual`, for the two strands only."""
+
+    def __init__(self, forward: Column, reverse: Column, dual: Column | None = None):
+        self.slots = {1: forward, -1: reverse, **({} if dual is None else {0: dual})}
+
+    @classmethod
+    def with_default(cls, default: Column, strands: bool = False) -> PerOrientation:
+        return cls(default, default, None if strands else default)
+
+    def map(self, f) -> PerOrientation:
+        return PerOrientation(*(f(c) for c in self.slots.values()))
+
+    def replaced(self, orientation: int, value: Column) -> PerOrientation:
+        if orientation not in self.slots:
+            raise KeyError(f"no value for orientation {orientation}")
+        return PerOrientation(*{**self.slots, orientation: value}.values())
+
+    def items(self):
+        return self.slots.items()
+
+    def at(self, orientation: Column) -> Column:
+        """The value of a row's orientation; null for one without a value."""
+        out = F.lit(None)
+        for k, c in self.slots.items():
+            out = F.when(orientation == k, c).otherwise(out)
+        return out

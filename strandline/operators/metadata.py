@@ -200,3 +200,16 @@ def merge_assemblies(sequences: list[DataFrame], organisms: list[DataFrame]) ->
     none = F.array().cast("array<string>")
     paths = F.when(F.col("paths").isNotNull(), F.col("paths")).otherwise(F.raise_error(F.concat(F.lit("no sequence of "), F.col("assembly"))).cast("array<string>"))
     return joined.select("assembly", F.coalesce("organisms", none).alias("organisms"), paths.alias("paths"))
+
+
+def storage_exists(storage) -> bool:
+    """Whether all files of a run's storage(file1, file2), of which file2 may be null, are there. A folder counts, a missing name does not."""
+    from pyarrow import fs
+
+    for name in [storage["file1"], *([storage["file2"]] if storage["file2"] is not None else [])]:
+        if name is None:
+            return False
+        store, own = fs.FileSystem.from_uri(name) if ":" in name else (fs.LocalFileSystem(), name)
+        if store.get_file_info(own).type == fs.FileType.NotFound:
+            return False
+    return True

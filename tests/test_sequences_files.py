@@ -220,3 +220,52 @@ def test_ties_of_alignment():
 
     (found,) = align("CAGGGGCACCGAGCGACGCGAACGAGGC", "ACAGCCCACGCAGACAGCAG", Scoring(2, -3, -2, -1))
     assert found.rle == "2=2v3=2^1v4=1^2=1v1=1v2="
+
+
+def test_symbol_tables_and_steps():
+    from strandline.operators import align as al
+
+    table = al.Scoring(table=(("A", "N", 1), ("C", "C", 3)))
+    assert (table.gain("A", "N"), table.gain("N", "A"), table.gain("C", "C"), table.gain("G", "G")) == (1, -2, 3, 1)
+    (found,) = al.align("GACG", "GNCG", table)
+    assert (found.score, found.rle) == (6, "1=1X2=")
+    assert table.compose(-3, -2).gap_open == -3 and table.compose(-3, -2).gain("A", "N") == 1
+    (blurred,) = al.align("GACG", "GNCG", table, tell=False)
+    assert blurred.rle == "4~" and al.disambiguate(blurred, "GACG", "GNCG", table) == found
+    other = al.Found(1, (("=", 1),), 2, 3, 2, 3)
+    assert found.intersects(other) and other.intersects(found)
+    assert not found.intersects(al.Found(1, (("=", 1),), 2, 3, 1, 2)) and not found.intersects(al.Found(1, (("=", 1),), 9, 10, 2, 3))
+
+
+def test_arms_of_repeats(spark):
+    from pyspark.sql import functions as F
+
+    from strandline.operators import repeats as rp
+
+    arms = [dict(left_start=2, left_end=5, right_start=20, right_end=23), dict(left_start=6, left_end=8, right_start=15, right_end=17)]
+    df = spark.createDataFrame([(arms,)], f"segments {rp.SEGMENTS}")
+    one = F.col("segments")[0]
+    r = df.select(rp.sequence_length().alias("n"), rp.left_bounds().alias("l"), rp.right_bounds().alias("r"), rp.sequence_ranges().alias("s"), rp.segment_length(one).alias("k"), rp.segment_gap(one).alias("g"), rp.segment_bounds(one).alias("b")).first()
+    assert (r.n, tuple(r.l), tuple(r.r), r.k, r.g, tuple(r.b)) == (10, (2, 8), (15, 23), 3, 15, (2, 23))
+    assert [tuple(x) for x in r.s] == [(2, 5), (6, 8), (15, 17), (20, 23)]
+
+
+def test_values_by_orientation(spark):
+    from pyspark.sql import functions as F
+
+    from strandline.functions.intervals import PerOrientation
+
+    df = spark.createDataFrame([(1,), (-1,), (0,), (None,)], "o int")
+    three = PerOrientation(F.lit(10), F.lit(20), F.lit(30)).map(lambda c: c + 1).replaced(-1, F.lit(5))
+    two = PerOrientation.with_default(F.lit(7), strands=True)
+    got = [tuple(r) for r in df.select("o", three.at(F.col("o")), two.at(F.col("o"))).collect()]
+    assert sorted(got, key=repr) == sorted([(1, 11, 7), (-1, 5, 7), (0, 31, None), (None, None, None)], key=repr)
+
+
+def test_files_of_a_run(tmp_path):
+    from strandline.operators.metadata import storage_exists
+
+    (tmp_path / "a").write_text("x")
+    there, gone = str(tmp_path / "a"), str(tmp_path / "b")
+    cases = [(there, None, True), (there, there, True), (there, gone, False), (gone, None, False), (None, None, False)]
+    assert all(storage_exists({"file1": a, "file2": b}) is want for a, b, want in cases)
