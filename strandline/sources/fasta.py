@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .blocks import Ranges, opened
+
 WIDTH = 80
 
 
@@ -42,24 +44,23 @@ def read_fai(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fetch(queries: DataFrame, index: DataFrame, fasta: str) -> DataFrame:
-    """queries(seqid, start, end) with `seq`, read as byte ranges of an uncompressed file by its index. A slice that is empty or beyond the end is an error."""
+    """queries(seqid, start, end) with `seq`, read as byte ranges of a file by its index; a blocked gzip file needs its .gzi beside it. A
+    slice that is empty or beyond the end is an error."""
     asked = queries.join(index.select(F.col("id").alias("seqid"), F.col("length").alias("_n"), F.col("offset").alias("_o"), F.col("line_bases").alias("_b"), F.col("line_bytes").alias("_w")), "seqid", "left")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in queries.schema)
     names = queries.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        store, path = fs.FileSystem.from_uri(fasta) if ":" in fasta else (fs.LocalFileSystem(), fasta)
+        store, path = opened(fasta)
         with store.open_input_file(path) as file:
+            content = Ranges(file, fasta)
             for rows in batches:
                 out = []
                 for s, e, n, o, b, w in zip(rows["start"], rows["end"], rows["_n"], rows["_o"], rows["_b"], rows["_w"], strict=True):
                     if not (n == n and 0 <= s < e <= n):
                         raise ValueError(f"no slice [{s}, {e}) of a sequence of length {n}")
                     at = lambda p, o=o, b=b, w=w: int(o + p // b * w + p % b)
-                    file.seek(at(s))
-                    out.append(file.read(at(e - 1) + 1 - at(s)).translate(None, b"\r\n").decode())
+                    out.append(content.read(at(s), at(e - 1) + 1 - at(s)).translate(None, b"\r\n").decode())
                 yield rows[names].assign(seq=out)
 
     return asked.mapInPandas(run, fields + ", seq string")

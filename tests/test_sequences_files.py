@@ -1,8 +1,8 @@
 """Alignment, repeats, normalisation, metadata, files and streams."""
 
 import gzip
+import random
 import struct
-import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -121,21 +121,143 @@ def test_gff(spark, tmp_path):
     assert {(r.type, r.id) for r in gff.by_id(rows).collect()} == {("gene", "g1"), ("exon", "e1")}
 
 
+def bam_record(name, flags, ref, pos, mapq, cigar, seq, quals, nh):
+    codes = b"".join(struct.pack("<I", n << 4 | "MIDNSHP=X".index(o)) for o, n in cigar)
+    four = ["=ACMGRSVTWYHKDBN".index(c) for c in seq] + [0] * (len(seq) % 2)
+    packed = bytes(a << 4 | b for a, b in zip(four[::2], four[1::2], strict=True))
+    body = struct.pack("<iiBBHHHiiii", ref, pos, len(name) + 1, mapq, 0, len(cigar), flags, len(seq), -1, -1, 0) + name.encode() + b"\0" + codes + packed + bytes(quals) + b"NHC" + bytes([nh]) + b"XYZab\0" + b"HIi" + struct.pack("<i", 1)
+    return struct.pack("<i", len(body)) + body
+
+
+def bam_header(*contigs):
+    raw = b"BAM\1" + struct.pack("<ii", 0, len(contigs))
+    for name, n in contigs:
+        raw += struct.pack("<i", len(name) + 1) + name.encode() + b"\0" + struct.pack("<i", n)
+    return raw
+
+
+def blocked(raw, size):
+    """A blocked gzip file with an empty block at its end, and where its blocks begin, in the file and in the content."""
+    out, starts = b"", []
+    for at in [*range(0, len(raw), size), len(raw)]:
+        starts.append((len(out), at))
+        out += gzip.compress(raw[at : at + size])
+    return out, starts
+
+
 def test_bam(spark, tmp_path):
-    def record(name, flags, ref, pos, mapq, cigar, seq, quals, nh):
-        codes = b"".join(struct.pack("<I", n << 4 | "MIDNSHP=X".index(o)) for o, n in cigar)
-        four = ["=ACMGRSVTWYHKDBN".index(c) for c in seq] + [0] * (len(seq) % 2)
-        packed = bytes(a << 4 | b for a, b in zip(four[::2], four[1::2], strict=True))
-        body = struct.pack("<iiBBHHHiiii", ref, pos, len(name) + 1, mapq, 0, len(cigar), flags, len(seq), -1, -1, 0) + name.encode() + b"\0" + codes + packed + bytes(quals) + b"NHC" + bytes([nh]) + b"XYZab\0" + b"HIi" + struct.pack("<i", 1)
-        return struct.pack("<i", len(body)) + body
-
-    raw = b"BAM\1" + struct.pack("<i", 0) + struct.pack("<i", 1) + struct.pack("<i", 3) + b"c1\0" + struct.pack("<i", 1000)
-    raw += record("r1", 99, 0, 5, 255, [("M", 3), ("I", 2)], "ACGTN", [1, 2, 3, 4, 5], 2)
+    raw = bam_header(("c1", 1000)) + bam_record("r1", 99, 0, 5, 255, [("M", 3), ("I", 2)], "ACGTN", [1, 2, 3, 4, 5], 2)
     (tmp_path / "x.bam").write_bytes(gzip.compress(raw[:40]) + gzip.compress(raw[40:]))
     row = bam.read_bam(spark, str(tmp_path / "x.bam")).first()
     assert (row.qname, row.contig, row.start, row.mapq, row.seq, row.nh, row.hi) == ("r1", "c1", 5, None, "ACGTN", 2, 1)
     assert [tuple(c) for c in row.cigar] == [("M", 3), ("I", 2)] and row.quals == [1, 2, 3, 4, 5]
-    assert zlib.crc32(b"") == 0
+    (tmp_path / "cut.bam").write_bytes((tmp_path / "x.bam").read_bytes()[:-9])
+    with pytest.raises(Exception, match="ends inside a block"):
+        bam.read_bam(spark, str(tmp_path / "cut.bam")).collect()
+
+
+def indexed_bam(path, seed=3, n=400):
+    """A sorted file of two contigs and of unplaced reads, with its index; the reads as (name, flags, contig, start, stop, mapq)."""
+    rng = random.Random(seed)
+    lengths = [200_000, 60_000]
+    placed = sorted((rng.randrange(2), rng.choice([0, 16, 256, 1024]), rng.choice([0, 20, 255])) for _ in range(n))
+    starts = sorted((ref, rng.choice([rng.randrange(lengths[ref] - 30_000), 16_384, 16_383])) for ref, _, _ in placed)
+    raw, reads, spans = bam_header(("c1", lengths[0]), ("c2", lengths[1]), ("c3", 10)), [], []
+    for i, ((ref, start), (_, flags, mapq)) in enumerate(zip(starts, placed, strict=True)):
+        cigar = [("S", 2), ("M", 3), ("N", rng.choice([1, 40, 20_000])), ("M", 4)]
+        stop = start + sum(k for op, k in cigar if op in "MN")
+        record = bam_record(f"r{i}", flags, ref, start, mapq, cigar, "ACGTNACGT", [9] * 9, 1)
+        spans.append((ref, start, stop, len(raw), len(raw) + len(record)))
+        reads.append((f"r{i}", flags, f"c{ref + 1}", start, stop, mapq))
+        raw += record
+    for i in range(5):
+        raw += bam_record(f"u{i}", 4, -1, -1, 0, [], "AC", [1, 1], 1)
+        reads.append((f"u{i}", 4, None, -1, -1, 0))
+    data, blocks = blocked(raw, 997)
+    path.write_bytes(data)
+
+    def virtual(at):
+        place, begin = max(b for b in blocks if b[1] <= at and (b[1] < len(raw) or at == len(raw)))
+        return place << 16 | at - begin
+
+    index = b"BAI\1" + struct.pack("<i", 3)
+    for ref in range(3):
+        bins, linear = {}, {}
+        for r, start, stop, a, b in spans:
+            if r == ref:
+                level = next((first, s) for first, s in reversed(bam.LEVELS) if start >> s == stop - 1 >> s)
+                chunks = bins.setdefault(level[0] + (start >> level[1]), [])
+                if chunks and chunks[-1][1] == virtual(a):
+                    chunks[-1][1] = virtual(b)
+                else:
+                    chunks.append([virtual(a), virtual(b)])
+                for w in range(start >> 14, (stop - 1 >> 14) + 1):
+                    linear.setdefault(w, virtual(a))
+        bins[bam.STATISTICS] = [[0, 1 << 62], [5, 7]]
+        index += struct.pack("<i", len(bins)) + b"".join(struct.pack("<Ii", k, len(c)) + b"".join(struct.pack("<QQ", *x) for x in c) for k, c in bins.items())
+        windows = [linear.get(w, 0) for w in range(max(linear, default=-1) + 1)]
+        index += struct.pack("<i", len(windows)) + b"".join(struct.pack("<Q", w) for w in windows)
+    path.with_name(path.name + ".bai").write_bytes(index)
+    return reads, index
+
+
+def test_indexed_bam(spark, tmp_path):
+    path = tmp_path / "x.bam"
+    reads, index = indexed_bam(path)
+    names = ["c1", "c2", "c3"]
+
+    def got(ranges, regions=None, **filters):
+        with open(path, "rb") as file:
+            return sorted(r[0] for a, b in ranges for r in bam.records(file, a, b, regions, **filters))
+
+    parsed = bam.read_index(index)
+    for size in (1, 2000, 1 << 30):
+        assert got(bam.ranges_of(parsed, names, None, size)) == sorted(r[0] for r in reads)
+    rng = random.Random(5)
+    asked = [("c1", 0, 200_000), ("c1", 16_383, 16_384), ("c1", 16_384, 16_385), ("c2", 0, 1 << 30), ("c3", 0, 10), ("c2", 59_999, 60_000)]
+    for _ in range(60):
+        start = rng.randrange(190_000)
+        asked.append((rng.choice(names[:2]), start, start + rng.choice([1, 100, 20_000])))
+    for k, some in enumerate([*([a] for a in asked), asked[6:9], asked[:2] + asked[9:20]]):
+        regions = bam.Regions(some)
+        expected = sorted(r[0] for r in reads if not r[1] & 4 and any(r[2] == c and r[3] < e and r[4] > s for c, s, e in some))
+        ranges = bam.ranges_of(parsed, names, regions, (1, 500, 1 << 30)[k % 3])
+        assert got(ranges, regions) == expected == got([(None, None)], regions)
+        assert all(b <= c for (_, b), (c, _) in zip(ranges, ranges[1:], strict=False))
+    near = bam.ranges_of(parsed, names, bam.Regions([("c2", 100, 200)]), 1 << 30)
+    assert sum((b >> 16) - (a >> 16) for a, b in near) < path.stat().st_size / 2
+    for lone in (False, True):  # with the index, and without
+        if lone:
+            (tmp_path / "x.bam.bai").unlink()
+        rows = bam.read_bam(spark, str(path), range_bytes=2000)
+        assert sorted(r.qname for r in rows.collect()) == sorted(r[0] for r in reads)
+        assert (rows.selectExpr("spark_partition_id() p").distinct().count() > 1) is not lone
+        rows = bam.read_bam(spark, str(path), regions=[("c1", 20_000, 50_000), ("c2", 5, 900)], exflags=1024, min_mapq=20)
+        kept = [r for r in reads if not r[1] & 1028 and r[5] >= 20 and (r[2] == "c1" and r[3] < 50_000 and r[4] > 20_000 or r[2] == "c2" and r[3] < 900 and r[4] > 5)]
+        assert sorted((r.qname, r.flags, r.contig, r.start) for r in rows.collect()) == sorted(r[:4] for r in kept) and kept
+    with pytest.raises(Exception, match="no contig c9"):
+        bam.read_bam(spark, str(path), regions=[("c9", 0, 5)]).collect()
+
+
+def test_fetch_from_blocked_gzip(spark, tmp_path):
+    rng = random.Random(1)
+    seqs = {"a": "".join(rng.choices("ACGT", k=505)), "b": "".join(rng.choices("ACGT", k=30))}
+    text, fai = "", ""
+    for name, seq in seqs.items():
+        text += f">{name}\n"
+        fai += f"{name}\t{len(seq)}\t{len(text)}\t10\t11\n"
+        text += "".join(seq[i : i + 10] + "\n" for i in range(0, len(seq), 10))
+    data, starts = blocked(text.encode(), 64)
+    (tmp_path / "x.fa.gz").write_bytes(data)
+    (tmp_path / "x.fai").write_text(fai)
+    index = fasta.read_fai(spark, str(tmp_path / "x.fai"))
+    asked = [("a", 0, 505), ("b", 29, 30), ("a", 63, 64), *(("a", s, s + rng.randrange(1, 200)) for s in rng.sample(range(300), 20))]
+    queries = spark.createDataFrame(asked, "seqid string, start long, end long")
+    with pytest.raises(Exception, match="no .gzi index"):
+        fasta.fetch(queries, index, str(tmp_path / "x.fa.gz")).collect()
+    (tmp_path / "x.fa.gz.gzi").write_bytes(struct.pack("<Q", len(starts) - 1) + b"".join(struct.pack("<QQ", *s) for s in starts[1:]))
+    rows = fasta.fetch(queries, index, str(tmp_path / "x.fa.gz")).collect()
+    assert len(rows) == len(asked) and all(r.seq == seqs[r.seqid][r.start : r.end] for r in rows)
 
 
 def sheet(tmp_path, extra=""):
