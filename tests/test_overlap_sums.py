@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from strandline.operators import sums
+from strandline.operators import counting, sums
 from strandline.plans import registry
 
 ROW = "id long, contig string, start long, end long"
@@ -31,12 +31,32 @@ def test_count_hits(spark):
         assert sorted(map(tuple, got.collect())) == sorted(want.items())
 
 
+def test_counts_of_parts(spark):
+    """Alignments of several blocks and elements of several segments count once; null ids, labels, keys and bounds."""
+    rng = random.Random(12)
+    kinds = "source string, aln_id string, contig string, orientation int, start long, end long, nh long", "element long, contig string, orientation int, start long, end long"
+    for far, many in ((40, 30), (300, 400)):
+        a = [(("s0", "s1", None)[i % 3], rng.choice([f"r{rng.randrange(many)}", f"x{i}", f"x{i}", None if i % 9 == 0 else "r0"]), c, 1, s, e, 1 + i % 3) for i, (_, c, s, e) in enumerate(some(rng, 50, far))]
+        a.append(("none", "y", None, 1, 1, 2, 1))
+        e = [(rng.choice([rng.randrange(8), 100 + i, 100 + i]) if i % 11 else None, c, 1, s, t) for i, (_, c, s, t) in enumerate(some(rng, 30, far))]
+        pairs = {(x[0], x[1], y[0], x[6]) for x in a for y in e if meet((0, x[2], x[4], x[5]), (0, *y[1:2], *y[3:]))}
+        want = {(s, k): 0 if k is None else sum(round(1e15 / n) for s2, _, k2, n in pairs if (s2, k2) == (s, k)) / 1e15 for s in ("s0", "s1", "none") for k in {y[0] for y in e}}
+        for joined in (False, True):
+            resolution = (lambda *x: counting.any_overlap(*x)) if joined else counting.any_overlap
+            got = counting.count(spark.createDataFrame(a, kinds[0]), spark.createDataFrame(e, kinds[1]), resolution, width=16)
+            got = {(r.source, r.element): r["count"] for r in got.collect()}
+            assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_counts_make_no_pairs(spark, tmp_path):
     """Rows that all lie on one place: 4,000 x 2,000 pairs, and no join makes more rows than there are."""
     lines = spark.range(4000).select(F.col("id").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.lit(3).cast("long").alias("l_partkey"), F.lit(7).cast("long").alias("l_suppkey"), F.lit(9.0).alias("l_quantity"), F.lit("1992-01-05").cast("date").alias("l_shipdate"), F.lit("A").alias("l_returnflag"))
     orders = spark.range(2000).select(F.col("id").alias("o_orderkey"), F.lit(7).cast("long").alias("o_custkey"), F.lit("F").alias("o_orderstatus"), F.lit("1992-01-05").cast("date").alias("o_orderdate"))
     lines.write.parquet(f"{tmp_path}/lineitem.parquet")
     orders.write.parquet(f"{tmp_path}/orders.parquet")
+    found = registry.queries()["count_any_overlap"](spark, str(tmp_path))
+    assert [tuple(r)[::2] for r in found.collect()] == [("s1", 4000.0)] * 2000
+    assert most_joined(found) <= 4000
     found = registry.queries()["overlap_left_counts"](spark, str(tmp_path))
     # Reads lie on [43, 52); elements on [40, 45 + k % 40).
     assert [r.n_hits for r in found.collect()] == [4000] * 2000
