@@ -56,6 +56,14 @@ def any_overlap(alignments: DataFrame, elements: DataFrame, width: int | None =
     return hits.select(*ALN, F.col("element_r").alias("element"), (F.lit(1.0) / F.col("nh")).alias("weight")).distinct()
 
 
+def _marked(t: DataFrame, names: Sequence[str]) -> DataFrame:
+    """t with `_many`: whether rows share these columns, or may, as one is null."""
+    many = F.count("*").over(W.partitionBy(*names)) > 1
+    for c in names:
+        many = many | F.col(c).isNull()
+    return t.withColumn("_many", many)
+
+
 def _any_units(alignments: DataFrame, elements: DataFrame, width: int | None = None) -> DataFrame:
     """source, element, units: what any_overlap gives to each element, and each source, in units; maybe several rows of one, to be added up.
 
@@ -66,14 +74,7 @@ def _any_units(alignments: DataFrame, elements: DataFrame, width: int | None = N
     every = overlap_sums(elements.select("element", *KEYS, "start", "end"), alignments, unit(F.lit(1.0) / F.col("nh")), F.col("source"), KEYS, width)
     every = every.select("element", F.explode("_sums").alias("x")).select(F.col("x.group").alias("source"), "element", F.col("x.total").alias("units"))
 
-    def marked(t: DataFrame, names: Sequence[str]) -> DataFrame:
-        """t with `_many`: whether rows share these columns, or may, as one is null."""
-        many = F.count("*").over(W.partitionBy(*names)) > 1
-        for c in names:
-            many = many | F.col(c).isNull()
-        return t.withColumn("_many", many)
-
-    a, e = marked(alignments.select(*ALN, *KEYS, "start", "end", "nh"), ALN), marked(elements.select("element", *KEYS, "start", "end"), ["element"])
+    a, e = _marked(alignments.select(*ALN, *KEYS, "start", "end", "nh"), ALN), _marked(elements.select("element", *KEYS, "start", "end"), ["element"])
     # Where nothing comes in several parts, no alignment is dealt to bins.
     reach = F.broadcast(e.where("_many").groupBy(*KEYS).agg(F.min("start").alias("_low"), F.max("end").alias("_high"), F.lit(True).alias("_near")))
     a = a.join(reach, list(KEYS), "left").where(F.col("_many") | (F.col("_near") & (F.col("start") < F.col("_high")) & (F.col("end") > F.col("_low")))).drop("_low", "_high", "_near")
@@ -100,11 +101,34 @@ def overlap_weighted(alignments: DataFrame, elements: DataFrame, width: int | No
 def top_ranked(ranks: DataFrame) -> Callable:
     """ranks(element, rank): an alignment counts 1, whatever its nh, for the element of the least rank (ties: least element); elements without a rank come last."""
 
+    def foremost(elements: DataFrame) -> DataFrame:
+        """Segments with `_best`, the element and its place, without those that lie inside a better one: who meets these meets that, too."""
+        place = F.struct(F.col("rank").isNull().alias("last"), "rank", "element")
+        rows = elements.select("element", *KEYS, "start", "end").where("start < end").join(ranks, "element", "left").groupBy(*KEYS, "start", "end").agg(F.min(place).alias("_best"))
+        for side, order in (("start", F.col("end").desc()), ("end", F.col("start"))):
+            line = W.partitionBy(*KEYS, side).orderBy(order)
+            rows = rows.withColumn("_top", F.min("_best").over(line)).where(F.col("_top").eqNullSafe(F.col("_best"))).drop("_top")
+        return rows
+
     def resolve(alignments: DataFrame, elements: DataFrame, width: int | None = None) -> DataFrame:
-        hits = any_overlap(alignments, elements, width).drop("weight").join(ranks, "element", "left")
-        best = hits.groupBy(*ALN).agg(F.min(F.struct(F.col("rank").isNull().alias("last"), "rank", "element")).alias("best"))
+        hits = overlap_join(alignments.select(*ALN, *KEYS, "start", "end"), foremost(elements), KEYS, "inner", width)
+        best = hits.groupBy(*ALN).agg(F.min("_best_r").alias("best"))
         return best.select(*ALN, F.col("best.element").alias("element"), F.lit(1.0).alias("weight"))
 
+    def units(alignments: DataFrame, elements: DataFrame, width: int | None = None) -> DataFrame:
+        """source, element, units. Alignments of one block have no need of their names: those of the same place are a number."""
+        place = [*KEYS, "start", "end"]
+        a = _marked(alignments.select(*ALN, *place), ALN).select("source", "_many", F.when(F.col("_many"), F.col("aln_id")).alias("_aln"), *place)
+        a = a.groupBy("source", "_many", "_aln", *place).agg(F.count("*").alias("_n"))
+        hits = overlap_join(a, foremost(elements), KEYS, "inner", width)
+        # Blocks of one alignment are one group; else each place is.
+        own = [F.when(~F.col("_many"), F.col(c)).alias(f"_p{i}") for i, c in enumerate(place)]
+        best = hits.groupBy("source", "_many", "_aln", *own).agg(F.min("_best_r").alias("_best"), F.max(F.when(F.col("_many"), 1).otherwise(F.col("_n"))).alias("_n"))
+        found = best.select("source", F.col("_best.element").alias("element"), (F.col("_n").cast("decimal(20,0)") * F.lit(int(UNITS)).cast("decimal(17,0)")).cast("decimal(38,0)").alias("units"))
+        found = found.groupBy("source", "element").agg(F.sum("units").cast("decimal(38,0)").alias("units"))
+        return found.unionByName(_every(alignments, elements).withColumn("units", F.lit(0).cast("decimal(38,0)")))
+
+    resolve.units = units
     return resolve
 
 

@@ -48,6 +48,26 @@ def test_counts_of_parts(spark):
             assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_top_ranked_of_parts(spark):
+    rng = random.Random(13)
+    kinds = "source string, aln_id string, contig string, orientation int, start long, end long, nh long", "element long, contig string, orientation int, start long, end long"
+    for far, many in ((40, 30), (300, 400)):
+        a = [(("s0", "s1")[i % 2], rng.choice([f"r{rng.randrange(many)}", f"x{i}", "one", None if i % 9 == 0 else f"x{i}"]), c, 1, s, e, 1) for i, (_, c, s, e) in enumerate(some(rng, 80, far))]
+        a += [(x[0], f"{x[1]}+", *x[2:]) for x in a]
+        e = [(rng.choice([rng.randrange(8), 100 + i]), c, 1, s, t) for i, (_, c, s, t) in enumerate(some(rng, 40, far))]
+        ranks = {k: k % 5 for k in {y[0] for y in e} if k % 3}
+        best = {}
+        for x in a:
+            for y in e:
+                if meet((0, x[2], x[4], x[5]), (0, y[1], *y[3:])):
+                    best[x[:2]] = min(best.get(x[:2], (2,)), (y[0] not in ranks, ranks.get(y[0], 0), y[0]))
+        want = {(s, k): sum(1.0 for (s2, _), b in best.items() if (s2, b[2]) == (s, k)) for s in ("s0", "s1") for k in {y[0] for y in e}}
+        frames = spark.createDataFrame(a, kinds[0]), spark.createDataFrame(e, kinds[1])
+        resolve = counting.top_ranked(spark.createDataFrame(list(ranks.items()), "element long, rank long"))
+        for way in (resolve, lambda *x: resolve(*x)):
+            assert {(r.source, r.element): r["count"] for r in counting.count(*frames, way, width=16).collect()} == want
+
+
 def test_counts_make_no_pairs(spark, tmp_path):
     """Rows that all lie on one place: 4,000 x 2,000 pairs, and no join makes more rows than there are."""
     lines = spark.range(4000).select(F.col("id").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.lit(3).cast("long").alias("l_partkey"), F.lit(7).cast("long").alias("l_suppkey"), F.lit(9.0).alias("l_quantity"), F.lit("1992-01-05").cast("date").alias("l_shipdate"), F.lit("A").alias("l_returnflag"))
@@ -57,6 +77,7 @@ def test_counts_make_no_pairs(spark, tmp_path):
     found = registry.queries()["count_any_overlap"](spark, str(tmp_path))
     assert [tuple(r)[::2] for r in found.collect()] == [("s1", 4000.0)] * 2000
     assert most_joined(found) <= 4000
+    assert most_joined(registry.queries()["count_top_ranked"](spark, str(tmp_path))) <= 4000
     found = registry.queries()["overlap_left_counts"](spark, str(tmp_path))
     # Reads lie on [43, 52); elements on [40, 45 + k % 40).
     assert [r.n_hits for r in found.collect()] == [4000] * 2000
