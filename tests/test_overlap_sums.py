@@ -102,3 +102,13 @@ def most_joined(df):
                 most = max(most, node.metrics().apply("numOutputRows").value())
             todo += [node.children().apply(i) for i in range(node.children().size())]
     return most
+
+
+def test_join_reads_views_once(spark, tmp_path):
+    """The levels in use and the pairs come from one exchange of each view's rows."""
+    spark.sql("SELECT id AS l_orderkey, 1 AS l_linenumber, id AS l_partkey, id AS l_suppkey, 9.0D AS l_quantity, date'1992-01-05' AS l_shipdate, 'A' AS l_returnflag FROM range(50)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.sql("SELECT id AS o_orderkey, id AS o_custkey, 'F' AS o_orderstatus, date'1992-01-05' AS o_orderdate FROM range(50)").write.parquet(f"{tmp_path}/orders.parquet")
+    found = registry.queries()["overlap_join"](spark, str(tmp_path))
+    assert found.count() and found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan parquet [l_") == 1 and plan.count("FileScan parquet [o_") == 1
