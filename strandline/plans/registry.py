@@ -162,7 +162,7 @@ def _(spark, d):
  g AS (SELECT *, sum(fresh) OVER (PARTITION BY element ORDER BY start) AS run FROM f)
  SELECT element, min(start) AS start, max("end") AS "end", array_to_string(first(data), ',') AS data FROM g GROUP BY element, run""")
 def _(spark, d):
-    r, e = _both(spark, d)
+    r, e = views.reads(spark, d, repeated=True), views.elements(spark, d)
     found = segments.hit_segments(e, r, "nh", ["element", *KEYS], KEYS, WIDTH)
     return found.select("element", "start", "end", F.array_join("data", ",").alias("data"))
 

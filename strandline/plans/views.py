@@ -34,12 +34,15 @@ DEALT = {READS: "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey,
 USED = re.compile(r"\b[lo]_[a-z]+\b")
 
 
-def frame(spark: SparkSession, sf_dir: str, template: str) -> DataFrame:
+def frame(spark: SparkSession, sf_dir: str, template: str, repeated: bool = False) -> DataFrame:
     """The view's rows. Those of READS come dealt by aln_id, those of ELEMENTS by element, so a DISTINCT or groups by these move no row again.
 
     What moves are the table's columns that the view reads, not the view's, which are three times as wide.
+    repeated: without the DISTINCT, as the rows lie in the table, for what repeated rows do not change.
     """
     out, deal = template.replace('"end"', "`end`"), DEALT.get(template)
+    if repeated:
+        out, deal = out.replace("SELECT DISTINCT", "SELECT", 1), None
     for c in ("l_shipdate", "o_orderdate"):
         out = out.replace(f"DAY_{c}", _DAY["spark"].format(c))
         deal = deal and deal.replace(f"DAY_{c}", _DAY["spark"].format(c))
@@ -51,8 +54,8 @@ def frame(spark: SparkSession, sf_dir: str, template: str) -> DataFrame:
     return spark.sql(f"{head}FROM {{t}}", t=rows)
 
 
-def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frame(spark, sf_dir, READS)
+def reads(spark: SparkSession, sf_dir: str, repeated: bool = False) -> DataFrame:
+    return frame(spark, sf_dir, READS, repeated)
 
 
 def elements(spark: SparkSession, sf_dir: str) -> DataFrame:

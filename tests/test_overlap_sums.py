@@ -112,3 +112,14 @@ def test_join_reads_views_once(spark, tmp_path):
     assert found.count() and found.collect()
     plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("FileScan parquet [l_") == 1 and plan.count("FileScan parquet [o_") == 1
+
+
+def test_segments_make_no_pairs(spark, tmp_path):
+    """4,000 reads of three labels in one place, under 2,000 elements of 40 places: a join makes a row for a label and place, or an element."""
+    spark.sql("SELECT id AS l_orderkey, 1 + id % 3 AS l_linenumber, 3L AS l_partkey, 7L AS l_suppkey, 9.0D AS l_quantity, date'1992-01-05' AS l_shipdate, 'A' AS l_returnflag FROM range(4000)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.sql("SELECT id AS o_orderkey, 7L AS o_custkey, 'F' AS o_orderstatus, date'1992-01-05' AS o_orderdate FROM range(2000)").write.parquet(f"{tmp_path}/orders.parquet")
+    asked = lambda: registry.queries()["hit_segments"](spark, str(tmp_path))
+    # Reads lie on [43, 52); elements on [40, 45 + k % 40).
+    want = [(k, s, e, d) for k in range(2000) for s, e, d in ((40, 43, ""), (43, min(52, 45 + k % 40), "1,2,3"), (52, 45 + k % 40, "")) if s < e]
+    assert sorted(map(tuple, asked().collect())) == want
+    assert most_joined(asked()) <= 2000
