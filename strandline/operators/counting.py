@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from ..functions.intervals import merged_array
 from .joins import overlap_flags, overlap_join
-from .segments import hit_segments
+from .segments import hit_segments, once
 from .setops import merge
 from .sums import overlap_sums
+from .tracks import running_sum
 
 KEYS = ("contig", "orientation")
 ALN = ("source", "aln_id")
@@ -86,18 +87,68 @@ def _any_units(alignments: DataFrame, elements: DataFrame, width: int | None = N
 any_overlap.units = _any_units
 
 
-def overlap_weighted(alignments: DataFrame, elements: DataFrame, width: int | None = None) -> DataFrame:
-    """Each segment of an alignment's blocks has the weight length / (total length * nh), shared equally by the elements that cover it."""
+def _totals(alignments: DataFrame) -> DataFrame:
+    """An alignment's merged blocks, with `total`, their length."""
     # An alignment has a handful of blocks: they are merged as one array, and their total goes with each of them.
     blocks = F.col("_blocks")
-    merged = alignments.groupBy(*ALN, *KEYS, "nh").agg(merged_array(F.collect_set(F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")))).alias("_blocks"))
+    merged = alignments.groupBy(*ALN, *KEYS, "nh").agg(F.collect_set(F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))).alias("_blocks"))
+    # Empty blocks go here, not by a filter on the rows, which would go down to the reading, and make two exchanges of one.
+    merged = merged.select(*ALN, *KEYS, "nh", F.filter("_blocks", lambda b: b["start"] < b["end"]).alias("_set"))
+    merged = once(merged, "_blocks", F.when(F.size("_set") == 1, F.col("_set")).otherwise(merged_array("_set")))
     total = F.aggregate(blocks, F.lit(0).cast("long"), lambda t, b: t + b["end"] - b["start"])
-    rows = merged.select(*ALN, *KEYS, "nh", total.alias("total"), F.explode(blocks).alias("b")).select(*ALN, *KEYS, "nh", "total", F.col("b.start").alias("start"), F.col("b.end").alias("end"))
-    segments = hit_segments(rows, elements, "element", [*ALN, *KEYS, "nh", "total"], KEYS, width, raw=True)
+    return merged.select(*ALN, *KEYS, "nh", total.alias("total"), F.explode(blocks).alias("b")).select(*ALN, *KEYS, "nh", "total", F.col("b.start").alias("start"), F.col("b.end").alias("end"))
+
+
+def overlap_weighted(alignments: DataFrame, elements: DataFrame, width: int | None = None) -> DataFrame:
+    """Each segment of an alignment's blocks has the weight length / (total length * nh), shared equally by the elements that cover it."""
+    segments = hit_segments(_totals(alignments), elements, "element", [*ALN, *KEYS, "nh", "total"], KEYS, width, raw=True)
     share = (F.col("end") - F.col("start")) / (F.col("total") * F.col("nh") * F.size("data"))
     return segments.select(*ALN, share.alias("weight"), F.explode("data").alias("element")).select(*ALN, "element", "weight")
 
 
+def _cut(segments: DataFrame) -> DataFrame:
+    """The axes cut at every bound of the segments: start, end, and n, how many segments cover it, of what some do."""
+    events = segments.select(*KEYS, F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("d")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("d")))).alias("x"))
+    deltas = events.groupBy(*KEYS, F.col("x.at").alias("start")).agg(F.sum("x.d").alias("_d"))
+    after = F.lead("start").over(W.partitionBy(*KEYS).orderBy("start"))
+    return running_sum(deltas, KEYS, "start", "_d", "n").withColumn("end", after).where("n > 0").select(*KEYS, "start", "end", "n")
+
+
+#: Width of the bins in which blocks meet the parts of the cut axis, of which there may be one for each position.
+PART_BIN = 32
+
+
+def _weighted_units(alignments: DataFrame, elements: DataFrame, width: int | None = None) -> DataFrame:
+    """source, element, units: what overlap_weighted gives to each element, and each source, in units; maybe several rows of one, to be added up.
+
+    Between two bounds of elements all of them share alike. So what alignments give is added up for each such part, and an element has the
+    sum of its parts, a difference of running sums: no row is made for a pair of an alignment and an element.
+    """
+    held = elements.select("element", *KEYS, F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).where("start < end")
+    for k in KEYS:
+        held = held.where(F.col(k).isNotNull())
+    held = merged_elements(held)
+    # Blocks of the same place are a number. As all columns and the number are asked for wherever the join reads them, there is one exchange for both.
+    blocks = _totals(alignments).select("source", *KEYS, "start", "end", (F.col("total") * F.col("nh")).alias("_whole"))
+    blocks = blocks.groupBy(*blocks.columns).agg(F.count("*").alias("_n")).where("_n > 0")
+    met = overlap_join(blocks, _cut(held), KEYS, "inner", PART_BIN)
+    length = F.least("end", "end_r") - F.greatest("start", "start_r")
+    x = length / (F.col("_whole") * F.col("n_r")) * UNITS
+    # As round has it, but for its decimals of any size; a half is exact in this range.
+    units = F.when((x >= 0) & (x < float(1 << 51)), F.floor(x + 0.5)).otherwise(F.round(x).cast("long"))
+    parts = met.select("source", *KEYS, F.col("start_r").alias("start"), F.col("end_r").alias("end"), units.alias("_u"), "_n")
+    # Two longs add up faster than one decimal, and hold 9e9 rows of any weight.
+    low = F.col("_u") % 10**9
+    parts = parts.groupBy("source", *KEYS, "start", "end").agg(F.sum(low * F.col("_n")).alias("_low"), F.sum(F.expr("_u DIV 1000000000") * F.col("_n")).alias("_high"))
+    whole = (F.col("_high").cast("decimal(20,0)") * F.lit(10**9).cast("decimal(10,0)") + F.col("_low").cast("decimal(20,0)")).cast("decimal(38,0)")
+    every = overlap_sums(held, parts, whole, F.col("source"), KEYS, width)
+    every = every.select("element", F.explode("_sums").alias("x")).select(F.col("x.group").alias("source"), "element", F.col("x.total").alias("units"))
+    return every.unionByName(_every(alignments, elements).withColumn("units", F.lit(0).cast("decimal(38,0)")))
+
+
+overlap_weighted.units = _weighted_units
+
+
 def top_ranked(ranks: DataFrame) -> Callable:
     """ranks(element, rank): an alignment counts 1, whatever its nh, for the element of the least rank (ties: least element); elements without a rank come last."""
 

@@ -16,7 +16,7 @@ from .setops import MERGE_BIN, merge
 PIECE = 1 << 12
 
 
-def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """df with a column that later expressions read and do not compute again, as they would inside their lambdas: an explode keeps projections apart."""
     return df.select("*", F.explode(F.array(value)).alias(name))
 
@@ -55,14 +55,14 @@ def hit_segments(queries: DataFrame, hits: DataFrame, data: str, query: Sequence
     hit = F.struct(F.greatest("start", start).alias("s"), F.least("end", end).alias("e"), F.col(value).alias("d"))
     found = joined.groupBy(*place).agg(F.collect_list(hit).alias("_hits"))
     cuts = F.array_sort(F.array_distinct(F.concat(F.array("start", "end"), F.transform("_hits", lambda h: h["s"]), F.transform("_hits", lambda h: h["e"]))))
-    found = _once(found, "_cuts", cuts)
+    found = once(found, "_cuts", cuts)
     covering = lambda a, b: F.array_sort(F.array_distinct(F.transform(F.filter("_hits", lambda h: (h["s"] <= a) & (b <= h["e"])), lambda h: h["d"])))
     segment = lambda a, i: F.struct(a.alias("s"), F.get("_cuts", i + 1).alias("e"), covering(a, F.get("_cuts", i + 1)).alias("d"))
-    found = _once(found, "_parts", F.transform(F.slice("_cuts", F.lit(1), F.size("_cuts") - 1), segment)).drop("_cuts", "_hits")
+    found = once(found, "_parts", F.transform(F.slice("_cuts", F.lit(1), F.size("_cuts") - 1), segment)).drop("_cuts", "_hits")
     if raw:
         return pieces.join(found, place).select(*query, F.explode("_parts").alias("p")).where(F.size("p.d") > 0).select(*query, F.col("p.s").alias("start"), F.col("p.e").alias("end"), F.col("p.d").alias("data"))
     # Neighbours of equal sets are one: segments begin where the set is another than before, and end where the next begins.
-    found = _once(found, "_firsts", F.filter("_parts", lambda p, i: (i == 0) | (F.get("_parts", i - 1)["d"] != p["d"])))
+    found = once(found, "_firsts", F.filter("_parts", lambda p, i: (i == 0) | (F.get("_parts", i - 1)["d"] != p["d"])))
     ends = lambda p, i: F.struct(p["s"].alias("s"), F.coalesce(F.get("_firsts", i + 1)["s"], F.col("end")).alias("e"), p["d"].alias("d"), ((i == 0) | (i == F.size("_firsts") - 1)).alias("edge"))
     found = found.select(*place, F.transform("_firsts", ends).alias("_segments"))
     kind = found.schema["_segments"].dataType

@@ -123,3 +123,31 @@ def test_segments_make_no_pairs(spark, tmp_path):
     want = [(k, s, e, d) for k in range(2000) for s, e, d in ((40, 43, ""), (43, min(52, 45 + k % 40), "1,2,3"), (52, 45 + k % 40, "")) if s < e]
     assert sorted(map(tuple, asked().collect())) == want
     assert most_joined(asked()) <= 2000
+
+
+def test_weights_of_parts(spark, tmp_path):
+    """Shares by positions: alignments of several blocks, elements of several segments that overlap; and no pairs of reads and elements."""
+    rng = random.Random(14)
+    kinds = "source string, aln_id string, contig string, orientation int, start long, end long, nh long", "element long, contig string, orientation int, start long, end long"
+    for far in (40, 300):
+        a = [(("s0", "s1", None)[i % 3], f"r{rng.randrange(40)}", c, 1, s, e, 1 + i % 2) for i, (_, c, s, e) in enumerate(some(rng, 50, far)) if s is not None and e is not None]
+        e = [(rng.choice([rng.randrange(8), 100 + i]), c, 1, s, t) for i, (_, c, s, t) in enumerate(some(rng, 30, far))]
+        held, read = {}, {}
+        for k, c, _, s, t in e:
+            if c is not None and s is not None and t is not None:
+                for p in range(s, t):
+                    held.setdefault((c, p), set()).add(k)
+        for s, n, c, _, x, y, nh in a:
+            read.setdefault((s, n, c, nh), set()).update(range(x, y))
+        want = {(s, k): 0.0 for s in ("s0", "s1") for k in {y[0] for y in e}}
+        for (s, _, c, nh), at in read.items():
+            for p in at if s else ():
+                for k in held.get((c, p), ()):
+                    want[s, k] += 1 / (len(at) * nh * len(held[c, p]))
+        for way in (counting.overlap_weighted, lambda *x: counting.overlap_weighted(*x)):
+            got = counting.count(spark.createDataFrame(a, kinds[0]), spark.createDataFrame(e, kinds[1]), way, width=16)
+            got = {(r.source, r.element): r["count"] for r in got.collect()}
+            assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    spark.sql("SELECT id AS l_orderkey, 1 AS l_linenumber, id AS l_partkey, 7L AS l_suppkey, 9.0D AS l_quantity, date'1992-01-05' AS l_shipdate, 'A' AS l_returnflag FROM range(2000)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.sql("SELECT id AS o_orderkey, 7L AS o_custkey, 'F' AS o_orderstatus, date'1992-01-05' AS o_orderdate FROM range(1000)").write.parquet(f"{tmp_path}/orders.parquet")
+    assert most_joined(registry.queries()["count_overlap_weighted"](spark, str(tmp_path))) <= 2000
