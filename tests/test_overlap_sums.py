@@ -151,3 +151,13 @@ def test_weights_of_parts(spark, tmp_path):
     spark.sql("SELECT id AS l_orderkey, 1 AS l_linenumber, id AS l_partkey, 7L AS l_suppkey, 9.0D AS l_quantity, date'1992-01-05' AS l_shipdate, 'A' AS l_returnflag FROM range(2000)").write.parquet(f"{tmp_path}/lineitem.parquet")
     spark.sql("SELECT id AS o_orderkey, 7L AS o_custkey, 'F' AS o_orderstatus, date'1992-01-05' AS o_orderdate FROM range(1000)").write.parquet(f"{tmp_path}/orders.parquet")
     assert most_joined(registry.queries()["count_overlap_weighted"](spark, str(tmp_path))) <= 2000
+
+
+def test_left_join_reads_reads_once(spark, tmp_path):
+    """Pairs, and what has none, come from one exchange of the reads."""
+    spark.sql("SELECT id AS l_orderkey, 1 AS l_linenumber, id AS l_partkey, id AS l_suppkey, 9.0D AS l_quantity, date'1992-01-05' AS l_shipdate, 'A' AS l_returnflag FROM range(50)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.sql("SELECT id AS o_orderkey, id AS o_custkey, 'F' AS o_orderstatus, date'1992-01-05' AS o_orderdate FROM range(50)").write.parquet(f"{tmp_path}/orders.parquet")
+    found = registry.queries()["overlap_left"](spark, str(tmp_path))
+    assert found.count() and found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan parquet [l_") == 1
