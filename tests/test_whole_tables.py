@@ -2,11 +2,12 @@
 
 import datetime
 import random
+import time
 
 import pytest
 
 from strandline.operators import repeats
-from strandline.operators.align import align
+from strandline.operators.align import Scoring, align
 from strandline.plans import registry
 
 
@@ -107,3 +108,23 @@ def test_repeats_of_whole_texts(spark, tmp_path):
     expected = sorted((k, n, s, a) for k, seq in want.items() for n, (s, a) in enumerate(predicted_by_scan(seq, keep)))
     assert sorted((r.seqid, r.repeat_id, r.score, [tuple(x) for x in r.segments]) for r in got) == expected
     assert {r.seqid for r in registry.queries()["repeat_optimize"](spark, str(tmp_path)).collect()} == {1, 3}
+
+
+def test_time_of_repeats():
+    """Cell by cell or path by path in Python these take several times as long."""
+    rng, keep = random.Random(7), repeats.Filter(min_score=3, min_matches=3)
+    seqs = ["".join(rng.choice("ACGU") for _ in range(2500)) for _ in range(4)]
+    began = time.process_time()
+    found = [repeats.predict(seq, keep) for seq in seqs]
+    assert min(map(len, found)) > 10_000 and time.process_time() - began < 4
+
+
+def test_repeats_of_several_sequences_at_once():
+    rng = random.Random(8)
+    seqs = ["".join(rng.choice("ACGU") for _ in range(n)) for n in (2, 3, 40, 41, 90, 97)]
+    for scoring in (repeats.RNA, Scoring(1, -2, 0, 0, True), Scoring(3, -2, -2, -1, True, (("G", "U", 1), ("U", "G", 1)))):
+        keep, out = repeats.Filter(min_score=3, min_matches=3), [[] for _ in seqs]
+        r = repeats._repeats(seqs, keep, scoring)
+        for at, doc in enumerate(r.doc.tolist()):
+            out[doc].append((int(r.score[at]), list(zip(*(t[r.first[at] : r.first[at + 1]].tolist() for t in r.arms), strict=True))))
+        assert out == [repeats.predict(seq, keep, scoring) for seq in seqs]
