@@ -4,6 +4,7 @@ import datetime
 import random
 import time
 
+import numpy as np
 import pytest
 
 from strandline.operators import repeats
@@ -128,3 +129,13 @@ def test_repeats_of_several_sequences_at_once():
         for at, doc in enumerate(r.doc.tolist()):
             out[doc].append((int(r.score[at]), list(zip(*(t[r.first[at] : r.first[at + 1]].tolist() for t in r.arms), strict=True))))
         assert out == [repeats.predict(seq, keep, scoring) for seq in seqs]
+
+
+def test_best_sets_of_several_sequences_at_once():
+    rng, keep = random.Random(9), repeats.Filter(min_score=2)
+    seqs = ["".join(rng.choice("ACGU") for _ in range(n)) for n in (12, 50, 51, 120)]
+    r = repeats._repeats(seqs, keep, repeats.RNA)
+    sets = repeats._best_sets(4, 120, np.int16, r.doc, r.arms[0][r.first[:-1]], r.arms[3][r.first[:-1]], r.score, repeats._gaps(r.first, r.arms))
+    for (chosen, total), seq in zip(sets, seqs, strict=True):
+        found = repeats.predict(seq, keep)
+        assert (r.repeat_id[chosen].tolist(), total) == repeats.optimize([a for _, a in found], [s for s, _ in found])
