@@ -208,3 +208,19 @@ def test_resolve_annotation(spark):
     a = spark.createDataFrame([("c", 1, 0, 10, "x"), ("c", 1, 5, 15, "y"), ("c", 1, 20, 25, "z")], "contig string, orientation int, start long, end long, key string")
     got = segments.resolve_annotation(a, "key", lambda d: F.when(F.size(d) > 1, F.slice(d, 1, 1)).otherwise(d), width=16)
     assert pairs(got, "start", "end", "key") == [(0, 5, "x"), (5, 10, "x"), (10, 15, "y"), (20, 25, "z")]
+
+
+def test_overlap_moves_places(spark):
+    """Rows of the same place are joined once, and all their pairs come back."""
+    left = [("a", 0, 10)] * 90 + [("a", 4, 6), ("a", 4, 6), ("a", 9, 9), (None, 0, 10), ("b", 0, 3)]
+    right = [("a", 5, 20)] * 100 + [("a", 9, 12), (None, 0, 10), ("b", 3, 5)]
+    seen = []
+
+    def cut(places):
+        seen.append(places.count())
+        return places
+
+    got = setops.overlap(*(spark.createDataFrame(t, "contig string, start long, end long") for t in (left, right)), width=4, cut=cut)
+    want = {("a", 5, 10): 9000, ("a", 9, 10): 90, ("a", 5, 6): 200}
+    assert {tuple(r)[:3]: r["count"] for r in got.groupBy("contig", "start", "end").count().collect()} == want
+    assert seen == [4, 4] and 9000 > 2 * setops.RUN
