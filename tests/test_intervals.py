@@ -224,3 +224,18 @@ def test_overlap_moves_places(spark):
     want = {("a", 5, 10): 9000, ("a", 9, 10): 90, ("a", 5, 6): 200}
     assert {tuple(r)[:3]: r["count"] for r in got.groupBy("contig", "start", "end").count().collect()} == want
     assert seen == [4, 4] and 9000 > 2 * setops.RUN
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_wider_rows_in_runs(spark, how):
+    """The pairs of a row of the wider table come beside each other, on whichever side it is."""
+    n, kinds, limit = 40, ("contig string, start long, end long, id long", "contig string, start long, end long, name string, note string"), "spark.sql.autoBroadcastJoinThreshold"
+    narrow, wide = spark.createDataFrame([("a", i, 100 + i, i) for i in range(n)], kinds[0]), spark.createDataFrame([("a", i, 90 + i, f"n{i}", "x") for i in range(n)], kinds[1])
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, -1)
+    try:
+        for pair, name in (((narrow, wide), "name_r"), ((wide, narrow), "name")):
+            got = [r[name] for r in joins.overlap_join(*pair, how=how, width=1000).collect()]
+            assert len(got) == n * n and sum(x != y for x, y in zip(got, got[1:], strict=False)) == n - 1
+    finally:
+        spark.conf.set(limit, before)
