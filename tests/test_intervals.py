@@ -239,3 +239,19 @@ def test_wider_rows_in_runs(spark, how):
             assert len(got) == n * n and sum(x != y for x, y in zip(got, got[1:], strict=False)) == n - 1
     finally:
         spark.conf.set(limit, before)
+
+
+def test_held_rows_in_order(spark):
+    """In the run of a wider row its partners come by place, those that one task sent to the bin at least."""
+    n, limit = 200, "spark.sql.autoBroadcastJoinThreshold"
+    starts = random.Random(5).sample(range(n), n)
+    narrow = spark.createDataFrame([("a", s, 500, s) for s in starts], "contig string, start long, end long, id long").coalesce(2)
+    wide = spark.createDataFrame([("a", 300, 400, f"n{i}", "x") for i in range(3)], "contig string, start long, end long, name string, note string")
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, -1)
+    try:
+        for long_rows in (True, False):
+            got = joins.overlap_join(wide, narrow, width=1000, long_rows=long_rows).collect()
+            assert len(got) == 3 * n and sum(x.start_r > y.start_r for x, y in zip(got, got[1:], strict=False)) <= 3 * 2 - 1
+    finally:
+        spark.conf.set(limit, before)
